@@ -25,6 +25,8 @@ NONE = np.int32(2**31 - 1)
 #: Pieces that a worker keeps with their ids, and the longest piece worth keeping.
 CACHE_PIECES = 150_000
 CACHE_BYTES = 24
+#: A piece longer than this has a tree of its own.
+LONG_PIECE = 64
 #: Cells of one matrix of trees.
 MATRIX_CELLS = 1 << 20
 
@@ -56,6 +58,7 @@ class Vocabulary:
         self.token_at = np.cumsum(self.token_len) - self.token_len
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.cache: dict[str, bytes] = {}
+        self._pairs: dict[tuple[int, int], int] | None = None
 
     @classmethod
     def from_bytes(cls, content: bytes, pattern: str) -> Vocabulary:
@@ -122,6 +125,57 @@ class Vocabulary:
         used = ids[:, :width] >= 0
         return np.split(ids[:, :width][used], np.cumsum(used.sum(axis=1))[:-1])
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """The same tree and merges for one long piece, with plain lists."""
+        n = len(piece)
+        depth = (n - 1).bit_length()
+        width = 1 << depth
+        none = int(NONE)
+        ids = self.byte_id[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        leaves = np.full(width, NONE, dtype=np.int32)
+        leaves[: n - 1] = self.pair_rank(np.array(ids[:-1]), np.array(ids[1:]))
+        levels = [leaves]
+        while len(levels[0]) > 1:
+            levels.insert(0, np.minimum(levels[0][::2], levels[0][1::2]))
+        tree = [none, *np.concatenate(levels).tolist()]
+        known = self.pair_dict()
+
+        def put(leaf: int, rank: int) -> None:
+            node = leaf + width
+            tree[node] = rank
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                low = a if a <= b else b
+                if tree[node] == low:
+                    break
+                tree[node] = low
+
+        while (rank := tree[1]) != none:
+            node = 1
+            while node < width:
+                node *= 2
+                node += tree[node] != rank
+            at = node - width
+            gone = after[at]
+            following = after[at] = after[gone]
+            ids[at], ids[gone] = rank, -1
+            put(gone, none)
+            put(at, known.get((rank, ids[following]), none) if following < n else none)
+            if following < n:
+                before[following] = at
+            ahead = before[at]
+            if ahead >= 0:
+                put(ahead, known.get((ids[ahead], rank), none))
+        return np.array([x for x in ids if x >= 0], dtype=np.int64)
+
+    def pair_dict(self) -> dict[tuple[int, int], int]:
+        if self._pairs is None:
+            keys = self.pair_keys[:-1]
+            self._pairs = dict(zip(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist()), self.pair_ranks[:-1].tolist()))
+        return self._pairs
+
     def learn(self, pieces: Iterator[str]) -> dict[str, bytes]:
         """Ids, as little-endian 32-bit words, of pieces that the cache lacks."""
         out, by_width = {}, {}
@@ -133,6 +187,9 @@ class Vocabulary:
             else:
                 by_width.setdefault(max(1, (len(raw) - 1).bit_length()), []).append((piece, raw))
         for bits, found in by_width.items():
+            if 1 << bits > LONG_PIECE:
+                out.update((piece, self.merge_long(raw).astype("<u4").tobytes()) for piece, raw in found)
+                continue
             rows = max(1, MATRIX_CELLS >> bits)
             for i in range(0, len(found), rows):
                 part = found[i : i + rows]
