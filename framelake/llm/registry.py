@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, decontaminate, langid, neardup, quality, sharding, substrings
 
 
 def queries() -> dict:
     return {
+        "op3_quality_rules": quality.op3_quality_rules,
+        "op4_substring_dedup": substrings.op4_substring_dedup,
+        "op5_minhash_neardup": neardup.op5_minhash_neardup,
         "op7_sharding": sharding.op7_sharding,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_language_id": langid.op9_language_id,
+        "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
