@@ -36,6 +36,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 30_000) -> Iterator[pa.RecordBatch]:
+    """Batches of numbers joined to larger ones, which vectorised work likes better."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that all executors share.
 

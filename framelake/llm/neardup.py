@@ -238,9 +238,7 @@ def across(members: DataFrame, low: float) -> DataFrame:
 
     def run(batches):
         held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in common.gathered(batches, 4000):
             rows = {c: batch.column(c).to_numpy() for c in ("bucket", "band", "cid", "comp", "part", "p", "q")}
             rows["n"] = batch.column("n_shingles").to_numpy()
             rows["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
@@ -274,10 +272,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = common.checkpointed(grouped)
 
     def bands(batches):
-        for batch in batches:
+        for batch in common.gathered(batches, 2000):
             n = batch.num_rows
-            if not n:
-                continue
             keys = band_keys(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(common.signed(keys.ravel())), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(np.repeat(batch.column("cid").to_numpy(), BANDS))],

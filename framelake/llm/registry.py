@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, neardup, quality, sharding, substrings
+from . import bpe, decontaminate, langid, lines, neardup, quality, sharding, substrings
 
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": lines.op2_line_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_substring_dedup": substrings.op4_substring_dedup,
         "op5_minhash_neardup": neardup.op5_minhash_neardup,
