@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, lines, neardup, quality, sharding, substrings
+from . import bpe, decontaminate, langid, lines, neardup, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_substring_dedup": substrings.op4_substring_dedup,
         "op5_minhash_neardup": neardup.op5_minhash_neardup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_sharding": sharding.op7_sharding,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_language_id": langid.op9_language_id,

@@ -27,9 +27,11 @@ FEATURE_BITS = 20
 BEGINNINGS = (0, 4, 5, 6, 7, 8)
 LEAST_DOCUMENTS = 4
 MOST_FEATURES = 4000
-RIDGE = 2e-4
+#: Standard deviations of the log ratio of rates that a feature needs.
+LEAST_STRENGTH = 2.5
+RIDGE = 2e-5
 FAIRNESS = 1.0
-STEPS = 150
+STEPS = 300
 THRESHOLD = 0.3
 
 #: Names of groups by kind; a name is swapped for the next of its kind.
@@ -164,7 +166,7 @@ def fit(x: list[np.ndarray], twins: list[np.ndarray | None], y: np.ndarray) -> M
     spread = np.sqrt(1 / (toxic + 0.5) + 1 / (held - toxic + 0.5))
     strength = np.where(held >= LEAST_DOCUMENTS, np.abs(np.log(rate[0] / rate[1])) / spread, 0)
     chosen = np.argsort(-strength, kind="stable")[:MOST_FEATURES]
-    chosen = chosen[strength[chosen] > 2.5]
+    chosen = chosen[strength[chosen] > LEAST_STRENGTH]
     column_of = np.full(size, -1)
     column_of[chosen] = np.arange(len(chosen))
     a = Sparse(x, column_of, len(chosen))
