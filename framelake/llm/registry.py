@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, lines, neardup, quality, sharding, substrings, toxicity
+from . import bpe, decontaminate, html, langid, lines, neardup, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html.op1_html_extraction,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_substring_dedup": substrings.op4_substring_dedup,
