@@ -64,6 +64,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def roughly_in(rows: DataFrame, key: str, needed: DataFrame, needed_key: str, words: int = 1 << 17) -> DataFrame:
+    """Rows whose key is in ``needed``, and a few others: a bit filter ahead of an exact join.
+
+    The filter has ``words`` rows of 64 bits at most, whatever the input (2 MB), so
+    it is broadcast.  A full filter lets all rows through and loses none.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(words))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST(pmod(shiftright(xxhash64(`{c}`), 20), 64) AS INT))")
+    bits = needed.select(word(needed_key).alias("__w"), bit(needed_key).alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__bits"))
+    found = rows.withColumn("__w", word(key)).join(F.broadcast(bits), "__w")
+    return found.filter(F.col("__bits").bitwiseAND(bit(key)) != 0).drop("__w", "__bits")
+
+
 def null_safe_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -12,10 +12,11 @@ Steps
      member) stands for a bucket, so a bucket of n classes gives n - 1 pairs.
   3. A pair is estimated by the joint likelihood of all its registers and, unless
      that rules it out, confirmed on the full sets.
-  4. Confirmed links make components.  In buckets that still span several, all
-     pairs across components are estimated where the bucket stands, in cells of
-     bounded size; likely ones are confirmed as before.  So every pair that shares
-     a bucket was either tested or lies in one component already.
+  4. Confirmed links make components.  In buckets that still span several, pairs
+     across components are estimated where the bucket stands, in cells of bounded
+     size.  Each member's likeliest pair is confirmed first, which joins most of
+     them; then all likely pairs that are left.  So every pair that shares a bucket
+     was either tested or lies in one component already.
 
 Chance of missing a pair at a similarity of exactly 0.8: (1 - 0.8**ROWS)**BANDS, 1e-7.
 """
@@ -35,8 +36,8 @@ ROWS, BANDS = 5, 40
 REGISTERS = ROWS * BANDS
 BASE = 1.1
 RATE = 20.0
-#: A pair whose estimate is lower than the threshold by this is not confirmed: over 4.5 standard deviations.
-SLACK = 0.14
+#: A pair whose estimate is lower than the threshold by this is ruled out: four standard deviations.
+SLACK = 0.11
 #: Members of a bucket that one cell holds at most, on average.
 CELL = 1500
 
@@ -104,7 +105,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 def sketch_rows(docs: DataFrame, width: int, full: bool = True) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the set) and, if full, sketch and z (the text's words, packed); for an empty set s1 .. z are null."""
+    """doc_id, n_shingles, s1, s2 (hash of the set) and, if full, sketch; for an empty set s1, s2 and sketch are null."""
 
     def run(batches):
         for batch in batches:
@@ -125,50 +126,70 @@ def sketch_rows(docs: DataFrame, width: int, full: bool = True) -> DataFrame:
                 none = n == 0
                 columns = [batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(common.signed(s1), mask=none), pa.array(common.signed(s2), mask=none)]
                 if full:
-                    packed = [None if e else zlib.compress(b" ".join(t.lower().split()), 1) for e, t in zip(none.tolist(), texts[i:j])]
-                    columns += [pa.array(sketches, pa.binary()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "sketch", "z"][: len(columns)])
+                    columns.append(pa.array(sketches, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "sketch"][: len(columns)])
 
-    return common.arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint" + ", sketch binary, z binary" * full)
+    return common.arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint" + ", sketch binary" * full)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets.
+def attach(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``table`` (cid, ...) for both ends of pairs (a, b), named a_<column> and b_<column>.
 
-    A class that is in very many pairs meets them in salted parts: the pairs get
-    the text of the member (b) by an even join first, and copies of the frequent
-    side (a), one per part, then meet them.
+    An end that is in very many pairs is met in salted parts: the pairs get the
+    columns of the member (b) by an even join first, and copies of the frequent side
+    (a), one per part, then meet them.
     """
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    parts = degree.withColumn("parts", F.ceil(F.col("degree") / F.lit(CELL)).cast("int")).select("a", "parts")
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("z").alias(f"z{x}"))
-    left = side("a").join(parts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda x: table.select(F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts"))
+    left = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(side("a"), "a")
     salted = pairs.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts").cast("bigint")).cast("int")).drop("parts")
-    both = salted.join(side("b"), "b").join(left.drop("parts"), ["a", "salt"])
+    return salted.join(side("b"), "b").join(left, ["a", "salt"])
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the registers' joint likelihood does not rule out."""
     low = percent / 100 - SLACK
 
     def run(batches):
-        for batch in batches:
+        for batch in common.gathered(batches, 4000):
             n = batch.num_rows
-            if not n:
-                continue
-            sizes = [batch.column(c).to_numpy() for c in ("na", "nb")]
-            sketches = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(n, -1) for c in ("sa", "sb")]
-            likely = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
-            likely &= estimate(*sketches, *sizes) >= low
-            za, zb = batch.column("za"), batch.column("zb")
-            sure = np.zeros(n, dtype=bool)
-            held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-            for k in np.flatnonzero(likely).tolist():
+            sizes = [batch.column(c).to_numpy() for c in ("a_n_shingles", "b_n_shingles")]
+            sketches = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(n, -1) for c in ("a_sketch", "b_sketch")]
+            good = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+            good &= estimate(*sketches, *sizes) >= low
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+
+    both = attach(pairs, classes, ["n_shingles", "sketch"]).drop("salt")
+    return common.arrow_map(both, run, "a bigint, b bigint")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets.  Texts are read again, for likely pairs only."""
+    pairs = common.checkpointed(likely(pairs, classes, percent))
+    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    texts = common.roughly_in(docs.select(F.col("doc_id").alias("cid"), "text").filter("cid IS NOT NULL AND text IS NOT NULL"), "cid", needed, "cid")
+
+    def pack(batches):
+        for batch in batches:
+            packed = [zlib.compress(b" ".join(t.lower().split()), 1) for t in common.encode_all(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(packed, pa.binary())], names=["cid", "z"])
+
+    def run(batches):
+        held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        for batch in batches:
+            za, zb = batch.column("a_z"), batch.column("b_z")
+            sure = np.zeros(batch.num_rows, dtype=bool)
+            for k in range(batch.num_rows):
                 raw = za[k].as_py()
                 if raw != held[0]:
                     held = (raw, shingle_sets([zlib.decompress(raw)], width)[1])
                 other = shingle_sets([zlib.decompress(zb[k].as_py())], width)[1]
-                common_size = len(np.intersect1d(held[1], other, assume_unique=True))
-                sure[k] = 100 * common_size >= percent * (len(held[1]) + len(other) - common_size)
+                both = len(np.intersect1d(held[1], other, assume_unique=True))
+                sure[k] = 100 * both >= percent * (len(held[1]) + len(other) - both)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(sure)) for c in ("a", "b")], names=["a", "b"])
 
-    return common.arrow_map(both.select("a", "b", "na", "nb", "sa", "sb", "za", "zb"), run, "a bigint, b bigint")
+    packed = common.arrow_map(texts, pack, "cid bigint, z binary")
+    return common.arrow_map(attach(pairs, packed, ["z"]).select("a", "b", "a_z", "b_z"), run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,24 +199,27 @@ def components(links: DataFrame) -> DataFrame:
     the node, which Spark splits where a node is frequent.
     """
     edges = common.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(edges)
     while True:
-        before = edges
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = common.checkpointed(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
-        same = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same(edges) == same(before):
+        now = state(edges)
+        if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = now
 
 
-def across(members: DataFrame, low: float) -> DataFrame:
+def across(members: DataFrame, low: float, best: bool) -> DataFrame:
     """Likely pairs between components within buckets: members has bucket, band, cid, comp, n_shingles, sketch and parts (cells per side).
 
     Every two members of a bucket meet in the cell of their two parts.  A pair is
-    given out in the first band that both share only.
+    given out in the first band that both share only.  With ``best``, only the
+    likeliest pair of each member outside the cell's largest component is.
     """
     part = F.pmod(F.xxhash64("cid"), F.col("parts").cast("bigint")).cast("int")
     cells = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -209,7 +233,7 @@ def across(members: DataFrame, low: float) -> DataFrame:
         band, p, q = int(rows["band"][0]), rows["p"][0], rows["q"][0]
         left = np.flatnonzero(rows["part"] == p)
         right = left if p == q else np.flatnonzero(rows["part"] == q)
-        a_out, b_out = [], []
+        a_out, b_out, e_out = [], [], []
         for i in range(0, len(left), 64):
             x = left[i : i + 64]
             ok = rows["comp"][x][:, None] != rows["comp"][right][None, :]
@@ -225,15 +249,25 @@ def across(members: DataFrame, low: float) -> DataFrame:
                 sa, sb = rows["sketch"][a], rows["sketch"][b]
                 equal = sa == sb
                 first = equal.reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                near = (first == band) & (equal.sum(axis=1) >= (low - 0.05) * REGISTERS)
+                near = (best | (first == band)) & (equal.sum(axis=1) >= (low - 0.05) * REGISTERS)
                 a, b, sa, sb = a[near], b[near], sa[near], sb[near]
                 if len(a):
-                    good = estimate(sa, sb, rows["n"][a], rows["n"][b]) >= low
-                    a_out.append(rows["cid"][a[good]])
-                    b_out.append(rows["cid"][b[good]])
+                    e = estimate(sa, sb, rows["n"][a], rows["n"][b])
+                    a_out.append(a[e >= low])
+                    b_out.append(b[e >= low])
+                    e_out.append(e[e >= low])
         if not a_out:
             return None
         a, b = np.concatenate(a_out), np.concatenate(b_out)
+        if best:
+            kinds, size = np.unique(rows["comp"], return_counts=True)
+            small = rows["comp"] != kinds[size.argmax()]
+            order = np.argsort(-np.concatenate(e_out), kind="stable")
+            a, b = a[order], b[order]
+            end, place = np.unique(np.where(small[a], a, b), return_index=True)  # the first is the likeliest
+            a, b = a[place], b[place]
+            del end
+        a, b = rows["cid"][a], rows["cid"][b]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
@@ -268,7 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     member = sketch_rows(docs, width, full=False)
     usable = sketch_rows(docs, width).filter("doc_id IS NOT NULL AND n_shingles > 0")
-    grouped = usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("most"), F.first("sketch").alias("sketch"), F.first("z").alias("z"))
+    grouped = usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("most"), F.first("sketch").alias("sketch"))
     classes = common.checkpointed(grouped)
 
     def bands(batches):
@@ -284,17 +318,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = banded.groupBy("bucket").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     in_bucket = common.checkpointed(banded.join(shared, "bucket"))
     star = in_bucket.filter("cid > a").select("a", F.col("cid").alias("b")).distinct()
-    found = common.checkpointed(confirm(star, classes, width, percent))
+    found = common.checkpointed(confirm(star, classes, docs, width, percent))
+    low = percent / 100 - SLACK
+    for best in (True, False):  # the likeliest pairs join most of what is left; then all likely pairs
+        named = in_bucket.join(components(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        open_buckets = common.checkpointed(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket"))
+        if open_buckets.isEmpty():
+            break
+        left_over = named.join(open_buckets, "bucket").join(classes.select("cid", "n_shingles", "sketch"), "cid")
+        left_over = left_over.withColumn("parts", F.ceil(F.col("size") / F.lit(CELL)).cast("int"))
+        more = confirm(across(left_over, low, best).distinct(), classes, docs, width, percent)
+        found = common.checkpointed(found.union(more))
     label = components(found)
 
-    named = in_bucket.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    open_buckets = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    sketches = classes.select("cid", "n_shingles", "sketch")
-    left_over = named.join(open_buckets, "bucket").join(sketches, "cid")
-    left_over = left_over.withColumn("parts", F.ceil(F.col("size") / F.lit(CELL)).cast("int"))
-    more = common.checkpointed(confirm(across(left_over, percent / 100 - SLACK).distinct(), classes, width, percent))
-    label = components(found.union(more))
-
     # Class of each document by its set, then the component of the class: both joins leave singletons alone.
     by_set = classes.filter("rows > 1 AND most > cid").select("s1", "s2", F.col("cid").alias("first_copy"))
     out = member.join(by_set, ["s1", "s2"], "left").withColumn("cid", F.coalesce("first_copy", "doc_id"))
