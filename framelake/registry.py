@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import frames, tones  # noqa: F401  importing them registers their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(frames.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(frames.SQL)
