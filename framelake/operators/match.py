@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def range_join(left: DataFrame, right: DataFrame, coordinates: list[tuple[str, str]], tolerance: float, keys: list[tuple[str, str]] = ()) -> DataFrame:
     """Pairs whose coordinates all differ by less than ``tolerance``, as an equi-join.
@@ -105,17 +107,18 @@ def pair_graph(edges: DataFrame, start: int = 0, rounds: int = 50) -> DataFrame:
     One join per level; equal depths take the smaller predecessor.
     """
     spark = edges.sparkSession
-    edges = edges.select("i", "j", "factor").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), (1.0 / F.col("factor")).alias("factor")))
+    edges = edges.select("i", "j", "factor")
+    edges = checkpointed(edges.union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), (1.0 / F.col("factor")).alias("factor"))))
     reached = spark.createDataFrame([(start, 0, 1.0)], "node bigint, depth int, factor double")
     frontier = reached
     for depth in range(1, rounds + 1):
         here = frontier.select(F.col("node").alias("i"), F.col("factor").alias("so_far"))
         step = here.join(edges, "i").select("j", "i", (F.col("so_far") * F.col("factor")).alias("f"))
         step = step.groupBy("j").agg(F.min_by("f", "i").alias("factor")).select(F.col("j").alias("node"), F.lit(depth).alias("depth"), "factor")
-        frontier = step.join(reached.select("node"), "node", "left_anti").cache()
+        frontier = checkpointed(step.join(reached.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break
-        reached = reached.union(frontier)
+        reached = checkpointed(reached.union(frontier))
     return reached
 
 
