@@ -17,8 +17,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier one; n_chars follows the text."""
-    out = lines.dedup_lines(docs).drop("n_lines", "n_judged", "n_removed")
+    """Documents without lines that match an earlier one; n_chars follows the text.
+
+    A document that loses all its text goes: earlier ones hold every line of it.
+    """
+    out = lines.dedup_lines(docs).filter(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
