@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import frames, tones  # noqa: F401  importing them registers their queries
+from .plans import frames, neighbourhoods, tones  # noqa: F401  importing them registers their queries
 
 
 def queries() -> dict:
