@@ -18,7 +18,8 @@ Steps
      symmetric difference is at least as large as the signatures' differing bits).
      A word with many lines is dealt to cells of bounded size in which parts of the
      list meet, and batches hold a bounded number of comparisons.
-  5. Candidates are verified on the full word sets, read again from the documents.
+  5. Candidates are verified on the full word sets, read again from the documents:
+     the likeliest one of each line first, all others only where it fails.
   6. First lines without an earlier match stay; all other judged lines go.
 """
 
@@ -41,7 +42,6 @@ LANES = 16
 #: Lines of one word that a cell holds per side, on average, and greatest number of frequent words that are broadcast.
 CELL = 2000
 MOST_BROADCAST = 20_000
-FILTER_BITS = 23
 #: Bits of a word's hash; two of a line's words are taken for one with a chance of 1e-10.
 TOKEN_BITS = 44
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -170,24 +170,33 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
 
 
 def postings(firsts: DataFrame) -> DataFrame:
+    """A row per prefix word of each first line."""
+
     def run(batches):
         for batch in common.gathered(batches, 2000):
             raw = batch.column("prefix").to_pylist()
             items = np.frombuffer(b"".join(raw), dtype=[("token", "<u4"), ("place", "<u2")])
             line = np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw])
             columns = [pa.array(items["token"].astype(np.int64)), pa.array(items["place"].astype(np.int32))]
-            columns += [batch.column(c).take(pa.array(line)) for c in ("doc_id", "tkey", "number", "n", "signature")]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "place", "doc_id", "tkey", "number", "n", "signature"])
+            columns += [batch.column(c).take(pa.array(line)) for c in ("doc_id", "number", "n", "signature", "open")]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "place", "doc_id", "number", "n", "signature", "open"])
+
+    columns = firsts.select("prefix", "doc_id", "number", "n", "signature", "open")
+    return common.arrow_map(columns, run, "token bigint, place int, doc_id bigint, number int, n int, signature bigint, open boolean")
 
-    return common.arrow_map(firsts, run, "token bigint, place int, doc_id bigint, tkey int, number int, n int, signature bigint")
 
+_ROW = ("doc_id", "number", "n", "signature", "place", "open")
+_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int"
 
-_ROW = ("doc_id", "tkey", "number", "n", "signature", "place")
 
+def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of first lines (earlier a, later and open b) that pass the length, positional and signature filters for some prefix word.
 
-def candidates(firsts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of first lines (earlier a, later b) that pass the length, positional and signature filters for some prefix word."""
+    With ``best``, only the pair of each b whose signatures differ least.
+    """
     rows = postings(firsts)
+    if not best:
+        rows = rows.join(rows.filter("open").select("token").distinct(), "token", "left_semi")
     frequent = common.checkpointed(rows.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > CELL))
     frequent = frequent.withColumn("parts", F.ceil(F.col("lines") / F.lit(CELL)).cast("int")).select("token", "parts")
     if frequent.count() <= MOST_BROADCAST:
@@ -200,7 +209,7 @@ def candidates(firsts: DataFrame, percent: int) -> DataFrame:
 
     def pairs_of(x: dict[str, np.ndarray], first: np.ndarray):
         """Candidate index pairs among rows sorted by cell and n; first[k] is where row k's cell starts."""
-        # Length filter: row k meets the rows before it in its cell whose n is at least share * n[k].
+        # Length filter: row k meets the rows before it in its cell whose n is at least percent of n[k].
         n = x["n"].astype(np.int64)
         cell = np.cumsum(np.concatenate(([0], (np.diff(first) != 0).astype(np.int64)))) if len(first) else first
         key = cell * (1 << 32) + n
@@ -216,29 +225,34 @@ def candidates(firsts: DataFrame, percent: int) -> DataFrame:
             start = stop
             differ = np.bitwise_count((x["signature"][a] ^ x["signature"][b]).view(np.uint64)).astype(np.int64)
             ok = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-            a, b = a[ok], b[ok]
+            a, b, differ = a[ok], b[ok], differ[ok]
             # Positional filter: words from here on bound the overlap, as the words before are rarer and shared once at most.
             before = np.minimum(x["place"][a], x["place"][b])
             bound = before + 1 + np.minimum(n[a] - x["place"][a] - 1, n[b] - x["place"][b] - 1)
             ok = bound * (100 + percent) >= percent * (n[a] + n[b])
             ok &= (x["part"][a] != x["part"][b]) | (x["p"][a] == x["q"][a])
-            a, b = a[ok], b[ok]
+            a, b, differ = a[ok], b[ok], differ[ok]
             swap = (x["doc_id"][a] > x["doc_id"][b]) | ((x["doc_id"][a] == x["doc_id"][b]) & (x["number"][a] > x["number"][b]))
             a, b = np.where(swap, b, a), np.where(swap, a, b)
+            ok = x["open"][b].astype(bool)
+            a, b, differ = a[ok], b[ok], differ[ok]
+            if best and len(b):
+                order = np.argsort(b * 65 + differ, kind="stable")
+                a, b, differ = a[order], b[order], differ[order]
+                one = np.concatenate(([True], b[1:] != b[:-1]))
+                a, b, differ = a[one], b[one], differ[one]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(x[c][k]) for k in (a, b) for c in ("doc_id", "tkey", "number")], names=["a_doc", "a_key", "a_line", "b_doc", "b_key", "b_line"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[c][k]) for k in (a, b) for c in ("doc_id", "number")], pa.array(differ.astype(np.int32))], names=["a_doc", "a_line", "b_doc", "b_line", "differ"])
 
     def run(batches):
         held = None
         for batch in common.gathered(batches):
-            x = {c: batch.column(c).to_numpy() for c in ("token", "p", "q", "part", *_ROW)}
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "p", "q", "part", *_ROW)}
             if held is not None:
                 x = {c: np.concatenate((held[c], x[c])) for c in x}
             new = np.ones(len(x["token"]), dtype=bool)
             new[1:] = (np.diff(x["token"]) != 0) | (np.diff(x["p"]) != 0) | (np.diff(x["q"]) != 0)
             edges = np.flatnonzero(new)
-            if not len(edges):
-                continue
             done = edges[-1]
             first = np.repeat(edges, np.diff(np.append(edges, len(new))))
             yield from pairs_of({c: v[:done] for c, v in x.items()}, first[:done])
@@ -246,70 +260,43 @@ def candidates(firsts: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from pairs_of(held, np.zeros(len(held["token"]), dtype=np.int64))
 
-    return common.arrow_map(dealt, run, "a_doc bigint, a_key int, a_line int, b_doc bigint, b_key int, b_line int").distinct()
-
-
-def _place_hash(doc: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
-    x = common.mix64(doc.astype(np.int64).view(np.uint64) * _STEP + key.astype(np.int64).view(np.uint64))
-    return common.mix64(x + line.astype(np.int64).view(np.uint64) * _STEP)
+    pairs = common.arrow_map(dealt, run, _PAIR)
+    if not best:
+        return pairs.drop("differ").distinct()
+    nearest = pairs.groupBy("b_doc", "b_line").agg(F.min(F.struct("differ", "a_doc", "a_line")).alias("a"))
+    return nearest.select("a.a_doc", "a.a_line", "b_doc", "b_line")
 
 
 def line_sets(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """Words, as packed 64-bit hashes, of the lines in ``places`` (doc_id, tkey, number).
-
-    A fixed bit filter (1 MB) of the places lets most other lines out before the join.
-    """
-    bits = 1 << FILTER_BITS
-
-    def mark(batches):
-        table, any_row = np.zeros(bits, dtype=bool), False
-        for batch in batches:
-            x = _place_hash(*(batch.column(c).to_numpy() for c in ("doc_id", "tkey", "number")))
-            table[(x & np.uint64(bits - 1)).astype(np.int64)] = True
-            any_row = True
-        if any_row:
-            packed = np.packbits(table).reshape(64, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([zlib.compress(p.tobytes(), 1) for p in packed], pa.binary())], names=["block", "bits"])
-
-    def merge(key, table):
-        total = np.zeros(bits // 8 // 64, dtype=np.uint8)
-        for x in table.column("bits").to_pylist():
-            total |= np.frombuffer(zlib.decompress(x), dtype=np.uint8)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    marks = common.arrow_map(places.coalesce(64), mark, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
-    table = np.zeros((64, bits // 8 // 64), dtype=np.uint8)
-    for r in marks.toLocalIterator():  # 64 rows
-        table[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(table.ravel())
+    """Words, as packed hashes, of the lines in ``places`` (doc_id, number).  A bit filter lets most other documents out first."""
 
     def run(batches):
-        marked = shared.value
         for batch in batches:
-            ids, tkeys = batch.column("doc_id").to_numpy(), batch.column("tkey").to_numpy()
+            ids = batch.column("doc_id").to_numpy()
             for i, j, lines in _blocks(batch, least):
-                x = _place_hash(ids[i:j][lines.doc], tkeys[i:j][lines.doc], lines.number) & np.uint64(bits - 1)
-                x = x.astype(np.int64)
-                keep = np.flatnonzero(marked[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1)
-                raw = [lines.token[lines.first[k] : lines.first[k + 1]].tobytes() for k in keep.tolist()]
-                doc = lines.doc[keep]
+                raw = lines.token.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][doc]), pa.array(tkeys[i:j][doc]), pa.array(lines.number[keep].astype(np.int32)), pa.array(raw, pa.binary())],
-                    names=["doc_id", "tkey", "number", "tokens"],
+                    [
+                        pa.array(ids[i:j][lines.doc]),
+                        pa.array(lines.number.astype(np.int32)),
+                        pa.array([raw[8 * a : 8 * b] for a, b in zip(lines.first[:-1].tolist(), lines.first[1:].tolist())], pa.binary()),
+                    ],
+                    names=["doc_id", "number", "tokens"],
                 )
 
-    sets = common.arrow_map(rows, run, "doc_id bigint, tkey int, number int, tokens binary")
-    return sets.join(places, ["doc_id", "tkey", "number"], "left_semi").dropDuplicates(["doc_id", "tkey", "number"])
+    near = common.roughly_in(rows.select("doc_id", "text"), "doc_id", places.select("doc_id"), "doc_id")
+    sets = common.arrow_map(near.select("doc_id", "text"), run, "doc_id bigint, number int, tokens binary")
+    sets = common.roughly_in(sets.withColumn("place", F.xxhash64("doc_id", "number")), "place", places.select(F.xxhash64("doc_id", "number").alias("place")), "place")
+    return sets.drop("place").join(places, ["doc_id", "number"], "left_semi")
 
 
-def matches(rows: DataFrame, firsts: DataFrame, percent: int, least: int) -> DataFrame:
-    """First lines (doc_id, tkey, number) that an earlier first line matches."""
-    pairs = common.checkpointed(candidates(firsts, percent))
-    names = ["doc_id", "tkey", "number"]
-    places = pairs.selectExpr("a_doc doc_id", "a_key tkey", "a_line number").union(pairs.selectExpr("b_doc", "b_key", "b_line")).distinct()
-    sets = common.checkpointed(line_sets(rows, common.checkpointed(places), least))
-    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{t}") for c, t in zip(names, ("doc", "key", "line"))], F.col("tokens").alias(s))
-    both = pairs.join(side("b"), ["b_doc", "b_key", "b_line"]).join(side("a"), ["a_doc", "a_key", "a_line"])
+def verified(rows: DataFrame, pairs: DataFrame, percent: int, least: int) -> DataFrame:
+    """The later lines (doc_id, number) of the pairs that are similar on their full word sets."""
+    names = ["doc_id", "number"]
+    places = pairs.selectExpr("a_doc doc_id", "a_line number").union(pairs.selectExpr("b_doc", "b_line")).distinct()
+    sets = common.checkpointed(line_sets(rows, places, least))
+    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("number").alias(f"{s}_line"), F.col("tokens").alias(s))
+    both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
 
     def run(batches):
         for batch in batches:
@@ -318,9 +305,27 @@ def matches(rows: DataFrame, firsts: DataFrame, percent: int, least: int) -> Dat
                 x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 sure.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(f"b_{c}").filter(pa.array(sure, pa.bool_())) for c in ("doc", "key", "line")], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(f"b_{c}").filter(pa.array(sure, pa.bool_())) for c in ("doc", "line")], names=names)
+
+    return common.arrow_map(both.select("b_doc", "b_line", "a", "b"), run, "doc_id bigint, number int").distinct()
 
-    return common.arrow_map(both.select("b_doc", "b_key", "b_line", "a", "b"), run, "doc_id bigint, tkey int, number int").distinct()
+
+def matches(rows: DataFrame, firsts: DataFrame, percent: int, least: int) -> DataFrame:
+    """First lines (doc_id, number) that an earlier first line matches.
+
+    The likeliest earlier line of each is verified first: that settles most, and a
+    group of n alike lines costs n pairs.  Only lines it did not settle meet all
+    their candidates.
+    """
+    names = ["doc_id", "number"]
+    one = common.checkpointed(candidates(firsts.withColumn("open", F.lit(True)), percent, True))
+    gone = common.checkpointed(verified(rows, one, percent, least))
+    still = common.checkpointed(one.selectExpr("b_doc doc_id", "b_line number").join(gone, names, "left_anti"))
+    if still.isEmpty():
+        return gone
+    marked = common.checkpointed(firsts.join(still.withColumn("__s", F.lit(True)), names, "left").withColumn("open", F.coalesce("__s", F.lit(False))).drop("__s"))
+    rest = common.checkpointed(candidates(marked, percent, False))
+    return gone.union(verified(rows, rest, percent, least))
 
 
 def kept_lines(docs: DataFrame, percent: int, least: int) -> DataFrame:
@@ -330,7 +335,7 @@ def kept_lines(docs: DataFrame, percent: int, least: int) -> DataFrame:
     counts = spark.sparkContext.broadcast(rarity(rows))
     firsts = common.checkpointed(classes(rows, counts, percent, least))
     gone = matches(rows, firsts, percent, least)
-    stay = firsts.select("doc_id", "tkey", "number").join(gone, ["doc_id", "tkey", "number"], "left_anti")
+    stay = firsts.select("doc_id", "tkey", "number").join(gone, ["doc_id", "number"], "left_anti")
     return stay.groupBy("doc_id", "tkey").agg(F.collect_set("number").alias("stay"))
 
 
@@ -340,7 +345,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
     The text of a row that loses nothing is unchanged, as are lines of fewer than
     ``least`` distinct words.  A text that loses all lines becomes empty.  A null
     text stays null; a row with a null doc_id has no order, stays whole and removes
-    nothing.  Rows that repeat a doc_id and text get equal results.  Columns named
+    nothing.  Rows that repeat a doc_id and text get equal results; ids should be
+    unique otherwise (a line is named by doc_id and number).  Columns named
     like those added are replaced.  An empty table stays empty.
     """
     added = ["n_lines", "n_judged", "n_removed"]
@@ -357,20 +363,16 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
             texts = [None if z is None else zlib.decompress(z) for z in batch.column("__z").to_pylist()]
             stay, ids = batch.column("__stay").to_pylist(), batch.column("doc_id").to_pylist()
             out, counts = list(texts), np.zeros((3, len(texts)), dtype=np.int64)
-            for i, j in common.blocks([t or b"" for t in texts]):
-                lines = Lines([t or b"" for t in texts[i:j]], least)
-                edge = np.searchsorted(lines.doc, np.arange(j - i + 1))
-                for k in range(j - i):
-                    t = texts[i + k]
-                    if t is None:
-                        continue
-                    judged = lines.number[edge[k] : edge[k + 1]].tolist()
-                    kept = set(stay[i + k] or ()) if ids[i + k] is not None else set(judged)
-                    drop = {x for x in judged if x not in kept}
-                    parts = t.split(b"\n")
-                    counts[:, i + k] = len(parts) if t else 0, len(judged), len(drop)
-                    if drop:
-                        out[i + k] = b"\n".join([p for x, p in enumerate(parts) if x not in drop])
+            for k, t in enumerate(texts):
+                if t is None:
+                    continue
+                parts = t.split(b"\n")
+                judged = [x for x, p in enumerate(parts) if len(p) >= 2 * least - 1 and len(set(p.lower().split())) >= least]
+                kept = set(stay[k] or ()) if ids[k] is not None else set(judged)
+                drop = {x for x in judged if x not in kept}
+                counts[:, k] = len(parts) if t else 0, len(judged), len(drop)
+                if drop:
+                    out[k] = b"\n".join([p for x, p in enumerate(parts) if x not in drop])
             new = pa.array([None if t is None else t.decode("utf-8", "surrogatepass") for t in out], pa.string())
             columns = [new if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in counts]], names=[*names, *added])

@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Class of each document by its set, then the component of the class: both joins leave singletons alone.
     by_set = classes.filter("rows > 1 AND most > cid").select("s1", "s2", F.col("cid").alias("first_copy"))
-    out = member.join(by_set, ["s1", "s2"], "left").withColumn("cid", F.coalesce("first_copy", "doc_id"))
+    out = member.join(by_set, ["s1", "s2"], "left").withColumn("cid", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_copy", "doc_id")))
     out = out.join(label.withColumnRenamed("node", "cid"), "cid", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
