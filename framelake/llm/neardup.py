@@ -135,15 +135,11 @@ def sketch_rows(docs: DataFrame, width: int, full: bool = True) -> DataFrame:
 def attach(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``table`` (cid, ...) for both ends of pairs (a, b), named a_<column> and b_<column>.
 
-    An end that is in very many pairs is met in salted parts: the pairs get the
-    columns of the member (b) by an even join first, and copies of the frequent side
-    (a), one per part, then meet them.
+    A class may be in very many pairs, yet has one row in ``table``: these are plain
+    shuffled joins, whose large partitions Spark splits on the side of the pairs.
     """
     side = lambda x: table.select(F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts"))
-    left = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(side("a"), "a")
-    salted = pairs.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts").cast("bigint")).cast("int")).drop("parts")
-    return salted.join(side("b"), "b").join(left, ["a", "salt"])
+    return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -159,14 +155,13 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             good &= estimate(*sketches, *sizes) >= low
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
-    both = attach(pairs, classes, ["n_shingles", "sketch"]).drop("salt")
-    return common.arrow_map(both, run, "a bigint, b bigint")
+    return common.arrow_map(attach(pairs, classes, ["n_shingles", "sketch"]), run, "a bigint, b bigint")
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on the full sets.  Texts are read again, for likely pairs only."""
     pairs = common.checkpointed(likely(pairs, classes, percent))
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
     texts = common.roughly_in(docs.select(F.col("doc_id").alias("cid"), "text").filter("cid IS NOT NULL AND text IS NOT NULL"), "cid", needed, "cid")
 
     def pack(batches):
@@ -189,7 +184,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(sure)) for c in ("a", "b")], names=["a", "b"])
 
     packed = common.arrow_map(texts, pack, "cid bigint, z binary")
-    return common.arrow_map(attach(pairs, packed, ["z"]).select("a", "b", "a_z", "b_z"), run, "a bigint, b bigint").distinct()
+    return common.arrow_map(attach(pairs, packed, ["z"]).select("a", "b", "a_z", "b_z"), run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,19 +194,21 @@ def components(links: DataFrame) -> DataFrame:
     the node, which Spark splits where a node is frequent.
     """
     edges = common.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(edges)
-    while True:
+    while not is_stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = common.checkpointed(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = state(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = common.checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def is_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    mixed = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 OR out + into > 1")
+    return mixed.isEmpty()
 
 
 def across(members: DataFrame, low: float, best: bool) -> DataFrame:
