@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, langid, lines, neardup, quality, sharding, substrings, toxicity
+from . import bpe, decontaminate, html, langid, lines, neardup, oracles, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_line_dedup": oracles.LINE_DEDUP, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_minhash_neardup": oracles.MINHASH_NEARDUP}
