@@ -61,19 +61,19 @@ _per_series("tree_merge", lambda s: kernels.tree_merge(s, np.maximum))
 @query("drizzle_stack")
 def drizzle_stack(spark, d):
     """Each frame on a grid twice as fine, shifted by its number; then flux by weight as a plain aggregate."""
-    shift = lambda k: ((k % 3 - 1) * 0.25, (k % 5 - 2) * 0.125)
-    px = _unit_pixels(spark, d).withColumn("phase", F.col("seq") % 15)
-
-    parts = []
-    for phase in range(15):
-        def kernel(x, s=shift(phase)):
-            return kernels.drizzle(x[None], [s], 2, 0.7)
-
-        parts.append(kernels.frame_map(px.filter(F.col("phase") == phase), FRAME, kernel))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rounded(combine.average(out.filter("value > 0"), ["series_id", "y", "x"], "value"), "value")
+    px = _unit_pixels(spark, d).withColumns({"dy": (F.col("seq") % 3 - 1) * 0.25, "dx": (F.col("seq") % 5 - 2) * 0.125})
+
+    def run(key, pdf):
+        import pandas as pd
+
+        image = np.zeros((8, 8))
+        image[pdf["y"], pdf["x"]] = pdf["v"]
+        out = kernels.drizzle(image[None], [(pdf["dy"].iloc[0], pdf["dx"].iloc[0])], 2, 0.7)
+        yy, xx = np.nonzero(out)
+        return pd.DataFrame({"series_id": int(key[0]), "y": yy, "x": xx, "value": out[yy, xx]})
+
+    out = px.groupBy(*FRAME).applyInPandas(run, "series_id bigint, y bigint, x bigint, value double")
+    return rounded(combine.average(out, ["series_id", "y", "x"], "value"), "value")
 
 
 @query("global_shift")
