@@ -18,6 +18,8 @@ U64 = np.uint64
 BATCH_ROWS = 400
 #: Bytes of text that one block of vectorised work holds (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
+#: Bytes up to which spans are hashed by running sums; the tables of powers are that long.
+MOST_POWERS = 1 << 23
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -174,10 +176,14 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     letters = random_words(256, seed)
     base = int(random_words(1, seed + 1000)[0] | U64(5))
     length = end - start
-    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    at = inside + np.repeat(start, length)
-    terms = letters[buf[at]] * powers(base, int(length.max()))[inside]
-    sums = np.add.reduceat(terms, np.cumsum(length) - length)
+    if len(buf) <= MOST_POWERS:  # differences of running sums, shifted back to the span's start
+        running = np.zeros(len(buf) + 1, dtype=U64)
+        np.cumsum(letters[buf] * powers(base, len(buf)), out=running[1:])
+        sums = (running[end] - running[start]) * powers(pow(base, -1, 2**64), len(buf) + 1)[start]
+    else:
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        at = inside + np.repeat(start, length)
+        sums = np.add.reduceat(letters[buf[at]] * powers(base, int(length.max()))[inside], np.cumsum(length) - length)
     return mix64(sums + length.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 

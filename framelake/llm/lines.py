@@ -42,6 +42,7 @@ LANES = 16
 #: Lines of one word that a cell holds per side, on average, and greatest number of frequent words that are broadcast.
 CELL = 2000
 MOST_BROADCAST = 20_000
+FILTER_BITS, FILTER_BLOCKS = 24, 64
 #: Bits of a word's hash; two of a line's words are taken for one with a chance of 1e-10.
 TOKEN_BITS = 44
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +126,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
 
 
 def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
-    """One row per set of words: its first line (doc_id, tkey, number), n, and its prefix as packed token hashes with their places."""
+    """One row per set of words: its first line (doc_id, tkey, number), n, signature, and the words of its prefix that other lines may have, rarest first."""
 
     def run(batches):
         table = counts.value
@@ -144,11 +145,8 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
                 used = (place < prefix[line]) & (count > 1)
                 bits = np.uint64(1) << (lines.token & np.uint64(63))
                 signature = np.bitwise_xor.reduceat(bits, lines.first[:-1])
-                packed = np.zeros(int(used.sum()), dtype=[("token", "<u4"), ("place", "<u2")])
-                packed["token"] = (token[used] >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32)
-                packed["place"] = np.minimum(place[used], 65535)
                 cut = np.concatenate(([0], np.cumsum(np.bincount(line[used], minlength=len(lines)))))
-                raw = packed.tobytes()
+                short = (token[used] >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(common.signed(lines.sums(21))),
@@ -158,59 +156,63 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
                         pa.array(lines.number.astype(np.int32)),
                         pa.array(lines.size.astype(np.int32)),
                         pa.array(common.signed(signature)),
-                        pa.array([raw[6 * a : 6 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(short)),
                     ],
                     names=["c1", "c2", "doc_id", "tkey", "number", "n", "signature", "prefix"],
                 )
 
-    found = common.arrow_map(rows, run, "c1 bigint, c2 bigint, doc_id bigint, tkey int, number int, n int, signature bigint, prefix binary")
+    found = common.arrow_map(rows, run, "c1 bigint, c2 bigint, doc_id bigint, tkey int, number int, n int, signature bigint, prefix array<int>")
     one = F.struct("doc_id", "number", "tkey")
     grouped = found.groupBy("c1", "c2").agg(F.min(one).alias("at"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"))
     return grouped.select("at.doc_id", "at.tkey", "at.number", "n", "signature", "prefix")
 
 
-def postings(firsts: DataFrame) -> DataFrame:
-    """A row per prefix word of each first line."""
-
-    def run(batches):
-        for batch in common.gathered(batches, 2000):
-            raw = batch.column("prefix").to_pylist()
-            items = np.frombuffer(b"".join(raw), dtype=[("token", "<u4"), ("place", "<u2")])
-            line = np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw])
-            columns = [pa.array(items["token"].astype(np.int64)), pa.array(items["place"].astype(np.int32))]
-            columns += [batch.column(c).take(pa.array(line)) for c in ("doc_id", "number", "n", "signature", "open")]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "place", "doc_id", "number", "n", "signature", "open"])
+_ROW = ("n", "m", "doc_id", "signature")
+_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int"
+#: Bits of m: line number, place in the prefix, side of the cell, whether the line is open.
+_PLACE, _SIDE, _OPEN = 32, 48, 50
 
-    columns = firsts.select("prefix", "doc_id", "number", "n", "signature", "open")
-    return common.arrow_map(columns, run, "token bigint, place int, doc_id bigint, number int, n int, signature bigint, open boolean")
 
+def postings(firsts: DataFrame) -> DataFrame:
+    """A row per prefix word of each first line: token, n, m, doc_id, signature.
 
-_ROW = ("doc_id", "number", "n", "signature", "place", "open")
-_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int"
+    A word's place counts from the prefix' first word that other lines may have; the
+    true one is not smaller, so bounds stay bounds.
+    """
+    rows = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id", "number", "signature", "open")
+    m = F.expr(f"CAST(number AS BIGINT) | shiftleft(CAST(least(place, 65535) AS BIGINT), {_PLACE}) | shiftleft(CAST(open AS BIGINT), {_OPEN})")
+    return rows.select("token", "n", m.alias("m"), "doc_id", "signature")
 
 
 def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of first lines (earlier a, later and open b) that pass the length, positional and signature filters for some prefix word.
 
-    With ``best``, only the pair of each b whose signatures differ least.
+    With ``best``, only the pair of each b whose signatures differ least.  The lines
+    of a frequent word are cut into parts, and every two parts meet in a cell.
     """
     rows = postings(firsts)
     if not best:
-        rows = rows.join(rows.filter("open").select("token").distinct(), "token", "left_semi")
+        opened = postings(firsts.filter("open")).select("token").distinct()
+        rows = rows.join(opened, "token", "left_semi")
     frequent = common.checkpointed(rows.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > CELL))
-    frequent = frequent.withColumn("parts", F.ceil(F.col("lines") / F.lit(CELL)).cast("int")).select("token", "parts")
-    if frequent.count() <= MOST_BROADCAST:
-        frequent = F.broadcast(frequent)
-    rows = rows.join(frequent, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "number"), F.col("parts").cast("bigint")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other", "parts")
-    dealt = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n")
+    many = frequent.count()
+    rows = rows.withColumn("cell", F.lit(0).cast("bigint"))
+    if many:
+        parts = frequent.select("token", F.ceil(F.col("lines") / F.lit(CELL)).cast("int").alias("parts"))
+        rows = rows.join(F.broadcast(parts) if many <= MOST_BROADCAST else parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.expr("m & 4294967295")), F.col("parts").cast("bigint")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
+        side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+        rows = rows.withColumn("m", F.col("m").bitwiseOR(F.shiftleft(side.cast("bigint"), _SIDE)))
+        rows = rows.withColumn("cell", F.least("part", "other") * (1 << 31) + F.greatest("part", "other")).drop("part", "other", "parts")
+    dealt = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "n")
 
     def pairs_of(x: dict[str, np.ndarray], first: np.ndarray):
         """Candidate index pairs among rows sorted by cell and n; first[k] is where row k's cell starts."""
         # Length filter: row k meets the rows before it in its cell whose n is at least percent of n[k].
         n = x["n"].astype(np.int64)
+        place, number = x["m"] >> _PLACE & 0xFFFF, x["m"] & 0xFFFFFFFF
+        side, is_open = x["m"] >> _SIDE & 3, (x["m"] >> _OPEN & 1).astype(bool)
         cell = np.cumsum(np.concatenate(([0], (np.diff(first) != 0).astype(np.int64)))) if len(first) else first
         key = cell * (1 << 32) + n
         low = np.maximum(np.searchsorted(key, cell * (1 << 32) + -(-percent * n // 100)), first)
@@ -227,14 +229,14 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
             ok = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
             a, b, differ = a[ok], b[ok], differ[ok]
             # Positional filter: words from here on bound the overlap, as the words before are rarer and shared once at most.
-            before = np.minimum(x["place"][a], x["place"][b])
-            bound = before + 1 + np.minimum(n[a] - x["place"][a] - 1, n[b] - x["place"][b] - 1)
+            before = np.minimum(place[a], place[b])
+            bound = before + 1 + np.minimum(n[a] - place[a] - 1, n[b] - place[b] - 1)
             ok = bound * (100 + percent) >= percent * (n[a] + n[b])
-            ok &= (x["part"][a] != x["part"][b]) | (x["p"][a] == x["q"][a])
+            ok &= (side[a] + side[b]) % 3 == 0  # both of the cell's only part, or of either
             a, b, differ = a[ok], b[ok], differ[ok]
-            swap = (x["doc_id"][a] > x["doc_id"][b]) | ((x["doc_id"][a] == x["doc_id"][b]) & (x["number"][a] > x["number"][b]))
+            swap = (x["doc_id"][a] > x["doc_id"][b]) | ((x["doc_id"][a] == x["doc_id"][b]) & (number[a] > number[b]))
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            ok = x["open"][b].astype(bool)
+            ok = is_open[b]
             a, b, differ = a[ok], b[ok], differ[ok]
             if best and len(b):
                 order = np.argsort(b * 65 + differ, kind="stable")
@@ -242,16 +244,17 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
                 one = np.concatenate(([True], b[1:] != b[:-1]))
                 a, b, differ = a[one], b[one], differ[one]
             if len(a):
-                yield pa.RecordBatch.from_arrays([*[pa.array(x[c][k]) for k in (a, b) for c in ("doc_id", "number")], pa.array(differ.astype(np.int32))], names=["a_doc", "a_line", "b_doc", "b_line", "differ"])
+                ends = [pa.array(c) for k in (a, b) for c in (x["doc_id"][k], number[k].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(differ.astype(np.int32))], names=["a_doc", "a_line", "b_doc", "b_line", "differ"])
 
     def run(batches):
         held = None
         for batch in common.gathered(batches):
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "p", "q", "part", *_ROW)}
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cell", *_ROW)}
             if held is not None:
                 x = {c: np.concatenate((held[c], x[c])) for c in x}
             new = np.ones(len(x["token"]), dtype=bool)
-            new[1:] = (np.diff(x["token"]) != 0) | (np.diff(x["p"]) != 0) | (np.diff(x["q"]) != 0)
+            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cell"][1:] != x["cell"][:-1])
             edges = np.flatnonzero(new)
             done = edges[-1]
             first = np.repeat(edges, np.diff(np.append(edges, len(new))))
@@ -267,34 +270,69 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
     return nearest.select("a.a_doc", "a.a_line", "b_doc", "b_line")
 
 
+def _place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return (common.mix64(common.mix64(doc.astype(np.int64).view(np.uint64) * _STEP) + number.astype(np.uint64) * _STEP) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def place_filter(places: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS bits (2 MB), packed, of the hashes of ``places`` (doc_id, number)."""
+
+    def mark(batches):
+        table, some = np.zeros(1 << FILTER_BITS, dtype=bool), False
+        for batch in common.gathered(batches):
+            table[_place_hash(batch.column("doc_id").to_numpy(), batch.column("number").to_numpy())] = some = True
+        blocks = np.packbits(table).reshape(FILTER_BLOCKS, -1)
+        at = [k for k in range(FILTER_BLOCKS) if some and blocks[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in at], pa.binary())], names=["block", "bits"])
+
+    def merge(key, table):
+        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in table.column("bits").to_pylist()])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    marks = common.arrow_map(places.coalesce(64), mark, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
+    out = np.zeros((FILTER_BLOCKS, (1 << FILTER_BITS) // 8 // FILTER_BLOCKS), dtype=np.uint8)
+    for r in marks.toLocalIterator():  # FILTER_BLOCKS rows
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
 def line_sets(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """Words, as packed hashes, of the lines in ``places`` (doc_id, number).  A bit filter lets most other documents out first."""
+    """Words, as packed hashes, of the lines in ``places`` (doc_id, number, distinct).  A broadcast bit filter lets most other lines out before they are hashed."""
+    shared = rows.sparkSession.sparkContext.broadcast(place_filter(places))
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for i, j, lines in _blocks(batch, least):
+            split = [t.split(b"\n") for t in common.encode_all(batch.column("text").to_pylist())]
+            counts = np.array([len(x) for x in split], dtype=np.int64)
+            doc = np.repeat(np.arange(len(split)), counts)
+            number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            place = _place_hash(ids[doc], number)
+            keep = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+            texts = [split[d][k] for d, k in zip(doc[keep].tolist(), number[keep].tolist())]
+            for i, j in common.blocks(texts):
+                lines = Lines(texts[i:j], least)
+                at = keep[i:j][lines.doc]
                 raw = lines.token.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[i:j][lines.doc]),
-                        pa.array(lines.number.astype(np.int32)),
+                        pa.array(ids[doc[at]]),
+                        pa.array(number[at].astype(np.int32)),
                         pa.array([raw[8 * a : 8 * b] for a, b in zip(lines.first[:-1].tolist(), lines.first[1:].tolist())], pa.binary()),
                     ],
                     names=["doc_id", "number", "tokens"],
                 )
 
-    near = common.roughly_in(rows.select("doc_id", "text"), "doc_id", places.select("doc_id"), "doc_id")
-    sets = common.arrow_map(near.select("doc_id", "text"), run, "doc_id bigint, number int, tokens binary")
-    sets = common.roughly_in(sets.withColumn("place", F.xxhash64("doc_id", "number")), "place", places.select(F.xxhash64("doc_id", "number").alias("place")), "place")
-    return sets.drop("place").join(places, ["doc_id", "number"], "left_semi")
+    sets = common.arrow_map(rows.select("doc_id", "text"), run, "doc_id bigint, number int, tokens binary")
+    return sets.join(places, ["doc_id", "number"])
 
 
 def verified(rows: DataFrame, pairs: DataFrame, percent: int, least: int) -> DataFrame:
     """The later lines (doc_id, number) of the pairs that are similar on their full word sets."""
     names = ["doc_id", "number"]
     places = pairs.selectExpr("a_doc doc_id", "a_line number").union(pairs.selectExpr("b_doc", "b_line")).distinct()
-    sets = common.checkpointed(line_sets(rows, places, least))
+    sets = common.checkpointed(line_sets(rows, common.checkpointed(places), least))
     side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("number").alias(f"{s}_line"), F.col("tokens").alias(s))
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
 
