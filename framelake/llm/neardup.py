@@ -196,7 +196,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     while not is_stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = common.checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # so Spark can split the join
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             )
 
     banded = common.arrow_map(classes.select("cid", "sketch"), bands, "bucket bigint, band int, cid bigint")
-    shared = banded.groupBy("bucket").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # Written out, so that the join has a shuffle on both sides and Spark can split a frequent bucket.
+    shared = common.checkpointed(banded.groupBy("bucket").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     in_bucket = common.checkpointed(banded.join(shared, "bucket"))
     star = in_bucket.filter("cid > a").select("a", F.col("cid").alias("b")).distinct()
     found = common.checkpointed(confirm(star, classes, docs, width, percent))
