@@ -126,7 +126,9 @@ def rarity(rows: DataFrame) -> np.ndarray:
 
 
 def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
-    """One row per set of words: its first line (doc_id, tkey, number), n, signature, and the words of its prefix that other lines may have, rarest first."""
+    """One row per set of words: its first line (doc_id, tkey, number), n, signature, the words of its prefix that other lines may have, rarest first, and those of them that may be frequent (by their counters)."""
+
+    most = CELL
 
     def run(batches):
         table = counts.value
@@ -146,6 +148,9 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
                 bits = np.uint64(1) << (lines.token & np.uint64(63))
                 signature = np.bitwise_xor.reduceat(bits, lines.first[:-1])
                 cut = np.concatenate(([0], np.cumsum(np.bincount(line[used], minlength=len(lines)))))
+                often = used & (count > most)
+                cut_often = np.concatenate(([0], np.cumsum(np.bincount(line[often], minlength=len(lines)))))
+                often = (token[often] >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32)
                 short = (token[used] >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -157,14 +162,15 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
                         pa.array(lines.size.astype(np.int32)),
                         pa.array(common.signed(signature)),
                         pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(short)),
+                        pa.ListArray.from_arrays(pa.array(cut_often.astype(np.int32)), pa.array(often)),
                     ],
-                    names=["c1", "c2", "doc_id", "tkey", "number", "n", "signature", "prefix"],
+                    names=["c1", "c2", "doc_id", "tkey", "number", "n", "signature", "prefix", "often"],
                 )
 
-    found = common.arrow_map(rows, run, "c1 bigint, c2 bigint, doc_id bigint, tkey int, number int, n int, signature bigint, prefix array<int>")
+    found = common.arrow_map(rows, run, "c1 bigint, c2 bigint, doc_id bigint, tkey int, number int, n int, signature bigint, prefix array<int>, often array<int>")
     one = F.struct("doc_id", "number", "tkey")
-    grouped = found.groupBy("c1", "c2").agg(F.min(one).alias("at"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"))
-    return grouped.select("at.doc_id", "at.tkey", "at.number", "n", "signature", "prefix")
+    grouped = found.groupBy("c1", "c2").agg(F.min(one).alias("at"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
+    return grouped.select("at.doc_id", "at.tkey", "at.number", "n", "signature", "prefix", "often")
 
 
 _ROW = ("n", "m", "doc_id", "signature")
@@ -192,9 +198,10 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
     """
     rows = postings(firsts)
     if not best:
-        opened = postings(firsts.filter("open")).select("token").distinct()
-        rows = rows.join(opened, "token", "left_semi")
-    frequent = common.checkpointed(rows.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > CELL))
+        opened = firsts.filter("open").select(F.explode("prefix").alias("token"))
+        rows = common.roughly_in(rows, "token", opened, "token", 1 << 18)
+    frequent = firsts.select(F.explode("often").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("lines"))
+    frequent = common.checkpointed(frequent.filter(F.col("lines") > CELL))
     many = frequent.count()
     rows = rows.withColumn("cell", F.lit(0).cast("bigint"))
     if many:
