@@ -19,7 +19,7 @@ Steps
      A word with many lines is dealt to cells of bounded size in which parts of the
      list meet, and batches hold a bounded number of comparisons.
   5. Candidates are verified on the full word sets, read again from the documents:
-     the likeliest one of each line first, all others only where it fails.
+     the FEW likeliest of each line first, others only where these fail.
   6. First lines without an earlier match stay; all other judged lines go.
 """
 
@@ -42,6 +42,8 @@ LANES = 16
 #: Lines of one word that a cell holds per side, on average, and greatest number of frequent words that are broadcast.
 CELL = 2000
 MOST_BROADCAST = 20_000
+#: Likeliest earlier lines that are verified first.
+FEW = 3
 FILTER_BITS, FILTER_BLOCKS = 24, 64
 #: Bits of a word's hash; two of a line's words are taken for one with a chance of 1e-10.
 TOKEN_BITS = 44
@@ -174,7 +176,7 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
 
 
 _ROW = ("n", "m", "doc_id", "signature")
-_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int"
+_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean"
 #: Bits of m: line number, place in the prefix, side of the cell, whether the line is open.
 _PLACE, _SIDE, _OPEN = 32, 48, 50
 
@@ -193,8 +195,9 @@ def postings(firsts: DataFrame) -> DataFrame:
 def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of first lines (earlier a, later and open b) that pass the length, positional and signature filters for some prefix word.
 
-    With ``best``, only the pair of each b whose signatures differ least.  The lines
-    of a frequent word are cut into parts, and every two parts meet in a cell.
+    With ``best``, only the FEW pairs of each b whose signatures differ least, and
+    ``more``: whether others were left out.  The lines of a frequent word are cut into
+    parts, and every two parts meet in a cell.
     """
     rows = postings(firsts)
     if not best:
@@ -245,14 +248,18 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             ok = is_open[b]
             a, b, differ = a[ok], b[ok], differ[ok]
+            more = np.zeros(len(b), dtype=bool)
             if best and len(b):
                 order = np.argsort(b * 65 + differ, kind="stable")
                 a, b, differ = a[order], b[order], differ[order]
-                one = np.concatenate(([True], b[1:] != b[:-1]))
-                a, b, differ = a[one], b[one], differ[one]
+                start_of = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+                size = np.diff(np.append(start_of, len(b)))
+                few = np.arange(len(b)) - np.repeat(start_of, size) < FEW
+                more = np.repeat(size > FEW, size)[few]
+                a, b, differ = a[few], b[few], differ[few]
             if len(a):
                 ends = [pa.array(c) for k in (a, b) for c in (x["doc_id"][k], number[k].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(differ.astype(np.int32))], names=["a_doc", "a_line", "b_doc", "b_line", "differ"])
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(differ.astype(np.int32)), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more"])
 
     def run(batches):
         held = None
@@ -272,9 +279,11 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
 
     pairs = common.arrow_map(dealt, run, _PAIR)
     if not best:
-        return pairs.drop("differ").distinct()
-    nearest = pairs.groupBy("b_doc", "b_line").agg(F.min(F.struct("differ", "a_doc", "a_line")).alias("a"))
-    return nearest.select("a.a_doc", "a.a_line", "b_doc", "b_line")
+        return pairs.select("a_doc", "a_line", "b_doc", "b_line").distinct()
+    # A line has FEW rows per prefix word at most, so the sets are short.
+    found = pairs.groupBy("b_doc", "b_line").agg(F.array_sort(F.collect_set(F.struct("differ", "a_doc", "a_line"))).alias("c"), F.max("more").alias("more"))
+    found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > FEW)).alias("more"), F.explode(F.slice("c", 1, FEW)).alias("a"))
+    return found.select("a.a_doc", "a.a_line", "b_doc", "b_line", "more")
 
 
 def _place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -358,14 +367,14 @@ def verified(rows: DataFrame, pairs: DataFrame, percent: int, least: int) -> Dat
 def matches(rows: DataFrame, firsts: DataFrame, percent: int, least: int) -> DataFrame:
     """First lines (doc_id, number) that an earlier first line matches.
 
-    The likeliest earlier line of each is verified first: that settles most, and a
-    group of n alike lines costs n pairs.  Only lines it did not settle meet all
-    their candidates.
+    The FEW likeliest earlier lines of each are verified first: that settles most,
+    and a group of n alike lines costs FEW * n pairs.  Only lines that have more
+    candidates, and none of these few a match, meet all of them.
     """
     names = ["doc_id", "number"]
     one = common.checkpointed(candidates(firsts.withColumn("open", F.lit(True)), percent, True))
-    gone = common.checkpointed(verified(rows, one, percent, least))
-    still = common.checkpointed(one.selectExpr("b_doc doc_id", "b_line number").join(gone, names, "left_anti"))
+    gone = common.checkpointed(verified(rows, one.drop("more"), percent, least))
+    still = common.checkpointed(one.filter("more").selectExpr("b_doc doc_id", "b_line number").distinct().join(gone, names, "left_anti"))
     if still.isEmpty():
         return gone
     marked = common.checkpointed(firsts.join(still.withColumn("__s", F.lit(True)), names, "left").withColumn("open", F.coalesce("__s", F.lit(False))).drop("__s"))
