@@ -14,7 +14,7 @@ Steps
   3. Prefix filter: lines with Jaccard >= t share one of the n - ceil(t n) + 1 rarest
      words.  Each class gives a row per prefix word; words that no other line has
      give none.
-  4. Per word: length filter, positional filter, and a 64-bit parity signature (the
+  4. Per word: length filter, positional filter, and a 128-bit parity signature (the
      symmetric difference is at least as large as the signatures' differing bits).
      A word with many lines is dealt to cells of bounded size in which parts of the
      list meet, and batches hold a bounded number of comparisons.
@@ -147,8 +147,9 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
                 place = np.arange(len(token)) - np.repeat(lines.first[:-1], lines.size)
                 prefix = lines.size - -(-percent * lines.size // 100) + 1
                 used = (place < prefix[line]) & (count > 1)
-                bits = np.uint64(1) << (lines.token & np.uint64(63))
-                signature = np.bitwise_xor.reduceat(bits, lines.first[:-1])
+                bit = np.uint64(1) << (lines.token & np.uint64(63))
+                upper = (lines.token & np.uint64(64)) > 0
+                signature = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), lines.first[:-1]) for half in (~upper, upper)]
                 cut = np.concatenate(([0], np.cumsum(np.bincount(line[used], minlength=len(lines)))))
                 often = used & (count > most)
                 cut_often = np.concatenate(([0], np.cumsum(np.bincount(line[often], minlength=len(lines)))))
@@ -162,34 +163,34 @@ def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
                         pa.array(tkeys[i:j][lines.doc]),
                         pa.array(lines.number.astype(np.int32)),
                         pa.array(lines.size.astype(np.int32)),
-                        pa.array(common.signed(signature)),
+                        *[pa.array(common.signed(x)) for x in signature],
                         pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(short)),
                         pa.ListArray.from_arrays(pa.array(cut_often.astype(np.int32)), pa.array(often)),
                     ],
-                    names=["c1", "c2", "doc_id", "tkey", "number", "n", "signature", "prefix", "often"],
+                    names=["c1", "c2", "doc_id", "tkey", "number", "n", "sig1", "sig2", "prefix", "often"],
                 )
 
-    found = common.arrow_map(rows, run, "c1 bigint, c2 bigint, doc_id bigint, tkey int, number int, n int, signature bigint, prefix array<int>, often array<int>")
+    found = common.arrow_map(rows, run, "c1 bigint, c2 bigint, doc_id bigint, tkey int, number int, n int, sig1 bigint, sig2 bigint, prefix array<int>, often array<int>")
     one = F.struct("doc_id", "number", "tkey")
-    grouped = found.groupBy("c1", "c2").agg(F.min(one).alias("at"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
-    return grouped.select("at.doc_id", "at.tkey", "at.number", "n", "signature", "prefix", "often")
+    grouped = found.groupBy("c1", "c2").agg(F.min(one).alias("at"), F.first("n").alias("n"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
+    return grouped.select("at.doc_id", "at.tkey", "at.number", "n", "sig1", "sig2", "prefix", "often")
 
 
-_ROW = ("n", "m", "doc_id", "signature")
+_ROW = ("n", "m", "doc_id", "sig1", "sig2")
 _PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean"
 #: Bits of m: line number, place in the prefix, side of the cell, whether the line is open.
 _PLACE, _SIDE, _OPEN = 32, 48, 50
 
 
 def postings(firsts: DataFrame) -> DataFrame:
-    """A row per prefix word of each first line: token, n, m, doc_id, signature.
+    """A row per prefix word of each first line: token, n, m, doc_id, sig1, sig2.
 
     A word's place counts from the prefix' first word that other lines may have; the
     true one is not smaller, so bounds stay bounds.
     """
-    rows = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id", "number", "signature", "open")
+    rows = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id", "number", "sig1", "sig2", "open")
     m = F.expr(f"CAST(number AS BIGINT) | shiftleft(CAST(least(place, 65535) AS BIGINT), {_PLACE}) | shiftleft(CAST(open AS BIGINT), {_OPEN})")
-    return rows.select("token", "n", m.alias("m"), "doc_id", "signature")
+    return rows.select("token", "n", m.alias("m"), "doc_id", "sig1", "sig2")
 
 
 def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -235,7 +236,7 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
             b = np.repeat(np.arange(start, stop), here)
             a = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here) + np.repeat(low[start:stop], here)
             start = stop
-            differ = np.bitwise_count((x["signature"][a] ^ x["signature"][b]).view(np.uint64)).astype(np.int64)
+            differ = sum(np.bitwise_count((x[s][a] ^ x[s][b]).view(np.uint64)).astype(np.int64) for s in ("sig1", "sig2"))
             ok = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
             a, b, differ = a[ok], b[ok], differ[ok]
             # Positional filter: words from here on bound the overlap, as the words before are rarer and shared once at most.
@@ -250,7 +251,7 @@ def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
             a, b, differ = a[ok], b[ok], differ[ok]
             more = np.zeros(len(b), dtype=bool)
             if best and len(b):
-                order = np.argsort(b * 65 + differ, kind="stable")
+                order = np.argsort(b * 129 + differ, kind="stable")
                 a, b, differ = a[order], b[order], differ[order]
                 start_of = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
                 size = np.diff(np.append(start_of, len(b)))
