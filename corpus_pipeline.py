@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from framelake.llm import bpe, common, decontaminate, langid, lines, neardup
 
+#: Line dedup judges every line with a word; ``op2_line_dedup`` leaves out shorter ones, as its SQL does.
+LEAST_WORDS = 1
 #: Near-duplicates share 80 % of their five-word shingles.
 SHINGLE_WORDS, PERCENT = 5, 80
 
@@ -21,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its text goes: earlier ones hold every line of it.
     """
-    out = lines.dedup_lines(docs).filter(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
+    out = lines.dedup_lines(docs, least=LEAST_WORDS).filter(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

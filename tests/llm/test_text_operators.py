@@ -508,3 +508,12 @@ def test_pipeline_stages_on_awkward_rows(spark, sf, kind):
         docs = frame(spark, rows)
         out = stage(spark, docs, sf)
         assert out.count() <= len(rows)
+
+
+def test_pipeline_takes_out_short_lines(spark, sf):
+    import corpus_pipeline
+
+    own = [" ".join(f"{x}{k}" for k in range(9)) for x in "abcd"]
+    rows = [(1, f"All rights reserved.\n{own[0]}\nLes.", "en"), (2, f"{own[1]}\nall rights reserved.\n\nLes.", "en"), (3, f"Les.\n{own[2]}\nrights reserved.", "en"), (4, f"Les.\n{own[3]}\nLes.", "en")]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), sf).collect()}
+    assert out == {1: rows[0][1], 2: f"{own[1]}\n", 3: f"{own[2]}\nrights reserved.", 4: own[3]}
