@@ -107,18 +107,47 @@ def pyramid_merge(stack: np.ndarray, levels: int = 2) -> np.ndarray:
     return collapse(out)
 
 
+def median_vote(winner: np.ndarray) -> np.ndarray:
+    """Each pixel's median of the 3 x 3 winners around it, edges repeated: an actual winner, as nine is odd."""
+    padded = np.pad(winner, 1, mode="edge")
+    h, w = winner.shape
+    return np.sort(np.stack([padded[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)]), axis=0)[4]
+
+
 def wavelet_merge(stack: np.ndarray, levels: int = 2) -> np.ndarray:
+    """Per band and pixel the strongest coefficient's frame, after a 3 x 3 median vote on the frames; the rest is the mean."""
     parts = [atrous(x, levels) for x in stack]
     out = np.mean([rest for _, rest in parts], axis=0)
     for k in range(levels):
         band = np.stack([bands[k] for bands, _ in parts])
-        out = out + np.take_along_axis(band, np.abs(band).argmax(axis=0)[None], axis=0)[0]
+        out = out + np.take_along_axis(band, median_vote(np.abs(band).argmax(axis=0))[None], axis=0)[0]
     return out
 
 
-def envelope_merge(stack: np.ndarray, margin: float = 0.02) -> np.ndarray:
-    """The pyramid merge, kept within the frames' range per pixel."""
-    return np.clip(pyramid_merge(stack), stack.min(axis=0) - margin, stack.max(axis=0) + margin)
+def sharpness(x: np.ndarray, sigma: float = 4.0) -> np.ndarray:
+    """Blurred strength of the Laplacian."""
+    second = np.array([1.0, -2.0, 1.0])
+    return blur(np.abs(_along(x, second, 0) + _along(x, second, 1)), sigma)
+
+
+def depth_merge(stack: np.ndarray, gamma: int = 8) -> np.ndarray:
+    """Mean of the frames, weighted by their sharpness to the power gamma."""
+    s = np.stack([sharpness(x) for x in stack])
+    w = (s / (s.max(axis=0) + 1e-6)) ** gamma
+    return (w * stack).sum(axis=0) / (w.sum(axis=0) + 1e-6)
+
+
+def within_envelope(sharp: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray, margin: float = 0.02, soft: float = 2.0) -> np.ndarray:
+    """``sharp`` kept within [low, high] and a margin, blended softly to ``depth`` where that cuts."""
+    sharp = np.clip(sharp, 0, 1)
+    kept = np.clip(sharp, low - margin, high + margin)
+    weight = blur(np.clip(np.abs(sharp - kept) / (margin + 1e-6), 0, 1), soft)
+    return np.clip(kept * (1 - weight) + depth * weight, 0, 1)
+
+
+def envelope_merge(stack: np.ndarray, margin: float = 0.02, soft: float = 2.0) -> np.ndarray:
+    """The pyramid merge of frames in [0, 1], kept within their range per pixel and blended to the depth merge where it leaves that."""
+    return within_envelope(pyramid_merge(stack), stack.min(axis=0), stack.max(axis=0), depth_merge(stack), margin, soft)
 
 
 def tree_merge(stack: np.ndarray, pair: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -298,10 +327,118 @@ def frame_map(px: DataFrame, frame: list[str], kernel: Callable[[np.ndarray], np
     return px.groupBy(*frame).applyInPandas(run, schema)
 
 
+def band_rows(px: DataFrame, series: list[str], frame: str, split: Callable[[np.ndarray], list[tuple[np.ndarray, np.ndarray]]], value: str = "v") -> DataFrame:
+    """(coefficient, energy) images that ``split`` makes of a frame, as rows: series..., frame, band, y, x, value, energy.
+
+    All frames of a series get the size of its largest one.
+    """
+    keys = [*series, frame]
+    schema = ", ".join(f"{f} bigint" for f in keys) + f", band int, y int, x int, {value} double, energy double"
+    size = px.groupBy(*series).agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
+
+    def run(key, pdf):
+        import pandas as pd
+
+        image = np.zeros((int(pdf["__h"].iloc[0]), int(pdf["__w"].iloc[0])))
+        image[pdf["y"], pdf["x"]] = pdf[value]
+        out = []
+        for k, (band, energy) in enumerate(split(image)):
+            yy, xx = np.mgrid[0 : band.shape[0], 0 : band.shape[1]]
+            same = {f: np.full(band.size, int(i)) for f, i in zip(keys, key)} | {"band": np.full(band.size, k, dtype="int32")}
+            out.append(pd.DataFrame(same | {"y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32"), value: band.ravel(), "energy": energy.ravel()}))
+        return pd.concat(out)
+
+    return px.join(size, series).groupBy(*keys).applyInPandas(run, schema)
+
+
+def strongest(frame: str, wanted: str):
+    """``wanted`` of the row with the most energy, of the first frame among equals."""
+    return F.max_by(wanted, F.struct("energy", -F.col(frame)))
+
+
+def rebuild(merged: DataFrame, series: list[str], columns: list[str], build: Callable[[list[dict[str, np.ndarray]]], np.ndarray], value: str = "v") -> DataFrame:
+    """``build`` on each series' merged bands (band, y, x and columns; an image per band and column), as pixels."""
+    schema = ", ".join(f"{f} bigint" for f in series) + f", y int, x int, {value} double"
+
+    def run(key, pdf):
+        import pandas as pd
+
+        bands = []
+        for _, rows in pdf.groupby("band"):
+            images = {c: np.zeros((int(rows["y"].max()) + 1, int(rows["x"].max()) + 1), dtype=rows[c].dtype) for c in columns}
+            for c in columns:
+                images[c][rows["y"], rows["x"]] = rows[c]
+            bands.append(images)
+        out = build(bands)
+        yy, xx = np.mgrid[0 : out.shape[0], 0 : out.shape[1]]
+        keys = {f: np.full(out.size, int(k)) for f, k in zip(series, key)}
+        return pd.DataFrame(keys | {"y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32"), value: out.ravel()})
+
+    return merged.groupBy(*series).applyInPandas(run, schema)
+
+
+def _pyramid_bands(levels: int):
+    def split(x):
+        *bands, base = pyramid(x, levels)
+        return [*((b, box(np.abs(b), 1)) for b in bands), (base, np.zeros_like(base))]
+
+    return split
+
+
+def _collapse_merged(bands: list[dict[str, np.ndarray]]) -> np.ndarray:
+    return collapse([*(b["best"] for b in bands[:-1]), bands[-1]["mean"]])
+
+
+def pyramid_merge_series(px: DataFrame, series: list[str], frame: str, levels: int = 2, value: str = "v") -> DataFrame:
+    """``pyramid_merge`` of all frames of a series, as an aggregate per coefficient: no task holds a series."""
+    rows = band_rows(px, series, frame, _pyramid_bands(levels), value)
+    merged = rows.groupBy(*series, "band", "y", "x").agg(strongest(frame, value).alias("best"), F.avg(value).alias("mean"))
+    return rebuild(merged, series, ["best", "mean"], _collapse_merged, value)
+
+
+def envelope_merge_series(px: DataFrame, series: list[str], frame: str, margin: float = 0.02, soft: float = 2.0, gamma: int = 8, value: str = "v") -> DataFrame:
+    """``envelope_merge`` of all frames of a series, in the same aggregate: the frame itself is band 0, its energy the sharpness."""
+    split = _pyramid_bands(2)
+    rows = band_rows(px, series, frame, lambda x: [(x, sharpness(x)), *split(x)], value)
+    weight = F.pow("energy", F.lit(float(gamma)))
+    columns = {"best": strongest(frame, value), "mean": F.avg(value), "low": F.min(value), "high": F.max(value), "top": F.max("energy"), "weights": F.sum(weight), "weighted": F.sum(weight * F.col(value))}
+    merged = rows.groupBy(*series, "band", "y", "x").agg(*[c.alias(k) for k, c in columns.items()])
+
+    def build(bands):
+        own, rest = bands[0], bands[1:]
+        scale = (own["top"] + 1e-6) ** gamma
+        depth = own["weighted"] / scale / (own["weights"] / scale + 1e-6)
+        return within_envelope(_collapse_merged(rest), own["low"], own["high"], depth, margin, soft)
+
+    return rebuild(merged, series, list(columns), build, value)
+
+
+def wavelet_merge_series(px: DataFrame, series: list[str], frame: str, levels: int = 2, value: str = "v") -> DataFrame:
+    """``wavelet_merge`` of all frames of a series: winners as an aggregate, a vote per series, and a join to the voted coefficients."""
+    def split(x):
+        bands, rest = atrous(x, levels)
+        return [*((b, np.abs(b)) for b in bands), (rest, np.zeros_like(rest))]
+
+    at = [*series, "band", "y", "x"]
+    rows = band_rows(px, series, frame, split, value)
+    winners = rows.filter(F.col("band") < levels).groupBy(*at).agg(strongest(frame, frame).alias(frame))
+
+    def vote(key, pdf):
+        winner = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), dtype=np.int64)
+        winner[pdf["y"], pdf["x"]] = pdf[frame]
+        return pdf.assign(**{frame: median_vote(winner)[pdf["y"], pdf["x"]]})
+
+    voted = winners.groupBy(*series, "band").applyInPandas(vote, winners.schema)
+    best = rows.join(voted, [*at, frame]).select(*at, value)
+    rest = rows.filter(F.col("band") == levels).groupBy(*at).agg(F.avg(value).alias(value))
+    return best.union(rest).groupBy(*series, "y", "x").agg(F.sum(value).alias(value)).select(*series, "y", "x", value)
+
+
 def series_map(px: DataFrame, series: list[str], frame: str, kernel: Callable[[np.ndarray], np.ndarray], most: int = 16, value: str = "v") -> DataFrame:
     """The kernel on chunks of at most ``most`` consecutive frames, then on the chunks' results until one is left.
 
-    So a task holds ``most`` frames, however long the series is.
+    So a task holds ``most`` frames, however long the series is.  Only for kernels
+    that are associative: others give another result than over all frames.
     """
     from pyspark.sql import Window
 

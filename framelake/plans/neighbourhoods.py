@@ -46,16 +46,16 @@ def _surface(x: np.ndarray) -> np.ndarray:
 _per_frame("background_extract", _surface)
 
 
-def _per_series(name: str, kernel):
+def _merged(name: str, merge):
     @query(name)
     def run(spark, d):
-        return rounded(kernels.series_map(_unit_pixels(spark, d), ["series_id"], "seq", kernel), "v")
+        return rounded(merge(_unit_pixels(spark, d), ["series_id"], "seq"), "v")
 
 
-_per_series("pyramid_merge", kernels.pyramid_merge)
-_per_series("wavelet_merge", kernels.wavelet_merge)
-_per_series("envelope_merge", kernels.envelope_merge)
-_per_series("tree_merge", lambda s: kernels.tree_merge(s, np.maximum))
+_merged("pyramid_merge", kernels.pyramid_merge_series)
+_merged("wavelet_merge", kernels.wavelet_merge_series)
+_merged("envelope_merge", kernels.envelope_merge_series)
+_merged("tree_merge", lambda px, series, frame: kernels.series_map(px, series, frame, lambda s: kernels.tree_merge(s, np.maximum)))
 
 
 @query("drizzle_stack")

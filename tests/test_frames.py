@@ -204,3 +204,17 @@ def test_versions_and_numbers(spark):
     assert [r[0] for r in df.select(meta.version_key(df.a) > meta.version_key(df.b)).collect()] == [True, False]
     n = spark.createDataFrame([("28/10",), ("50 mm",), ("none",), ("1/0",)], "t string")
     assert [r[0] for r in n.select(meta.number(n.t)).collect()][:3] == [2.8, 50.0, None]
+
+
+@pytest.mark.parametrize("name", ["pyramid_merge", "wavelet_merge", "envelope_merge"])
+def test_merges_are_over_all_frames_at_once(spark, sf, name):
+    got = __spark_entry__.queries()[name](spark, sf).toPandas()
+    px = tables.pixels(spark, sf).toPandas()
+    for k, rows in px.groupby("series_id"):
+        seqs = np.sort(rows["seq"].unique())
+        stack = np.zeros((len(seqs), 8, 8))
+        stack[np.searchsorted(seqs, rows["seq"]), rows["y"], rows["x"]] = (rows["v"] + 1) / 2
+        one = got[got["series_id"] == k]
+        out = np.full((8, 8), np.nan)
+        out[one["y"], one["x"]] = one["v"]
+        assert len(seqs) > 16 and len(one) == 64 and np.abs(out - getattr(kernels, name)(stack)).max() < 2e-6
