@@ -231,6 +231,66 @@ def ransac(src: np.ndarray, dst: np.ndarray, tolerance: float = 3.0, rounds: int
     return (fit_affine(src[best], dst[best], similarity), best) if best.sum() >= 3 else (None, best)
 
 
+def descriptors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Side ratios (shortest, middle to longest) of all triangles, and their corners by the length of the opposite side; nearly collinear ones are left out."""
+    i, j, k = np.meshgrid(*[np.arange(len(points))] * 3, indexing="ij")
+    corner = np.stack((i, j, k), axis=-1)[(i < j) & (j < k)]
+    p = points[corner]
+    side = np.hypot(*np.moveaxis(p[:, [1, 0, 0]] - p[:, [2, 2, 1]], 2, 0))
+    order = np.argsort(side, axis=1, kind="stable")
+    side, corner = np.take_along_axis(side, order, 1), np.take_along_axis(corner, order, 1)
+    ratio = side[:, :2] / np.maximum(side[:, 2:], 1e-12)
+    good = (side[:, 2] >= 1e-3) & (ratio[:, 0] >= 0.05) & (side[:, 2] - side[:, 1] >= 1e-3)
+    return ratio[good], corner[good]
+
+
+def nearest_within(queries: np.ndarray, points: np.ndarray, reach: float) -> np.ndarray:
+    """Index of the nearest point in [0, 1]^2 (the first of equals) within reach, or -1: by grid cells, of small ones first."""
+    out = np.full(len(queries), -1)
+    for cell in (reach / 8, reach / 3, reach):
+        open_ = np.flatnonzero(out < 0)
+        wide = int(1 / cell) + 4
+        at = lambda x: (x // cell).astype(np.int64) + 1
+        key = at(points[:, 0]) * wide + at(points[:, 1])
+        order = np.argsort(key, kind="stable")
+        key, best, mine = key[order], np.full(len(open_), np.inf), np.full(len(open_), -1)
+        own = at(queries[open_, 0]) * wide + at(queries[open_, 1])
+        for row in (-wide, 0, wide):
+            lo, hi = np.searchsorted(key, own + row - 1, "left"), np.searchsorted(key, own + row + 1, "right")
+            n = hi - lo
+            q = np.repeat(np.arange(len(open_)), n)
+            c = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+            d = np.hypot(*(queries[open_[q]] - points[c]).T)
+            q, start = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
+            if not len(q):
+                continue
+            least = np.minimum.reduceat(d, start)
+            c = np.minimum.reduceat(np.where(d == np.repeat(least, n[q]), c, len(points)), start)
+            d = least
+            nearer = (d <= cell) & ((d < best[q]) | (d == best[q]) & (c < mine[q]))
+            best[q[nearer]], mine[q[nearer]] = d[nearer], c[nearer]
+        out[open_] = mine
+    return out
+
+
+def match_triangles(ref: np.ndarray, mov: np.ndarray, most: int = 60, tolerance: float = 0.02, least: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of matching points, one to one: each triangle votes for the corners of its nearest, and most votes choose first; none if there are fewer than ``least``."""
+    none = np.zeros(0, dtype=np.int64)
+    (rd, rt), (md, mt) = descriptors(ref[:most]), descriptors(mov[:most])
+    if not len(rd) or not len(md):
+        return none, none
+    near = nearest_within(rd, md, tolerance)
+    votes = np.zeros((most, most), dtype=np.int64)
+    np.add.at(votes, (mt[near[near >= 0]], rt[near >= 0]), 1)
+    best, count = votes.argmax(axis=1), votes.max(axis=1)
+    used, pairs = set(), []
+    for m in np.argsort(-count, kind="stable"):
+        if count[m] >= 2 and best[m] not in used:
+            used.add(best[m])
+            pairs.append((best[m], m))
+    return tuple(np.array(pairs).T) if len(pairs) >= least else (none, none)
+
+
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """3x3 matrix from four or more pairs."""
     rows = []

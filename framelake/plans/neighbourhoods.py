@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import combine, kernels
@@ -124,20 +125,26 @@ def crop_to_overlap(spark, d):
 
 @query("robust_registration")
 def robust_registration(spark, d):
-    """Similarity between two point lists by triangle votes, then sample consensus on the pairs with most votes."""
-    from .frames import _points, match
+    """Similarity from each frame's points, moved by 7.5, to those of the frame before it in its series: triangle votes, one-to-one pairs, sample consensus."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    e = tables.table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("series_id"), F.lag("vec_id").over(order).alias("ref"), F.col("vec_id").alias("mov"), F.lag("embedding").over(order).alias("rv"), F.col("embedding").alias("mv"))
 
-    a, b = _points(spark, d, 0), _points(spark, d, 0, 7.5)
-    votes = match.triangle_votes(match.triangles(a.withColumn("f", F.lit(0)), ["f"], 16), match.triangles(b.withColumn("f", F.lit(1)), ["f"], 16))
-    best = match.nearest(votes.withColumn("rank", -F.col("votes")), ["ref"], "rank", "mov")
-    pairs = best.join(a.select(F.col("id").alias("ref"), F.col("x").alias("rx"), F.col("y").alias("ry")), "ref").join(b.select(F.col("id").alias("mov"), F.col("x").alias("mx"), F.col("y").alias("my")), "mov")
+    def points(values, shift):
+        k = np.arange(len(values))
+        return np.stack((k * 37 % 101 + np.asarray(values, dtype=float) * 4 + shift, k * 53 % 97 - shift), axis=1)
 
-    def run(key, pdf):
+    def run(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values("ref")
-        m, good = kernels.ransac(pdf[["mx", "my"]].to_numpy(), pdf[["rx", "ry"]].to_numpy(), 1.0)
-        values = [np.nan] * 6 if m is None else m.ravel().round(6).tolist()
-        return pd.DataFrame([(*values, int(good.sum()))], columns=["a", "b", "tx", "c", "d", "ty", "inliers"])
-
-    return pairs.groupBy(F.lit(0).alias("k")).applyInPandas(run, "a double, b double, tx double, c double, d double, ty double, inliers bigint")
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                ref, mov = points(r.rv, 0.0), points(r.mv, 7.5)
+                i, j = kernels.match_triangles(ref, mov)
+                m, good = kernels.ransac(mov[j], ref[i], 1.0)
+                rows.append((r.series_id, r.ref, r.mov, *([np.nan] * 6 if m is None else m.ravel().round(6).tolist()), int(good.sum())))
+            yield pd.DataFrame(rows, columns=["series_id", "ref", "mov", "a", "b", "tx", "c", "d", "ty", "inliers"])
+
+    # A pair costs much more than its few bytes tell: dealt anew, so that these are not joined into one task.
+    pairs = e.filter("ref IS NOT NULL").repartition(4 * spark.sparkContext.defaultParallelism, "series_id", "mov")
+    return pairs.mapInPandas(run, "series_id bigint, ref bigint, mov bigint, a double, b double, tx double, c double, d double, ty double, inliers bigint")

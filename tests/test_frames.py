@@ -218,3 +218,24 @@ def test_merges_are_over_all_frames_at_once(spark, sf, name):
         out = np.full((8, 8), np.nan)
         out[one["y"], one["x"]] = one["v"]
         assert len(seqs) > 16 and len(one) == 64 and np.abs(out - getattr(kernels, name)(stack)).max() < 2e-6
+
+
+def test_triangles_match_despite_turn_and_scale():
+    rng = np.random.default_rng(5)
+    d, e = rng.random((300, 2)), rng.random((400, 2))
+    far = np.hypot(*np.moveaxis(d[:, None] - e[None], 2, 0))
+    assert (kernels.nearest_within(d, e, 0.02) == np.where(far.min(axis=1) <= 0.02, far.argmin(axis=1), -1)).all()
+    ref = rng.random((64, 2)) * 100
+    order = rng.permutation(60)
+    mov = 1.3 * ref[order] @ np.array([[0.8, -0.6], [0.6, 0.8]]) + (4, -9)
+    i, j = kernels.match_triangles(ref, mov)
+    assert len(j) == 60 and (order[j] == i).all()
+
+
+def test_registration_covers_all_frames(spark, sf, tmp_path):
+    tables.table(spark, sf, "embeddings").filter("vec_id < 50").write.parquet(str(tmp_path / "embeddings.parquet"))
+    e = tables.table(spark, str(tmp_path), "embeddings").select("label", "vec_id").toPandas().sort_values(["label", "vec_id"])
+    want = {(k, *p) for k, rows in e.groupby("label") for p in zip(rows["vec_id"], rows["vec_id"][1:])}
+    got = __spark_entry__.queries()["robust_registration"](spark, str(tmp_path)).toPandas()
+    assert {tuple(x) for x in got[["series_id", "ref", "mov"]].itertuples(index=False)} == want and len(got) == len(want)
+    assert (got["inliers"] >= 3).mean() > 0.9
