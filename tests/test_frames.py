@@ -239,3 +239,22 @@ def test_registration_covers_all_frames(spark, sf, tmp_path):
     got = __spark_entry__.queries()["robust_registration"](spark, str(tmp_path)).toPandas()
     assert {tuple(x) for x in got[["series_id", "ref", "mov"]].itertuples(index=False)} == want and len(got) == len(want)
     assert (got["inliers"] >= 3).mean() > 0.9
+
+
+def test_background_leaves_a_nebula():
+    from framelake.plans import neighbourhoods
+
+    yy, xx = np.mgrid[0:16, 0:16] / 16
+    sky = 0.2 + 0.1 * xx + 0.05 * yy
+    nebula = np.zeros((16, 16))
+    nebula[6:10, 6:10] = 0.4
+    out = neighbourhoods._surface(sky + nebula)
+    ring = nebula == 0
+    assert np.abs(out[ring] - np.median(sky)).max() < 0.02
+    assert np.abs(out[~ring] - np.median(sky) - 0.4).max() < 0.02
+
+
+def test_median_vote_drops_a_lone_winner():
+    winner = np.full((5, 5), 3)
+    winner[2, 2] = 300
+    assert (kernels.median_vote(winner) == 3).all()
