@@ -3,9 +3,14 @@
 A seed is a fixed mask of word positions; ignored positions may hold any word, so a
 hit survives substitutions there.  Seed hashes of the benchmark meet those of the
 documents; around each hit the item and the document are compared word by word on
-that diagonal, and the best-scoring stretch (a match 1, a mismatch -2) counts if it
-has enough matches.  An item is found if the stretches of all its diagonals cover
-enough of its words, so insertions and deletions are tolerated, too.
+that diagonal, and every best-scoring stretch (a match 1, a mismatch -2; the best, then
+the best of what is left on either side) counts if it has enough matches.  An item
+is found if the stretches of all its diagonals cover enough of its words, so
+insertions and deletions are tolerated, too.
+
+An item short enough to need a share of its words is also found in any window of
+its length that has so many words in their places.  Its masks are all pairs of its
+k + 2 parts, where k words may differ: two parts at least are then unchanged.
 
 The benchmark is the stated query set: it is read in blocks of bounded size, each
 block is broadcast and run against all rows.
@@ -13,6 +18,7 @@ block is broadcast and run against all rows.
 
 from __future__ import annotations
 
+import itertools
 import string
 from collections.abc import Iterator
 
@@ -34,6 +40,23 @@ LEAST_ITEM = 5
 BLOCK_WORDS = 1_000_000
 _TABLE_BITS = 22
 
+
+def needed(length: np.ndarray) -> np.ndarray:
+    """Words to cover of items of these lengths."""
+    return np.minimum(LEAST_COVERED, np.ceil(LEAST_SHARE * length)).astype(np.int64)
+
+
+#: The longest item of which a share is needed.
+LONGEST_SHARE = int(LEAST_COVERED / LEAST_SHARE)
+
+
+def short_masks(length: int) -> list[str]:
+    """Masks of a whole short item, one of which avoids any substitutions that leave enough words."""
+    parts = length - int(needed(np.array([length]))[0]) + 2
+    part = np.arange(length) * parts // length
+    return ["".join("01"[int(p in pair)] for p in part) for pair in itertools.combinations(range(parts), 2)]
+
+
 _OTHERS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -60,15 +83,16 @@ class Index:
         words = common.Words([plain(t) for t in texts])
         self.hashes, self.first = words.hashes(1), words.first
         length = np.diff(self.first)
-        self.need = np.minimum(LEAST_COVERED, np.ceil(LEAST_SHARE * length)).astype(np.int64)
+        self.need = needed(length)
         usable = length >= LEAST_ITEM
-        self.masks = [m for m in MASKS] + ["1" * n for n in range(LEAST_ITEM, max(map(len, MASKS)))]
+        short = [int(n) for n in np.unique(length) if LEAST_ITEM <= n <= LONGEST_SHARE]
+        self.masks = [*MASKS, *(m for n in short for m in short_masks(n))]
         self.keys, self.places, self.tables = [], [], []
         for k, mask in enumerate(self.masks):
             at = common.runs_in_docs(words, len(mask))
             if k < len(MASKS):
                 at = at[usable[words.doc[at]]]
-            else:  # whole items that are shorter than a mask
+            else:  # whole short items
                 at = at[usable[words.doc[at]] & (length[words.doc[at]] == len(mask))]
             key = seed_hashes(self.hashes, at, mask, k)
             order = np.argsort(key)
@@ -115,8 +139,10 @@ class Index:
             lo = max(start, q - (p - words.first[doc]))
             hi = min(end, q + (words.first[doc + 1] - p))
             same = self.hashes[lo:hi] == hashes[p - q + lo : p - q + hi]
-            a, b = best_stretch(same)
-            if same[a:b].sum() >= min(LEAST_STRETCH, self.need[item]):
+            found = stretches(same, min(LEAST_STRETCH, self.need[item]))
+            if hi - lo == end - start <= LONGEST_SHARE and same.sum() >= self.need[item]:
+                found = [(0, len(same))]
+            for a, b in found:
                 seen = covered.setdefault((doc, item), np.zeros(end - start, dtype=bool))
                 seen[lo - start + a : lo - start + b] |= same[a:b]
         return [(d, i, int(s.sum())) for (d, i), s in covered.items() if s.sum() >= self.need[i]]
@@ -131,6 +157,19 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The best stretch and those of what is left on either side of it, each with at least so many matches."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        if same[lo:hi].sum() >= least:
+            a, b = best_stretch(same[lo:hi])
+            if same[lo + a : lo + b].sum() >= least:
+                out.append((lo + a, lo + b))
+            todo += [(lo, lo + a), (lo + b, hi)]
+    return out
+
+
 def benchmark_blocks(benchmark: DataFrame, words: int = BLOCK_WORDS) -> Iterator[Index]:
     """The items, by id, in blocks that hold so many words at most (or one longer item)."""
     ids, texts, size = [], [], 0

@@ -517,3 +517,24 @@ def test_pipeline_takes_out_short_lines(spark, sf):
     rows = [(1, f"All rights reserved.\n{own[0]}\nLes.", "en"), (2, f"{own[1]}\nall rights reserved.\n\nLes.", "en"), (3, f"Les.\n{own[2]}\nrights reserved.", "en"), (4, f"Les.\n{own[3]}\nLes.", "en")]
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), sf).collect()}
     assert out == {1: rows[0][1], 2: f"{own[1]}\n", 3: f"{own[2]}\nrights reserved.", 4: own[3]}
+
+
+def test_decontamination_adds_up_stretches_of_a_diagonal(spark):
+    item = [f"q{k}" for k in range(31)]
+    text = " ".join([*item[:12], *(f"z{k}" for k in range(7)), *item[19:]])
+    found = decontaminate.overlaps(frame(spark, [(1, f"a {text} b", "en")]), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, 1, 31, 24)]
+
+
+def test_short_items_are_found_despite_any_substitutions():
+    from itertools import combinations
+
+    for n in range(decontaminate.LEAST_ITEM, decontaminate.LONGEST_SHARE + 1):
+        need = int(decontaminate.needed(np.array([n]))[0])
+        item = [f"q{k}" for k in range(n)]
+        index = decontaminate.Index([1], [" ".join(item)])
+        for lost in combinations(range(n), n - need):
+            text = " ".join(["x", *("y" if k in lost else w for k, w in enumerate(item)), "x"])
+            assert index.find(common.Words([text.encode()])) == [(0, 0, need)], (n, lost)
+        more = " ".join("y" if k % (n // (n - need + 1)) == 0 else w for k, w in enumerate(item))
+        assert not index.find(common.Words([more.encode()])), n
