@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +103,17 @@ def channel_gains(df: DataFrame, low: float = 0.4, high: float = 2.5, least: int
     return gains.select("channel", F.least(F.greatest("gain", F.lit(low)), F.lit(high)).alias("gain"), "n")
 
 
-def pair_graph(edges: DataFrame, start: int = 0, rounds: int = 50) -> DataFrame:
+def pair_graph(edges: DataFrame, start: int = 0) -> DataFrame:
     """Product of factors along shortest paths from ``start`` (breadth first): node, depth, factor; edges i, j, factor in both directions.
 
-    One join per level; equal depths take the smaller predecessor.
+    One join per level, until a level reaches no new node; equal depths take the smaller predecessor.
     """
     spark = edges.sparkSession
     edges = edges.select("i", "j", "factor")
     edges = checkpointed(edges.union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), (1.0 / F.col("factor")).alias("factor"))))
     reached = spark.createDataFrame([(start, 0, 1.0)], "node bigint, depth int, factor double")
     frontier = reached
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         here = frontier.select(F.col("node").alias("i"), F.col("factor").alias("so_far"))
         step = here.join(edges, "i").select("j", "i", (F.col("so_far") * F.col("factor")).alias("f"))
         step = step.groupBy("j").agg(F.min_by("f", "i").alias("factor")).select(F.col("j").alias("node"), F.lit(depth).alias("depth"), "factor")

@@ -241,6 +241,11 @@ def test_registration_covers_all_frames(spark, sf, tmp_path):
     assert (got["inliers"] >= 3).mean() > 0.9
 
 
+def test_pair_graph_reaches_the_end_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(55)], "i bigint, j bigint, factor double")
+    assert {(r["node"], r["depth"]) for r in match.pair_graph(edges).collect()} == {(i, i) for i in range(56)}
+
+
 def test_background_leaves_a_nebula():
     from framelake.plans import neighbourhoods
 
