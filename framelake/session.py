@@ -1,14 +1,31 @@
-"""Session helpers."""
+"""Session helpers: lineage, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of an Arrow batch for Python.  One value for texts and frames alike, so the order of calls doesn't matter.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, which long texts and large frames would otherwise fill without limit."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder named in spark.checkpoint.dir, which all executors share; on one machine a folder of its own is taken."""
+    """Cut the lineage through the folder that all executors share, which ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a session on one machine takes a folder of its own; on a
+    cluster that would be a folder no other executor sees, so it is an error there.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/framelake")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = "/tmp/checkpoints/framelake"
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
