@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches, checkpointed  # noqa: F401  (the operators take it from here)
+
 U64 = np.uint64
-#: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 400
+#: Bytes of per-document lists up to which they are broadcast.
+MOST_BROADCAST = 32 << 20
 #: Bytes of text that one block of vectorised work holds (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
-#: Bytes up to which spans are hashed by running sums; the tables of powers are that long.
-MOST_POWERS = 1 << 23
+#: Lanes of eight bytes that are hashed one after the other; a longer word's others are hashed by place.
+CHAIN = 8
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,11 +35,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``df.mapInArrow`` with batches of bounded bytes."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def pack(batch: pa.RecordBatch) -> bytes:
+    """A batch as one value of a row: many small rows travel as few, column by column and compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
+
+
+def packed_by(batch: pa.RecordBatch, part: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, blob): the batch cut by ``part``, in ascending order of it."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    rows = batch.take(pa.array(order))
+    blobs = [pack(rows.slice(a, b - a)) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def dealt(parts: DataFrame) -> DataFrame:
+    """Rows (part, blob) with those of a part side by side."""
+    return parts.repartition("part").sortWithinPartitions("part")
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All packed rows of one part after the other."""
+    part, held = None, []
+    for batch in batches:
+        for p, raw in zip(batch.column("part").to_pylist(), batch.column("blob")):
+            if p != part and held:
+                yield pa.concat_batches(held)
+                held = []
+            part = p
+            held.append(unpack(raw.as_py()))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, key: str, column: str, how: str = "left", most: int | None = None) -> DataFrame:
+    """``docs`` with ``column`` (binary, a value per ``key``) of ``lists``.
+
+    ``lists`` is small against the texts.  If all of it takes MOST_BROADCAST bytes at
+    most, it is broadcast and the texts stay where they are; beyond that the join
+    is shuffled, with the same result.
+    """
+    lists = checkpointed(lists)
+    size = lists.agg(F.sum(F.octet_length(column)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    small = (size["bytes"] or 0) + 64 * size["rows"] <= (MOST_BROADCAST if most is None else most)
+    return docs.join(F.broadcast(lists) if small else lists.hint("merge"), key, how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 30_000) -> Iterator[pa.RecordBatch]:
     """Batches of numbers joined to larger ones, which vectorised work likes better."""
     held, n = [], 0
@@ -52,20 +120,6 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 30_000) -> Iterator[
         yield pa.concat_batches(held)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
-    tests on one machine, a folder of the session's own is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/checkpoints/framelake")
-    return df.checkpoint(eager=True)
-
-
 def roughly_in(rows: DataFrame, key: str, needed: DataFrame, needed_key: str, words: int = 1 << 17) -> DataFrame:
     """Rows whose key is in ``needed``, and a few others: a bit filter ahead of an exact join.
 
@@ -118,18 +172,9 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed) * U64(1 << 32)) * U64(0x9E3779B97F4A7C15))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (max(n, 1) - 1).bit_length())
-        grown = np.full(size, base & (2**64 - 1), dtype=U64)
-        grown[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(grown)
-    return have[:n]
+_STEP = U64(0x9E3779B97F4A7C15)
+#: The first k bytes of a little-endian word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 class Words:
@@ -170,33 +215,67 @@ class Words:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of buf[start:end] for each span; spans are disjoint and ascending."""
+    """A 64-bit hash of buf[start:end] for each span.
+
+    Every eight bytes go through a full mix that depends on what stands before them
+    (or, from CHAIN lanes on, on their place), so there is no sum of powers in which
+    terms of unlike words could cancel out.
+    """
     if not len(start):
         return np.zeros(0, dtype=U64)
-    letters = random_words(256, seed)
-    base = int(random_words(1, seed + 1000)[0] | U64(5))
+    key, later = random_words(2, seed)
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     length = end - start
-    if len(buf) <= MOST_POWERS:  # differences of running sums, shifted back to the span's start
-        running = np.zeros(len(buf) + 1, dtype=U64)
-        np.cumsum(letters[buf] * powers(base, len(buf)), out=running[1:])
-        sums = (running[end] - running[start]) * powers(pow(base, -1, 2**64), len(buf) + 1)[start]
-    else:
-        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        at = inside + np.repeat(start, length)
-        sums = np.add.reduceat(letters[buf[at]] * powers(base, int(length.max()))[inside], np.cumsum(length) - length)
-    return mix64(sums + length.astype(U64) * U64(0x9E3779B97F4A7C15))
+    out = mix64((lanes[start] & _MASKS[np.minimum(length, 8)]) ^ key)
+    at, lane = np.flatnonzero(length > 8), 1
+    while len(at) and lane < CHAIN:
+        rest = length[at] - 8 * lane
+        value = lanes[start[at] + 8 * lane] & _MASKS[np.minimum(rest, 8)]
+        out[at] = mix64((out[at] ^ value) * (later | U64(1)) + key)
+        at, lane = at[rest > 8], lane + 1
+    if len(at):  # long words: their other lanes, each mixed with its place
+        count = (length[at] + 7) // 8 - CHAIN
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + CHAIN
+        byte = np.repeat(start[at], count) + 8 * place
+        value = lanes[byte] & _MASKS[np.minimum(np.repeat(end[at], count) - byte, 8)]
+        mixed = mix64(mix64(value ^ later) + mix64(place.astype(U64) ^ key))
+        out[at] = mix64(out[at] ^ np.add.reduceat(mixed, np.cumsum(count) - count))
+    return mix64(out + length.astype(U64) * _STEP)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of a followed by b, from theirs; the order counts."""
+    x = (a ^ (a >> U64(29))) * U64(0xBF58476D1CE4E5B9) + b
+    return (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
 
 
 def window_hashes(values: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
-    """Hashes of all runs of ``width`` consecutive values (len - width + 1 of them)."""
+    """Hashes of all runs of ``width`` consecutive values (len - width + 1 of them), joined by doubling."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    base = int(random_words(1, seed + 2000)[0] | U64(5))
-    inverse = pow(base, -1, 2**64)
-    sums = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    return mix64((sums[width:] - sums[:n]) * powers(inverse, n))
+    have, size, done, out = values ^ random_words(1, seed + 2000)[0], 1, 0, None
+    while True:
+        if width & size:
+            part = have[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += size
+        if done == width:
+            return mix64(out)
+        have = joined(have[:-size], have[size:])
+        size *= 2
+
+
+def range_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hashes of values[lo:hi] for ranges that follow each other without overlap, none of them empty."""
+    if not len(lo):
+        return np.zeros(0, dtype=U64)
+    key = random_words(1, seed + 3000)[0]
+    length = hi - lo
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    mixed = mix64((values[np.repeat(lo, length) + place] ^ key) + place.astype(U64) * _STEP)
+    return mix64(np.add.reduceat(mixed, np.cumsum(length) - length) + length.astype(U64))
 
 
 def runs_in_docs(words: Words, width: int) -> np.ndarray:

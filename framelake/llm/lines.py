@@ -5,22 +5,26 @@ are judged: a line goes if an earlier line, in order of (doc_id, line number), h
 Jaccard similarity of ``percent`` or more.
 
 Steps
-  1. Word rarity: each partition counts words in a fixed table of hashed counters;
-     the tables are summed and broadcast (4 MB).  (count, hash) is a total order of
-     words; prefix filtering needs no more than that, so shared counters are harmless.
-  2. Classes: lines with equal sets form one class, kept by its first line.  The
-     minimum is taken before the shuffle, so a line that stands in a third of all
-     documents costs a row per task.
+  1. Word rarity: each partition counts words in hashed counters, whose number grows
+     with the text; their sums, rounded to eighths of a power of two (a byte each),
+     are broadcast.  (count, hash) is a total order of words; prefix filtering needs
+     no more than that, so shared counters are harmless.
+  2. Classes: lines with equal sets form one class, kept by its first line.  Copies
+     within a task are taken out before the shuffle, so a line that stands in a
+     third of all documents costs a row per task.
   3. Prefix filter: lines with Jaccard >= t share one of the n - ceil(t n) + 1 rarest
-     words.  Each class gives a row per prefix word; words that no other line has
+     words.  Each class gives a posting per prefix word; words that no other line has
      give none.
   4. Per word: length filter, positional filter, and a 128-bit parity signature (the
      symmetric difference is at least as large as the signatures' differing bits).
      A word with many lines is dealt to cells of bounded size in which parts of the
-     list meet, and batches hold a bounded number of comparisons.
-  5. Candidates are verified on the full word sets, read again from the documents:
+     list meet, and a bounded number of comparisons is held at once.
+  5. Candidates are verified on the words themselves, read again from the documents:
      the FEW likeliest of each line first, others only where these fail.
   6. First lines without an earlier match stay; all other judged lines go.
+
+Classes and postings travel as packed batches, a row per task and part (``common.pack``),
+so the shuffle moves columns and no single small rows.
 """
 
 from __future__ import annotations
@@ -36,46 +40,58 @@ from . import common
 
 PERCENT = 80
 LEAST_WORDS = 5
-RARITY_BITS = 20
+#: Counters of words: 2**bits, one for about 800 bytes of text between these.  More words a counter make longer lists, not other results.
+LEAST_BITS, MOST_BITS = 20, 24
 BLOCK = 1 << 14
 LANES = 16
-#: Lines of one word that a cell holds per side, on average, and greatest number of frequent words that are broadcast.
+#: Lines of one word that a cell holds per side, on average, and words that are dealt to several cells at most.
 CELL = 2000
-MOST_BROADCAST = 20_000
+MOST_SPLIT = 1 << 20
 #: Likeliest earlier lines that are verified first.
 FEW = 3
-FILTER_BITS, FILTER_BLOCKS = 24, 64
-#: Bits of a word's hash; two of a line's words are taken for one with a chance of 1e-10.
-TOKEN_BITS = 44
+#: Bytes of text for a part of the classes, postings for a part of the join, comparisons that are held at once.
+PART_BYTES = 16 << 20
+PART_POSTINGS = 400_000
+BLOCK_PAIRS = 500_000
+#: Lines of a task whose classes are packed together.
+TASK_LINES = 100_000
+#: Bits per open line or word of it in the filters of the second phase, and their greatest size (32 MB).
+FILTER_SPARSITY, MOST_FILTER_BITS = 16, 28
+FILTER_BLOCKS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lines:
-    """The judged lines of some texts: distinct words by line, each line's in ascending order of hash.
+    """The judged lines of some texts: distinct words by line, each line's from the rarest on.
 
-    ``doc``/``number`` say where line k stands, ``token[first[k]:first[k+1]]`` are its words.
+    ``doc``/``number`` say where line k stands, ``token[first[k]:first[k+1]]`` are the hashes of its words, ``code`` their counts.
     """
 
-    def __init__(self, texts: list[bytes], least: int):
+    def __init__(self, texts: list[bytes], least: int, table: np.ndarray):
         words = common.Words(texts, lower=True)
         breaks = np.flatnonzero(words.buf == 10)
         line = np.searchsorted(breaks, words.start)
         first_line = np.searchsorted(breaks, words.text_start)
-        token = words.hashes(5) >> np.uint64(64 - TOKEN_BITS)
-        if len(line) and int(line[-1]) < 1 << 64 - TOKEN_BITS:
-            key = np.unique(line.astype(np.uint64) << np.uint64(TOKEN_BITS) | token)
-            line, token = (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
-        else:  # a text with over a million lines
-            order = np.lexsort((token, line))
-            line, token = line[order], token[order]
-            new = np.ones(len(line), dtype=bool)
-            new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-            line, token = line[new], token[new]
+        token = words.hashes(5)
+        code = table[_counter(_short(token), table)]
+        sortable = not len(line) or int(line[-1]) < 1 << 20
+        if sortable:
+            key = line.astype(np.uint64) << np.uint64(44) | code.astype(np.uint64) << np.uint64(36) | token >> np.uint64(28)
+            order = np.argsort(key)
+            key, sorted_token = key[order], token[order]
+            sortable = not ((key[1:] == key[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any()
+        if not sortable:  # a text with over a million lines, or words of a line that begin alike
+            order = np.lexsort((token, code, line))
+        line, token, code = line[order], token[order], code[order]
+        new = np.ones(len(line), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
+        line, token, code = line[new], token[new], code[new]
         start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(line)))
         good = size >= least
         self.size = size[good]
-        self.token = token[np.repeat(good, size)]
+        inside = np.repeat(good, size)
+        self.token, self.code = token[inside], code[inside]
         self.first = np.concatenate(([0], np.cumsum(self.size)))
         at = line[start[good]]
         self.doc = np.searchsorted(first_line, at, "right") - 1
@@ -85,287 +101,410 @@ class Lines:
         return len(self.size)
 
     def sums(self, salt: int) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0, np.uint64)
         return np.add.reduceat(common.mix64(self.token ^ common.random_words(1, salt)[0]), self.first[:-1])
 
 
-def _blocks(batch: pa.RecordBatch, least: int):
-    texts = common.encode_all(batch.column("text").to_pylist())
-    for i, j in common.blocks(texts):
-        yield i, j, Lines(texts[i:j], least)
+def _short(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(32)).astype(np.uint32)
+
 
+def _counter(short: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (common.mix64(short * _STEP) >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
 
-def _counter(token: np.ndarray) -> np.ndarray:
-    return (common.mix64(token * _STEP) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
 
+def _texts(batches, column: str = "text"):
+    """(batch, i, j, encoded texts i..j) in blocks of bounded bytes."""
+    for batch in batches:
+        texts = common.encode_all(batch.column(column).to_pylist())
+        for i, j in common.blocks(texts):
+            yield batch, i, j, texts[i:j]
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Occurrences of words per hashed counter: 2**RARITY_BITS numbers.  A word with a 1 stands in one line only."""
+
+def rarity(rows: DataFrame, text_bytes: int) -> np.ndarray:
+    """floor(8 log2) of the occurrences of words per hashed counter, at most 255.  A word with a 0 stands in one line only."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (text_bytes // 800).bit_length()))
 
     def count(batches):
-        total, lane = np.zeros(1 << RARITY_BITS, dtype=np.int64), 0
-        for batch in batches:
-            texts = common.encode_all(batch.column("text").to_pylist())
-            for i, j in common.blocks(texts, 4 * common.BLOCK_BYTES):
-                token = common.Words(texts[i:j], lower=True).hashes(5) >> np.uint64(64 - TOKEN_BITS)
-                total += np.bincount(_counter(token), minlength=len(total))
-                lane = int(token[0] % np.uint64(LANES)) if len(token) else lane
+        total, lane = np.zeros(1 << bits, dtype=np.uint32), 0
+        for _, _, _, texts in _texts(batches):
+            token = common.Words(texts, lower=True).hashes(5)
+            if len(token):
+                at, n = np.unique(_counter(_short(token), total), return_counts=True)
+                total[at] += n.astype(np.uint32)
+                lane = int(token[0] % np.uint64(LANES))
         at = [k for k, part in enumerate(total.reshape(-1, BLOCK)) if part.any()]
         data = [zlib.compress(total[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in at]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([lane] * len(at), pa.int32()), pa.array(data, pa.binary())], names=["block", "lane", "counts"])
 
     def add(key, table):
-        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in table.column("counts").to_pylist())
+        total = np.zeros(BLOCK, dtype=np.uint64)
+        for x in table.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
+        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     parts = common.arrow_map(rows.select("text"), count, "block int, lane int, counts binary")
     lanes = parts.groupBy("block", "lane").applyInArrow(add, "block int, counts binary")
-    out = np.zeros((1 << RARITY_BITS) // BLOCK * BLOCK, dtype=np.int64)
-    for r in lanes.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():  # 64 rows
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for r in lanes.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():  # 2**bits / BLOCK rows
+        counts = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
+    return out
+
+
+_CLASS = ("c1", "c2", "doc_id", "number", "n", "sig1", "sig2")
+
 
+def _first_of_each(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The first line of each class, and (doc_id, number) of all others."""
+    c1, c2, doc, number = common.numbers(rows, "c1", "c2", "doc_id", "number")
+    order = np.lexsort((number, doc, c2, c1))
+    same = (c1[order][1:] == c1[order][:-1]) & (c2[order][1:] == c2[order][:-1])
+    start = np.concatenate(([True], ~same))
+    head = order[start][np.cumsum(start) - 1]
+    copy = (doc[order] != doc[head]) | (number[order] != number[head])
+    return rows.take(pa.array(np.sort(order[start]))), rows.select(["doc_id", "number"]).take(pa.array(order[copy]))
 
-def classes(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
-    """One row per set of words: its first line (doc_id, tkey, number), n, signature, the words of its prefix that other lines may have, rarest first, and those of them that may be frequent (by their counters)."""
 
-    most = CELL
+def classes(rows: DataFrame, counts, percent: int, least: int, parts: int) -> DataFrame:
+    """Packed rows: firsts (the first line of each class: doc_id, number, n, signature and prefix), how many, their postings, and gone (doc_id, number of its copies)."""
 
     def run(batches):
-        table = counts.value
-        for batch in batches:
-            ids, tkeys = batch.column("doc_id").to_numpy(), batch.column("tkey").to_numpy()
-            for i, j, lines in _blocks(batch, least):
-                if not len(lines):
-                    continue
-                line = np.repeat(np.arange(len(lines)), lines.size)
-                count = table[_counter(lines.token)]
-                few = np.minimum(count, (1 << 24) - 1).astype(np.uint64)  # equal counts: by word, as they stand
-                order = np.lexsort((few, line)) if len(lines) > 1 << 20 else np.argsort(line.astype(np.uint64) << np.uint64(24) | few, kind="stable")
-                token, count = lines.token[order], count[order]
-                place = np.arange(len(token)) - np.repeat(lines.first[:-1], lines.size)
-                prefix = lines.size - -(-percent * lines.size // 100) + 1
-                used = (place < prefix[line]) & (count > 1)
-                bit = np.uint64(1) << (lines.token & np.uint64(63))
-                upper = (lines.token & np.uint64(64)) > 0
-                signature = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), lines.first[:-1]) for half in (~upper, upper)]
-                cut = np.concatenate(([0], np.cumsum(np.bincount(line[used], minlength=len(lines)))))
-                often = used & (count > most)
-                cut_often = np.concatenate(([0], np.cumsum(np.bincount(line[often], minlength=len(lines)))))
-                often = (token[often] >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32)
-                short = (token[used] >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
+        table, held, n = counts.value, [], 0
+        for batch, i, j, texts in _texts(batches):
+            lines = Lines(texts, least, table)
+            if not len(lines):
+                continue
+            line = np.repeat(np.arange(len(lines)), lines.size)
+            place = np.arange(len(line)) - np.repeat(lines.first[:-1], lines.size)
+            prefix = lines.size - -(-percent * lines.size // 100) + 1
+            used = (place < prefix[line]) & (lines.code > 0)  # words that stand nowhere else come first
+            bit = np.uint64(1) << (lines.token & np.uint64(63))
+            upper = (lines.token & np.uint64(64)) > 0
+            signature = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), lines.first[:-1]) for half in (~upper, upper)]
+            cut = np.concatenate(([0], np.cumsum(np.bincount(line[used], minlength=len(lines)))))
+            held.append(
+                pa.RecordBatch.from_arrays(
                     [
-                        pa.array(common.signed(lines.sums(21))),
-                        pa.array(common.signed(lines.sums(22))),
-                        pa.array(ids[i:j][lines.doc]),
-                        pa.array(tkeys[i:j][lines.doc]),
+                        *[pa.array(common.signed(lines.sums(salt))) for salt in (21, 22)],
+                        pa.array(batch.column("doc_id").to_numpy()[i:j][lines.doc]),
                         pa.array(lines.number.astype(np.int32)),
                         pa.array(lines.size.astype(np.int32)),
                         *[pa.array(common.signed(x)) for x in signature],
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(short)),
-                        pa.ListArray.from_arrays(pa.array(cut_often.astype(np.int32)), pa.array(often)),
+                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(_short(lines.token[used]))),
                     ],
-                    names=["c1", "c2", "doc_id", "tkey", "number", "n", "sig1", "sig2", "prefix", "often"],
+                    names=[*_CLASS, "prefix"],
                 )
+            )
+            n += len(lines)
+            if n >= TASK_LINES:
+                yield from dealt(held)
+                held, n = [], 0
+        if held:
+            yield from dealt(held)
+
+    def dealt(held):
+        firsts, copies = _first_of_each(pa.concat_batches(held))
+        out = common.packed_by(firsts, common.numbers(firsts, "c1")[0].view(np.uint64) % np.uint64(parts))
+        yield common.with_columns_of(out, gone=pa.nulls(out.num_rows, pa.binary()))
+        if copies.num_rows:
+            yield pa.RecordBatch.from_arrays([out.column("part")[:1], pa.nulls(1, pa.binary()), pa.array([common.pack(copies)], pa.binary())], names=["part", "blob", "gone"])
+
+    def reduce(batches):
+        def only_classes():
+            for batch in batches:
+                passed.extend(x for x in batch.column("gone").to_pylist() if x is not None)
+                yield batch.filter(batch.column("blob").is_valid())
+
+        def row(firsts, copies):
+            known = firsts is not None
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([common.pack(firsts.select([*_CLASS[2:], "prefix"])) if known else None], pa.binary()),
+                    pa.array([firsts.num_rows if known else 0], pa.int64()),
+                    pa.array([len(firsts.column("prefix").flatten()) if known else 0], pa.int64()),
+                    pa.array([copies], pa.binary()),
+                ],
+                names=["firsts", "n", "postings", "gone"],
+            )
+
+        passed: list[bytes] = []
+        for rows in common.parts_of(only_classes()):
+            firsts, copies = _first_of_each(rows)
+            yield row(firsts, common.pack(copies) if copies.num_rows else None)
+            while passed:
+                yield row(None, passed.pop())
+        while passed:
+            yield row(None, passed.pop())
+
+    found = common.arrow_map(rows, run, "part bigint, blob binary, gone binary")
+    return common.arrow_map(common.dealt(found), reduce, "firsts binary, n bigint, postings bigint, gone binary")
+
+
+def _unpacked(batches, column: str):
+    for batch in batches:
+        for raw in batch.column(column):
+            if raw.is_valid:
+                yield common.unpack(raw.as_py())
+
+
+def gone_rows(found: DataFrame) -> DataFrame:
+    """(doc_id, number) of the copies that classes() found."""
+    return common.arrow_map(found.select("gone"), lambda batches: _unpacked(batches, "gone"), "doc_id bigint, number int")
+
+
+def split_words(firsts: DataFrame, counts, postings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that stand in the prefixes of more lines than a cell holds, and the parts of each.
+
+    A cell grows once there are more than CELL * MOST_SPLIT postings, so there are
+    MOST_SPLIT such words at most (12 MB).
+    """
+    cell = max(CELL, -(-postings // MOST_SPLIT))
 
-    found = common.arrow_map(rows, run, "c1 bigint, c2 bigint, doc_id bigint, tkey int, number int, n int, sig1 bigint, sig2 bigint, prefix array<int>, often array<int>")
-    one = F.struct("doc_id", "number", "tkey")
-    grouped = found.groupBy("c1", "c2").agg(F.min(one).alias("at"), F.first("n").alias("n"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
-    return grouped.select("at.doc_id", "at.tkey", "at.number", "n", "sig1", "sig2", "prefix", "often")
-
-
-_ROW = ("n", "m", "doc_id", "sig1", "sig2")
-_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean"
-#: Bits of m: line number, place in the prefix, side of the cell, whether the line is open.
-_PLACE, _SIDE, _OPEN = 32, 48, 50
+    def run(batches):
+        for rows in _unpacked(batches, "firsts"):
+            token = rows.column("prefix").flatten().to_numpy()
+            word, n = np.unique(token[counts.value[_counter(token, counts.value)] >= 8 * np.log2(cell) - 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n)], names=["token", "lines"])
 
+    found = common.arrow_map(firsts.select("firsts"), run, "token bigint, lines bigint").groupBy("token").agg(F.sum("lines").alias("lines"))
+    rows = sorted((r["token"], -(-r["lines"] // cell)) for r in found.filter(F.col("lines") > cell).toLocalIterator())
+    return np.array([r[0] for r in rows], dtype=np.uint32), np.array([r[1] for r in rows], dtype=np.int64)
 
-def postings(firsts: DataFrame) -> DataFrame:
-    """A row per prefix word of each first line: token, n, m, doc_id, sig1, sig2.
 
-    A word's place counts from the prefix' first word that other lines may have; the
-    true one is not smaller, so bounds stay bounds.
-    """
-    rows = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id", "number", "sig1", "sig2", "open")
-    m = F.expr(f"CAST(number AS BIGINT) | shiftleft(CAST(least(place, 65535) AS BIGINT), {_PLACE}) | shiftleft(CAST(open AS BIGINT), {_OPEN})")
-    return rows.select("token", "n", m.alias("m"), "doc_id", "sig1", "sig2")
+#: Bits of ``side``: which side of a cell a line is on (0: the only one), and whether it is open.
+_OPEN = 4
+_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean"
 
 
-def candidates(firsts: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of first lines (earlier a, later and open b) that pass the length, positional and signature filters for some prefix word.
+def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: tuple | None = None) -> DataFrame:
+    """Pairs of first lines (earlier a, later b) that pass the length, positional and signature filters for some prefix word.
 
-    With ``best``, only the FEW pairs of each b whose signatures differ least, and
-    ``more``: whether others were left out.  The lines of a frequent word are cut into
-    parts, and every two parts meet in a cell.
+    Of each b, the FEW pairs whose signatures differ least, and ``more``: whether
+    others were left out.  With ``opened``, bit filters of lines and of their words,
+    all pairs whose b passes the first.
     """
-    rows = postings(firsts)
-    if not best:
-        opened = firsts.filter("open").select(F.explode("prefix").alias("token"))
-        rows = common.roughly_in(rows, "token", opened, "token", 1 << 18)
-    frequent = firsts.select(F.explode("often").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("lines"))
-    frequent = common.checkpointed(frequent.filter(F.col("lines") > CELL))
-    many = frequent.count()
-    rows = rows.withColumn("cell", F.lit(0).cast("bigint"))
-    if many:
-        parts = frequent.select("token", F.ceil(F.col("lines") / F.lit(CELL)).cast("int").alias("parts"))
-        rows = rows.join(F.broadcast(parts) if many <= MOST_BROADCAST else parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.expr("m & 4294967295")), F.col("parts").cast("bigint")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
-        side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-        rows = rows.withColumn("m", F.col("m").bitwiseOR(F.shiftleft(side.cast("bigint"), _SIDE)))
-        rows = rows.withColumn("cell", F.least("part", "other") * (1 << 31) + F.greatest("part", "other")).drop("part", "other", "parts")
-    dealt = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "n")
-
-    def pairs_of(x: dict[str, np.ndarray], first: np.ndarray):
-        """Candidate index pairs among rows sorted by cell and n; first[k] is where row k's cell starts."""
-        # Length filter: row k meets the rows before it in its cell whose n is at least percent of n[k].
-        n = x["n"].astype(np.int64)
-        place, number = x["m"] >> _PLACE & 0xFFFF, x["m"] & 0xFFFFFFFF
-        side, is_open = x["m"] >> _SIDE & 3, (x["m"] >> _OPEN & 1).astype(bool)
-        cell = np.cumsum(np.concatenate(([0], (np.diff(first) != 0).astype(np.int64)))) if len(first) else first
-        key = cell * (1 << 32) + n
-        low = np.maximum(np.searchsorted(key, cell * (1 << 32) + -(-percent * n // 100)), first)
-        many = np.arange(len(n)) - low
-        total = np.cumsum(many)
-        start = 0
-        while start < len(n):
-            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + 2_000_000)))
-            here = many[start:stop]
-            b = np.repeat(np.arange(start, stop), here)
-            a = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here) + np.repeat(low[start:stop], here)
-            start = stop
-            differ = sum(np.bitwise_count((x[s][a] ^ x[s][b]).view(np.uint64)).astype(np.int64) for s in ("sig1", "sig2"))
-            ok = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-            a, b, differ = a[ok], b[ok], differ[ok]
-            # Positional filter: words from here on bound the overlap, as the words before are rarer and shared once at most.
-            before = np.minimum(place[a], place[b])
-            bound = before + 1 + np.minimum(n[a] - place[a] - 1, n[b] - place[b] - 1)
-            ok = bound * (100 + percent) >= percent * (n[a] + n[b])
-            ok &= (side[a] + side[b]) % 3 == 0  # both of the cell's only part, or of either
-            a, b, differ = a[ok], b[ok], differ[ok]
-            swap = (x["doc_id"][a] > x["doc_id"][b]) | ((x["doc_id"][a] == x["doc_id"][b]) & (number[a] > number[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            ok = is_open[b]
-            a, b, differ = a[ok], b[ok], differ[ok]
-            more = np.zeros(len(b), dtype=bool)
-            if best and len(b):
-                order = np.argsort(b * 129 + differ, kind="stable")
-                a, b, differ = a[order], b[order], differ[order]
-                start_of = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                size = np.diff(np.append(start_of, len(b)))
-                few = np.arange(len(b)) - np.repeat(start_of, size) < FEW
-                more = np.repeat(size > FEW, size)[few]
-                a, b, differ = a[few], b[few], differ[few]
-            if len(a):
-                ends = [pa.array(c) for k in (a, b) for c in (x["doc_id"][k], number[k].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(differ.astype(np.int32)), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more"])
+    context = firsts.sparkSession.sparkContext
+    split = context.broadcast(split_words(firsts, counts, postings))
+    filters = context.broadcast(opened)
+    parts = max(8, -(-postings // PART_POSTINGS))
+
+    def emit(batches):
+        words, cells = split.value
+        for rows in _unpacked(batches, "firsts"):
+            prefix = rows.column("prefix")
+            size = np.diff(prefix.offsets.to_numpy())
+            line = np.repeat(np.arange(rows.num_rows), size)
+            token = prefix.flatten().to_numpy()
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            side = np.zeros(len(token), dtype=np.int64)
+            if filters.value is not None:
+                lines_in, words_in = filters.value
+                is_open = lines_in.has(_place_hash(*common.numbers(rows, "doc_id", "number")))[line]
+                side[is_open] = _OPEN
+                keep = is_open | words_in.has(_word_hash(token))
+                line, token, place, side = line[keep], token[keep], place[keep], side[keep]
+            cell = np.zeros(len(token), dtype=np.int64)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, token), len(words) - 1)
+                n = np.where(words[at] == token, cells[at], 1)
+                own = (common.mix64(_place_hash(*common.numbers(rows, "doc_id", "number")))[line] % n.astype(np.uint64)).astype(np.int64)
+                other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                line, token, place, side, own = (np.repeat(x, n) for x in (line, token, place, side, own))
+                side = side + np.where(own == other, 0, np.where(own < other, 1, 2))
+                cell = np.minimum(own, other) << 31 | np.maximum(own, other)
+            part = common.mix64(token * _STEP ^ common.mix64(cell.view(np.uint64))) % np.uint64(parts)
+            own_rows = rows.select(["doc_id", "number", "n", "sig1", "sig2"]).take(pa.array(line))
+            yield common.packed_by(common.with_columns_of(own_rows, token=pa.array(token), cell=pa.array(cell), place=pa.array(place.astype(np.int32)), side=pa.array(side.astype(np.int8))), part)
 
     def run(batches):
-        held = None
-        for batch in common.gathered(batches):
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cell", *_ROW)}
-            if held is not None:
-                x = {c: np.concatenate((held[c], x[c])) for c in x}
-            new = np.ones(len(x["token"]), dtype=bool)
-            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cell"][1:] != x["cell"][:-1])
-            edges = np.flatnonzero(new)
-            done = edges[-1]
-            first = np.repeat(edges, np.diff(np.append(edges, len(new))))
-            yield from pairs_of({c: v[:done] for c, v in x.items()}, first[:done])
-            held = {c: v[done:] for c, v in x.items()}
-        if held is not None:
-            yield from pairs_of(held, np.zeros(len(held["token"]), dtype=np.int64))
-
-    pairs = common.arrow_map(dealt, run, _PAIR)
-    if not best:
+        for rows in common.parts_of(batches):
+            yield from cell_pairs(rows, percent, opened is None)
+
+    posted = common.arrow_map(firsts.select("firsts"), emit, "part bigint, blob binary")
+    pairs = common.arrow_map(common.dealt(posted), run, _PAIR)
+    if opened is not None:
         return pairs.select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    # A line has FEW rows per prefix word at most, so the sets are short.
+    # A line has FEW rows per part at most, so the sets are short.
     found = pairs.groupBy("b_doc", "b_line").agg(F.array_sort(F.collect_set(F.struct("differ", "a_doc", "a_line"))).alias("c"), F.max("more").alias("more"))
     found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > FEW)).alias("more"), F.explode(F.slice("c", 1, FEW)).alias("a"))
     return found.select("a.a_doc", "a.a_line", "b_doc", "b_line", "more")
 
 
+def cell_pairs(rows: pa.RecordBatch, percent: int, best: bool):
+    """Candidates among the postings of some words and cells, BLOCK_PAIRS comparisons at once."""
+    token, cell, n, place, side, doc, number, sig1, sig2 = common.numbers(rows, "token", "cell", "n", "place", "side", "doc_id", "number", "sig1", "sig2")
+    order = np.lexsort((n, cell, token))
+    token, cell, n, place, side, doc, number, sig1, sig2 = (x[order] for x in (token, cell, n, place, side, doc, number, sig1, sig2))
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
+    edges = np.flatnonzero(new)
+    first = np.repeat(edges, np.diff(np.append(edges, len(new))))
+    # Length filter: row k meets the rows before it in its cell whose n is at least percent of n[k].
+    key = np.cumsum(new) * (1 << 32) + n
+    low = np.maximum(np.searchsorted(key, key - n + -(-percent * n // 100)), first)
+    many = np.arange(len(n)) - low
+    total = np.cumsum(many)
+    found, start = [], 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK_PAIRS)))
+        here = many[start:stop]
+        b = np.repeat(np.arange(start, stop), here)
+        a = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here) + np.repeat(low[start:stop], here)
+        start = stop
+        # Positional filter: words from here on bound the overlap, as the words before are rarer and shared once at most.
+        bound = np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
+        ok = bound * (100 + percent) >= percent * (n[a] + n[b])
+        a, b = a[ok], b[ok]
+        differ = np.bitwise_count((sig1[a] ^ sig1[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((sig2[a] ^ sig2[b]).view(np.uint64))
+        ok = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+        ok &= (side[a] % _OPEN + side[b] % _OPEN) % 3 == 0  # both of the cell's only part, or of either
+        a, b, differ = a[ok], b[ok], differ[ok]
+        swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (number[a] > number[b]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        if not best:
+            ok = side[b] >= _OPEN
+            a, b, differ = a[ok], b[ok], differ[ok]
+        found.append((a, b, differ))
+        if sum(len(x[0]) for x in found) >= BLOCK_PAIRS:
+            yield from _pairs(found, doc, number, best)
+            found = []
+    yield from _pairs(found, doc, number, best)
+
+
+def _pairs(found: list, doc: np.ndarray, number: np.ndarray, best: bool):
+    a, b, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+    if not len(a):
+        return
+    ends = [doc[a], number[a], doc[b], number[b]]
+    order = np.lexsort((ends[1], ends[0], differ, ends[3], ends[2]))
+    ends, differ = [x[order] for x in ends], differ[order]
+    same_b = np.concatenate(([False], (ends[2][1:] == ends[2][:-1]) & (ends[3][1:] == ends[3][:-1])))
+    again = same_b & np.concatenate(([False], (ends[0][1:] == ends[0][:-1]) & (ends[1][1:] == ends[1][:-1])))
+    ends, differ, same_b = [x[~again] for x in ends], differ[~again], same_b[~again]
+    more = np.zeros(len(differ), dtype=bool)
+    if best:
+        start = np.flatnonzero(~same_b)
+        size = np.diff(np.append(start, len(differ)))
+        few = np.arange(len(differ)) - np.repeat(start, size) < FEW
+        more = np.repeat(size > FEW, size)[few]
+        ends, differ = [x[few] for x in ends], differ[few]
+    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in ends], pa.array(differ.astype(np.int32)), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more"])
+
+
 def _place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return (common.mix64(common.mix64(doc.astype(np.int64).view(np.uint64) * _STEP) + number.astype(np.uint64) * _STEP) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return common.mix64(common.mix64(doc.astype(np.int64).view(np.uint64) * _STEP) + number.astype(np.uint64) * _STEP)
+
+
+def _word_hash(token: np.ndarray) -> np.ndarray:
+    return common.mix64(token * _STEP)
+
 
+class Bits:
+    """A bit per hash; what isn't in it surely was not put in."""
 
-def place_filter(places: DataFrame) -> np.ndarray:
-    """2**FILTER_BITS bits (2 MB), packed, of the hashes of ``places`` (doc_id, number)."""
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def has(self, value: np.ndarray) -> np.ndarray:
+        at = value >> np.uint64(64 - (8 * len(self.packed)).bit_length() + 1)
+        return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def bits_of(hashes: DataFrame, keys: int) -> Bits:
+    """Bits of the column h (bigint), FILTER_SPARSITY per key up to 2**MOST_FILTER_BITS; a fuller filter lets more rows through and loses none."""
+    bits = min(MOST_FILTER_BITS, max(16, (keys * FILTER_SPARSITY).bit_length()))
+    size = (1 << bits) // FILTER_BLOCKS
 
     def mark(batches):
-        table, some = np.zeros(1 << FILTER_BITS, dtype=bool), False
-        for batch in common.gathered(batches):
-            table[_place_hash(batch.column("doc_id").to_numpy(), batch.column("number").to_numpy())] = some = True
-        blocks = np.packbits(table).reshape(FILTER_BLOCKS, -1)
-        at = [k for k in range(FILTER_BLOCKS) if some and blocks[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in at], pa.binary())], names=["block", "bits"])
+        table = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            table[(batch.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = [(k, np.packbits(x)) for k, x in enumerate(table.reshape(FILTER_BLOCKS, size)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in packed], pa.binary())], names=["block", "bits"])
 
     def merge(key, table):
         total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in table.column("bits").to_pylist()])
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    marks = common.arrow_map(places.coalesce(64), mark, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
-    out = np.zeros((FILTER_BLOCKS, (1 << FILTER_BITS) // 8 // FILTER_BLOCKS), dtype=np.uint8)
+    marks = common.arrow_map(hashes.coalesce(64), mark, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
+    out = np.zeros((FILTER_BLOCKS, size // 8), dtype=np.uint8)
     for r in marks.toLocalIterator():  # FILTER_BLOCKS rows
         out[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
-    return out.ravel()
+    return Bits(out.ravel())
 
 
-def line_sets(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """Words, as packed hashes, of the lines in ``places`` (doc_id, number, distinct).  A broadcast bit filter lets most other lines out before they are hashed."""
-    shared = rows.sparkSession.sparkContext.broadcast(place_filter(places))
+def number_lists(places: DataFrame) -> DataFrame:
+    """(doc_id, numbers): the distinct numbers of each document as packed 32-bit integers, ascending."""
+    found = places.groupBy("doc_id").agg(F.array_sort(F.collect_set("number")).alias("list"))
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            split = [t.split(b"\n") for t in common.encode_all(batch.column("text").to_pylist())]
-            counts = np.array([len(x) for x in split], dtype=np.int64)
-            doc = np.repeat(np.arange(len(split)), counts)
-            number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = _place_hash(ids[doc], number)
-            keep = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-            texts = [split[d][k] for d, k in zip(doc[keep].tolist(), number[keep].tolist())]
-            for i, j in common.blocks(texts):
-                lines = Lines(texts[i:j], least)
-                at = keep[i:j][lines.doc]
-                raw = lines.token.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[doc[at]]),
-                        pa.array(number[at].astype(np.int32)),
-                        pa.array([raw[8 * a : 8 * b] for a, b in zip(lines.first[:-1].tolist(), lines.first[1:].tolist())], pa.binary()),
-                    ],
-                    names=["doc_id", "number", "tokens"],
-                )
+            lists = [np.array(x, dtype=np.int32).tobytes() for x in batch.column("list").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.binary())], names=["doc_id", "numbers"])
 
-    sets = common.arrow_map(rows.select("doc_id", "text"), run, "doc_id bigint, number int, tokens binary")
-    return sets.join(places, ["doc_id", "number"])
+    return common.arrow_map(found, run, "doc_id bigint, numbers binary")
 
 
-def verified(rows: DataFrame, pairs: DataFrame, percent: int, least: int) -> DataFrame:
-    """The later lines (doc_id, number) of the pairs that are similar on their full word sets."""
-    names = ["doc_id", "number"]
-    places = pairs.selectExpr("a_doc doc_id", "a_line number").union(pairs.selectExpr("b_doc", "b_line")).distinct()
-    sets = common.checkpointed(line_sets(rows, common.checkpointed(places), least))
-    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("number").alias(f"{s}_line"), F.col("tokens").alias(s))
+def word_sets(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, number, words): the distinct lower-cased words, joined by a space, of the lines in ``places``."""
+
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [])
+            for i, t, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "numbers"))):
+                split = t.encode("utf-8", "surrogatepass").split(b"\n")
+                for k in np.frombuffer(raw, dtype=np.int32).tolist():
+                    if k < len(split):
+                        for column, x in zip(out, (i, k, b" ".join(set(split[k].lower().split())))):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["doc_id", "number", "words"])
+
+    needed = common.with_lists(rows.select("doc_id", "text"), number_lists(places), "doc_id", "numbers", "inner")
+    return common.arrow_map(needed, run, "doc_id bigint, number int, words binary")
+
+
+def verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The later lines (doc_id, number) of the pairs that are similar on their words."""
+    places = pairs.selectExpr("a_doc doc_id", "a_line number").union(pairs.selectExpr("b_doc", "b_line"))
+    sets = common.checkpointed(word_sets(rows, places))
+    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("number").alias(f"{s}_line"), F.col("words").alias(s))
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
 
     def run(batches):
         for batch in batches:
             sure = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = set(a.split()), set(b.split())
+                both = len(x & y)
                 sure.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(f"b_{c}").filter(pa.array(sure, pa.bool_())) for c in ("doc", "line")], names=names)
+            keep = pa.array(sure, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("b_doc").filter(keep), batch.column("b_line").filter(keep)], names=["doc_id", "number"])
 
     return common.arrow_map(both.select("b_doc", "b_line", "a", "b"), run, "doc_id bigint, number int").distinct()
 
 
-def matches(rows: DataFrame, firsts: DataFrame, percent: int, least: int) -> DataFrame:
+def open_filters(firsts: DataFrame, still: DataFrame, postings: int) -> tuple[Bits, Bits]:
+    """Bit filters of the open lines ``still`` and of the words in their prefixes."""
+
+    def hash_places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(_place_hash(*common.numbers(batch, "doc_id", "number"))))], names=["h"])
+
+    lines = still.count()
+    shared = still.sparkSession.sparkContext.broadcast(bits_of(common.arrow_map(still, hash_places, "h bigint"), lines))
+
+    def hash_words(batches):
+        for rows in _unpacked(batches, "firsts"):
+            is_open = shared.value.has(_place_hash(*common.numbers(rows, "doc_id", "number")))
+            token = rows.column("prefix").filter(pa.array(is_open)).flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(_word_hash(np.unique(token))))], names=["h"])
+
+    words = common.arrow_map(firsts.select("firsts"), hash_words, "h bigint")
+    return shared.value, bits_of(words, min(postings, 20 * lines))
+
+
+def matches(rows: DataFrame, firsts: DataFrame, counts, postings: int, percent: int) -> DataFrame:
     """First lines (doc_id, number) that an earlier first line matches.
 
     The FEW likeliest earlier lines of each are verified first: that settles most,
@@ -373,81 +512,69 @@ def matches(rows: DataFrame, firsts: DataFrame, percent: int, least: int) -> Dat
     candidates, and none of these few a match, meet all of them.
     """
     names = ["doc_id", "number"]
-    one = common.checkpointed(candidates(firsts.withColumn("open", F.lit(True)), percent, True))
-    gone = common.checkpointed(verified(rows, one.drop("more"), percent, least))
+    one = common.checkpointed(candidates(firsts, counts, postings, percent))
+    gone = common.checkpointed(verified(rows, one.drop("more"), percent))
     still = common.checkpointed(one.filter("more").selectExpr("b_doc doc_id", "b_line number").distinct().join(gone, names, "left_anti"))
     if still.isEmpty():
         return gone
-    marked = common.checkpointed(firsts.join(still.withColumn("__s", F.lit(True)), names, "left").withColumn("open", F.coalesce("__s", F.lit(False))).drop("__s"))
-    rest = common.checkpointed(candidates(marked, percent, False))
-    return gone.union(verified(rows, rest, percent, least))
+    rest = common.checkpointed(candidates(firsts, counts, postings, percent, open_filters(firsts, still, postings)))
+    return gone.union(verified(rows, rest, percent))
+
 
+def gone_lines(docs: DataFrame, percent: int, least: int) -> DataFrame:
+    """(doc_id, numbers) of the judged lines that go."""
+    rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counts = rows.sparkSession.sparkContext.broadcast(rarity(rows, text_bytes))
+    found = common.checkpointed(classes(rows, counts, percent, least, max(8, -(-text_bytes // PART_BYTES))))
+    postings = found.agg(F.sum("postings")).first()[0] or 0
+    return number_lists(gone_rows(found).union(matches(rows, found, counts, postings, percent)))
 
-def kept_lines(docs: DataFrame, percent: int, least: int) -> DataFrame:
-    """doc_id, tkey and the numbers of the judged lines that stay."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.hash("text").alias("tkey")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    counts = spark.sparkContext.broadcast(rarity(rows))
-    firsts = common.checkpointed(classes(rows, counts, percent, least))
-    gone = matches(rows, firsts, percent, least)
-    stay = firsts.select("doc_id", "tkey", "number").join(gone, ["doc_id", "number"], "left_anti")
-    return stay.groupBy("doc_id", "tkey").agg(F.collect_set("number").alias("stay"))
 
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, counts: bool = True, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text and others) with later matching lines taken out of text.
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and others) with later matching lines taken out of text, and n_lines, n_judged, n_removed added.
+    With ``counts``, n_lines, n_judged and n_removed are added; columns so named are
+    replaced.  Without, all other columns are as they were.  Further columns pass
+    unchanged, whatever their names.  Without ``keep_emptied``, rows whose text loses
+    its last word go.
 
     The text of a row that loses nothing is unchanged, as are lines of fewer than
     ``least`` distinct words.  A text that loses all lines becomes empty.  A null
     text stays null; a row with a null doc_id has no order, stays whole and removes
-    nothing.  Rows that repeat a doc_id and text get equal results; ids should be
-    unique otherwise (a line is named by doc_id and number).  Columns named
-    like those added are replaced.  An empty table stays empty.
+    nothing.  Rows that share a doc_id are one document: line k goes from all of
+    them if it goes from one.  Of equal lines the first stays.  Texts of any length
+    are judged whole, in blocks of 1 MB or one text.  An empty table stays empty.
     """
-    added = ["n_lines", "n_judged", "n_removed"]
+    added = ["n_lines", "n_judged", "n_removed"] if counts else []
     base = docs.drop(*added)
     names = base.columns
-    keep = kept_lines(base, percent, least).withColumnsRenamed({"doc_id": "__doc", "tkey": "__key", "stay": "__stay"})
-    packed = _pack(base.withColumn("__hash", F.hash("text")))
-    joined = packed.join(keep, (F.col("doc_id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
-    joined = joined.select(*[c for c in names if c != "text"], "__z", "__stay")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", n_lines bigint, n_judged bigint, n_removed bigint"
+    mark = common.fresh(base, "numbers")
+    gone = gone_lines(base, percent, least).withColumnRenamed("numbers", mark)
+    joined = common.with_lists(base, gone, "doc_id", mark).select(*names, mark)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", ".join(["", *[f"{c} bigint" for c in added]])
 
     def run(batches):
         for batch in batches:
-            texts = [None if z is None else zlib.decompress(z) for z in batch.column("__z").to_pylist()]
-            stay, ids = batch.column("__stay").to_pylist(), batch.column("doc_id").to_pylist()
-            out, counts = list(texts), np.zeros((3, len(texts)), dtype=np.int64)
-            for k, t in enumerate(texts):
-                if t is None:
+            texts = batch.column("text").to_pylist()
+            n, out, stays = np.zeros((3, len(texts)), dtype=np.int64), list(texts), np.ones(len(texts), dtype=bool)
+            for k, (t, raw) in enumerate(zip(texts, batch.column(mark).to_pylist())):
+                if not t:
                     continue
-                parts = t.split(b"\n")
-                judged = [x for x, p in enumerate(parts) if len(p) >= 2 * least - 1 and len(set(p.lower().split())) >= least]
-                kept = set(stay[k] or ()) if ids[k] is not None else set(judged)
-                drop = {x for x in judged if x not in kept}
-                counts[:, k] = len(parts) if t else 0, len(judged), len(drop)
+                parts = t.encode("utf-8", "surrogatepass").split(b"\n") if counts or raw else []
+                drop = {x for x in np.frombuffer(raw or b"", dtype=np.int32).tolist() if x < len(parts) and (least <= 1 or len(set(parts[x].lower().split())) >= least)}
+                if counts:
+                    n[:, k] = len(parts), sum(len(p) >= 2 * least - 1 and len(set(p.lower().split())) >= least for p in parts), len(drop)
                 if drop:
-                    out[k] = b"\n".join([p for x, p in enumerate(parts) if x not in drop])
-            new = pa.array([None if t is None else t.decode("utf-8", "surrogatepass") for t in out], pa.string())
-            columns = [new if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in counts]], names=[*names, *added])
+                    kept = b"\n".join([p for x, p in enumerate(parts) if x not in drop])
+                    out[k], stays[k] = kept.decode("utf-8", "surrogatepass"), keep_emptied or bool(kept.split())
+            new = pa.array(out, pa.string())
+            rows = pa.RecordBatch.from_arrays([*[new if c == "text" else batch.column(c) for c in names], *[pa.array(x) for x in n[: len(added)]]], names=[*names, *added])
+            yield rows if stays.all() else rows.filter(pa.array(stays))
 
     return common.arrow_map(joined, run, schema)
 
 
-def _pack(docs: DataFrame) -> DataFrame:
-    """text as __z, packed: less to shuffle."""
-    others = [c for c in docs.columns if c != "text"]
-
-    def run(batches):
-        for batch in batches:
-            z = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(z, pa.binary())], names=[*others, "__z"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", `__z` binary"
-    return common.arrow_map(docs, run, schema)
-
-
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_judged", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
