@@ -23,10 +23,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its text goes: earlier ones hold every line of it.
     """
-    out = lines.dedup_lines(docs, least=LEAST_WORDS).filter(r"n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
+    out = lines.dedup_lines(docs, least=LEAST_WORDS, counts=False, keep_emptied=False)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
