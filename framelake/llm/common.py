@@ -23,11 +23,7 @@ BLOCK_BYTES = 1 << 20
 #: Lanes of eight bytes that are hashed one after the other; a longer word's others are hashed by place.
 CHAIN = 8
 
-IS_SPACE = np.zeros(256, dtype=bool)
-IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_SPACE = bytes(int(c in b"\t\n\x0b\x0c\r ") for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +94,12 @@ def with_lists(docs: DataFrame, lists: DataFrame, key: str, column: str, how: st
     return docs.join(F.broadcast(lists) if small else lists.hint("merge"), key, how)
 
 
+def bytes_of(texts: DataFrame) -> int:
+    """About the bytes of the column text: what Catalyst knows of the files, or else a count."""
+    known = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     have = {c.lower() for c in df.columns}
@@ -142,6 +144,11 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of a column of texts; a null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def encode_all(texts: list[str | None]) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
 
@@ -187,20 +194,17 @@ class Words:
     def __init__(self, texts: list[bytes], lower: bool = False):
         self.n_docs = len(texts)
         raw = b"\n".join([*texts, b""])
-        self.raw = raw
-        buf = np.frombuffer(raw, dtype=np.uint8)
         if lower:
-            buf = _LOWER[buf]
-        self.buf = buf
+            raw = raw.lower()
+        self.raw = raw
+        self.buf = np.frombuffer(raw, dtype=np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.text_end = np.cumsum(lengths) if texts else np.zeros(0, np.int64)
         self.text_start = self.text_end - lengths
-        space = np.ones(len(buf) + 2, dtype=np.int8)
-        space[1:-1] = IS_SPACE[buf]
-        step = np.diff(space)
-        self.start = np.flatnonzero(step == -1)
-        self.end = np.flatnonzero(step == 1)
-        self.first = np.searchsorted(self.start, np.concatenate((self.text_start, [len(buf)])))
+        space = np.frombuffer(b"\x01" + raw.translate(_SPACE) + b"\x01", dtype=np.uint8)
+        edge = np.flatnonzero(space[1:] != space[:-1])  # in turn, where a word starts and ends
+        self.start, self.end = edge[::2], edge[1::2]
+        self.first = np.searchsorted(self.start, np.concatenate((self.text_start, [len(raw)])))
         self.counts = np.diff(self.first) if self.n_docs else np.zeros(0, np.int64)
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
 

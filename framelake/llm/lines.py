@@ -15,12 +15,13 @@ Steps
   3. Prefix filter: lines with Jaccard >= t share one of the n - ceil(t n) + 1 rarest
      words.  Each class gives a posting per prefix word; words that no other line has
      give none.
-  4. Per word: length filter, positional filter, and a 128-bit parity signature (the
-     symmetric difference is at least as large as the signatures' differing bits).
+  4. Per word: length filter, positional filter, and a parity signature of 128 bits,
+     or up to 2048 for long lines (the symmetric difference is at least as large as
+     the signatures' differing bits).
      A word with many lines is dealt to cells of bounded size in which parts of the
      list meet, and a bounded number of comparisons is held at once.
   5. Candidates are verified on the words themselves, read again from the documents:
-     the FEW likeliest of each line first, others only where these fail.
+     the likeliest of each line first, others only where these fail.
   6. First lines without an earlier match stay; all other judged lines go.
 
 Classes and postings travel as packed batches, a row per task and part (``common.pack``),
@@ -47,16 +48,16 @@ LANES = 16
 #: Lines of one word that a cell holds per side, on average, and words that are dealt to several cells at most.
 CELL = 2000
 MOST_SPLIT = 1 << 20
-#: Likeliest earlier lines that are verified first.
-FEW = 3
+#: Likeliest earlier lines that are given out for each line, and those of them that are verified first.
+MANY, FEW = 16, 3
 #: Bytes of text for a part of the classes, postings for a part of the join, comparisons that are held at once.
 PART_BYTES = 16 << 20
 PART_POSTINGS = 400_000
 BLOCK_PAIRS = 500_000
 #: Lines of a task whose classes are packed together.
 TASK_LINES = 100_000
-#: Bits per open line or word of it in the filters of the second phase, and their greatest size (32 MB).
-FILTER_SPARSITY, MOST_FILTER_BITS = 16, 28
+#: Bits per open line or word of it in the filters of the second phase, and their greatest size (8 MB).
+FILTER_SPARSITY, MOST_FILTER_BITS = 16, 26
 FILTER_BLOCKS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,7 +116,7 @@ def _counter(short: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _texts(batches, column: str = "text"):
     """(batch, i, j, encoded texts i..j) in blocks of bounded bytes."""
     for batch in batches:
-        texts = common.encode_all(batch.column(column).to_pylist())
+        texts = common.raw_texts(batch.column(column))
         for i, j in common.blocks(texts):
             yield batch, i, j, texts[i:j]
 
@@ -129,8 +130,12 @@ def rarity(rows: DataFrame, text_bytes: int) -> np.ndarray:
         for _, _, _, texts in _texts(batches):
             token = common.Words(texts, lower=True).hashes(5)
             if len(token):
-                at, n = np.unique(_counter(_short(token), total), return_counts=True)
-                total[at] += n.astype(np.uint32)
+                at = _counter(_short(token), total)
+                if bits <= 21:
+                    total += np.bincount(at, minlength=1 << bits).astype(np.uint32)
+                else:
+                    at, n = np.unique(at, return_counts=True)
+                    total[at] += n.astype(np.uint32)
                 lane = int(token[0] % np.uint64(LANES))
         at = [k for k, part in enumerate(total.reshape(-1, BLOCK)) if part.any()]
         data = [zlib.compress(total[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in at]
@@ -146,12 +151,63 @@ def rarity(rows: DataFrame, text_bytes: int) -> np.ndarray:
     parts = common.arrow_map(rows.select("text"), count, "block int, lane int, counts binary")
     lanes = parts.groupBy("block", "lane").applyInArrow(add, "block int, counts binary")
     out = np.zeros(1 << bits, dtype=np.uint8)
-    for r in lanes.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():  # 2**bits / BLOCK rows
-        counts = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
+    merged = lanes.groupBy("block").applyInArrow(add, "block int, counts binary").toArrow()  # 2**bits / BLOCK rows
+    for block, raw in zip(merged.column("block").to_pylist(), merged.column("counts").to_pylist()):
+        counts = np.frombuffer(zlib.decompress(raw), dtype=np.uint32)
+        out[block * BLOCK : (block + 1) * BLOCK] = np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
     return out
 
 
+#: Words from which a line has a second, wider signature, and the 64-bit words of that: it folds to the narrower ones by xor.
+WIDE = ((160, 8), (640, 32))
+
+
+def wide_signatures(lines: Lines) -> pa.Array:
+    out = np.zeros(len(lines), dtype=object)
+    out[:] = b""
+    edges = [n for n, _ in WIDE] + [np.iinfo(np.int64).max]
+    for (low, width), high in zip(WIDE, edges[1:]):
+        at = np.flatnonzero((lines.size >= low) & (lines.size < high))
+        if len(at):
+            inside = np.concatenate([lines.token[lines.first[k] : lines.first[k + 1]] for k in at.tolist()])
+            word = np.repeat(np.arange(len(at)), lines.size[at]) * width + (inside >> np.uint64(6) & np.uint64(width - 1)).astype(np.int64)
+            total = np.zeros(len(at) * width, dtype=np.uint64)
+            np.bitwise_xor.at(total, word, np.uint64(1) << (inside & np.uint64(63)))
+            for k, x in zip(at.tolist(), total.reshape(-1, width)):
+                out[k] = x.tobytes()
+    return pa.array(out.tolist(), pa.binary())
+
+
+class WideSignatures:
+    """The wide signatures of some rows, each also folded to the narrower widths."""
+
+    def __init__(self, column: pa.BinaryArray):
+        values = column.to_pylist()
+        raw = np.frombuffer(b"".join(values), dtype=np.uint64)
+        self.width = np.array([len(x) // 8 for x in values], dtype=np.int64)
+        start = np.cumsum(self.width) - self.width
+        self.at, self.table = {}, {}
+        for _, width in WIDE:
+            rows = np.flatnonzero(self.width >= width)
+            self.at[width] = np.zeros(len(self.width), dtype=np.int64)
+            self.at[width][rows] = np.arange(len(rows))
+            self.table[width] = np.zeros((len(rows), width), dtype=np.uint64)
+            for own in np.unique(self.width[rows]).tolist():
+                same = np.flatnonzero(self.width[rows] == own)
+                words = raw[start[rows[same]][:, None] + np.arange(own)]
+                self.table[width][same] = np.bitwise_xor.reduce(words.reshape(len(same), -1, width), axis=1)
+
+    def difference(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of rows a and b at the narrower width of both; 0 where one has no wide signature."""
+        out = np.zeros(len(a), dtype=np.int64)
+        least = np.minimum(self.width[a], self.width[b])
+        for _, width in WIDE:
+            for at in np.array_split(np.flatnonzero(least == width), len(a) // 50_000 + 1):
+                x, y = (self.table[width][self.at[width][side[at]]] for side in (a, b))
+                out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+
 _CLASS = ("c1", "c2", "doc_id", "number", "n", "sig1", "sig2")
 
 
@@ -191,9 +247,10 @@ def classes(rows: DataFrame, counts, percent: int, least: int, parts: int) -> Da
                         pa.array(lines.number.astype(np.int32)),
                         pa.array(lines.size.astype(np.int32)),
                         *[pa.array(common.signed(x)) for x in signature],
+                        wide_signatures(lines),
                         pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(_short(lines.token[used]))),
                     ],
-                    names=[*_CLASS, "prefix"],
+                    names=[*_CLASS, "wide", "prefix"],
                 )
             )
             n += len(lines)
@@ -220,7 +277,7 @@ def classes(rows: DataFrame, counts, percent: int, least: int, parts: int) -> Da
             known = firsts is not None
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([common.pack(firsts.select([*_CLASS[2:], "prefix"])) if known else None], pa.binary()),
+                    pa.array([common.pack(firsts.select([*_CLASS[2:], "wide", "prefix"])) if known else None], pa.binary()),
                     pa.array([firsts.num_rows if known else 0], pa.int64()),
                     pa.array([len(firsts.column("prefix").flatten()) if known else 0], pa.int64()),
                     pa.array([copies], pa.binary()),
@@ -268,8 +325,10 @@ def split_words(firsts: DataFrame, counts, postings: int) -> tuple[np.ndarray, n
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n)], names=["token", "lines"])
 
     found = common.arrow_map(firsts.select("firsts"), run, "token bigint, lines bigint").groupBy("token").agg(F.sum("lines").alias("lines"))
-    rows = sorted((r["token"], -(-r["lines"] // cell)) for r in found.filter(F.col("lines") > cell).toLocalIterator())
-    return np.array([r[0] for r in rows], dtype=np.uint32), np.array([r[1] for r in rows], dtype=np.int64)
+    rows = found.filter(F.col("lines") > cell).toArrow()
+    token, lines = (rows.column(c).to_numpy() for c in ("token", "lines"))
+    order = np.argsort(token)
+    return token[order].astype(np.uint32), -(-lines[order] // cell)
 
 
 #: Bits of ``side``: which side of a cell a line is on (0: the only one), and whether it is open.
@@ -280,8 +339,8 @@ _PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more bo
 def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: tuple | None = None) -> DataFrame:
     """Pairs of first lines (earlier a, later b) that pass the length, positional and signature filters for some prefix word.
 
-    Of each b, the FEW pairs whose signatures differ least, and ``more``: whether
-    others were left out.  With ``opened``, bit filters of lines and of their words,
+    Of each b, the MANY pairs whose signatures differ least with their rank, and
+    ``more``: whether others were left out.  With ``opened``, bit filters of lines and of their words,
     all pairs whose b passes the first.
     """
     context = firsts.sparkSession.sparkContext
@@ -302,7 +361,7 @@ def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: t
                 lines_in, words_in = filters.value
                 is_open = lines_in.has(_place_hash(*common.numbers(rows, "doc_id", "number")))[line]
                 side[is_open] = _OPEN
-                keep = is_open | words_in.has(_word_hash(token))
+                keep = is_open | words_in.has(_word_hash(token, _length_class(rows.column("n").to_numpy(), percent)[line]))
                 line, token, place, side = line[keep], token[keep], place[keep], side[keep]
             cell = np.zeros(len(token), dtype=np.int64)
             if len(words):
@@ -314,7 +373,7 @@ def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: t
                 side = side + np.where(own == other, 0, np.where(own < other, 1, 2))
                 cell = np.minimum(own, other) << 31 | np.maximum(own, other)
             part = common.mix64(token * _STEP ^ common.mix64(cell.view(np.uint64))) % np.uint64(parts)
-            own_rows = rows.select(["doc_id", "number", "n", "sig1", "sig2"]).take(pa.array(line))
+            own_rows = rows.select(["doc_id", "number", "n", "sig1", "sig2", "wide"]).take(pa.array(line))
             yield common.packed_by(common.with_columns_of(own_rows, token=pa.array(token), cell=pa.array(cell), place=pa.array(place.astype(np.int32)), side=pa.array(side.astype(np.int8))), part)
 
     def run(batches):
@@ -325,41 +384,47 @@ def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: t
     pairs = common.arrow_map(common.dealt(posted), run, _PAIR)
     if opened is not None:
         return pairs.select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    # A line has FEW rows per part at most, so the sets are short.
+    # A line has MANY rows per part at most, so the sets are short.
     found = pairs.groupBy("b_doc", "b_line").agg(F.array_sort(F.collect_set(F.struct("differ", "a_doc", "a_line"))).alias("c"), F.max("more").alias("more"))
-    found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > FEW)).alias("more"), F.explode(F.slice("c", 1, FEW)).alias("a"))
-    return found.select("a.a_doc", "a.a_line", "b_doc", "b_line", "more")
+    found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > MANY)).alias("more"), F.posexplode(F.slice("c", 1, MANY)).alias("rank", "a"))
+    return found.select("a.a_doc", "a.a_line", "b_doc", "b_line", "rank", "more")
 
 
 def cell_pairs(rows: pa.RecordBatch, percent: int, best: bool):
     """Candidates among the postings of some words and cells, BLOCK_PAIRS comparisons at once."""
     token, cell, n, place, side, doc, number, sig1, sig2 = common.numbers(rows, "token", "cell", "n", "place", "side", "doc_id", "number", "sig1", "sig2")
-    order = np.lexsort((n, cell, token))
+    order = np.lexsort((n, cell, token)) if cell.any() else np.argsort(token.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64))
     token, cell, n, place, side, doc, number, sig1, sig2 = (x[order] for x in (token, cell, n, place, side, doc, number, sig1, sig2))
-    n, place = n.astype(np.int64), place.astype(np.int64)
+    wide, rest = WideSignatures(rows.column("wide").take(pa.array(order))), n - place
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
     edges = np.flatnonzero(new)
     first = np.repeat(edges, np.diff(np.append(edges, len(new))))
     # Length filter: row k meets the rows before it in its cell whose n is at least percent of n[k].
     key = np.cumsum(new) * (1 << 32) + n
-    low = np.maximum(np.searchsorted(key, key - n + -(-percent * n // 100)), first)
-    many = np.arange(len(n)) - low
-    total = np.cumsum(many)
+    low = np.maximum(np.searchsorted(key, key - n + -(-percent * n.astype(np.int64) // 100)), first).astype(np.int32)
+    many = np.arange(len(n), dtype=np.int32) - low
+    total = np.cumsum(many, dtype=np.int64)
     found, start = [], 0
     while start < len(n):
         stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK_PAIRS)))
         here = many[start:stop]
-        b = np.repeat(np.arange(start, stop), here)
-        a = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here) + np.repeat(low[start:stop], here)
+        b = np.repeat(np.arange(start, stop, dtype=np.int32), here)
+        a = np.arange(len(b), dtype=np.int32) + np.repeat(low[start:stop] - (np.cumsum(here, dtype=np.int64) - here).astype(np.int32), here)
         start = stop
         # Positional filter: words from here on bound the overlap, as the words before are rarer and shared once at most.
-        bound = np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
-        ok = bound * (100 + percent) >= percent * (n[a] + n[b])
-        a, b = a[ok], b[ok]
-        differ = np.bitwise_count((sig1[a] ^ sig1[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((sig2[a] ^ sig2[b]).view(np.uint64))
-        ok = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+        both = n[a] + n[b]
+        ok = (np.minimum(place[a], place[b]) + np.minimum(rest[a], rest[b])) * (100 + percent) >= percent * both
+        a, b, room = a[ok], b[ok], both[ok] * (100 - percent) // (100 + percent)  # greatest symmetric difference
+        differ = np.bitwise_count((sig1[a] ^ sig1[b]).view(np.uint64)).astype(np.int32)
+        ok = differ <= room
+        a, b, room = a[ok], b[ok], room[ok]
+        differ = differ[ok] + np.bitwise_count((sig2[a] ^ sig2[b]).view(np.uint64))
+        ok = differ <= room
         ok &= (side[a] % _OPEN + side[b] % _OPEN) % 3 == 0  # both of the cell's only part, or of either
-        a, b, differ = a[ok], b[ok], differ[ok]
+        a, b, differ, room = a[ok], b[ok], differ[ok], room[ok]
+        closer = wide.difference(a, b)
+        ok = closer <= room
+        a, b, differ = a[ok], b[ok], np.maximum(differ, closer)[ok]
         swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (number[a] > number[b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         if not best:
@@ -386,8 +451,8 @@ def _pairs(found: list, doc: np.ndarray, number: np.ndarray, best: bool):
     if best:
         start = np.flatnonzero(~same_b)
         size = np.diff(np.append(start, len(differ)))
-        few = np.arange(len(differ)) - np.repeat(start, size) < FEW
-        more = np.repeat(size > FEW, size)[few]
+        few = np.arange(len(differ)) - np.repeat(start, size) < MANY
+        more = np.repeat(size > MANY, size)[few]
         ends, differ = [x[few] for x in ends], differ[few]
     yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in ends], pa.array(differ.astype(np.int32)), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more"])
 
@@ -396,8 +461,13 @@ def _place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
     return common.mix64(common.mix64(doc.astype(np.int64).view(np.uint64) * _STEP) + number.astype(np.uint64) * _STEP)
 
 
-def _word_hash(token: np.ndarray) -> np.ndarray:
-    return common.mix64(token * _STEP)
+def _length_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Lines that may match are at most one class apart."""
+    return np.floor(np.log(n) / np.log(100.5 / percent)).astype(np.int64)
+
+
+def _word_hash(token: np.ndarray, length_class: np.ndarray) -> np.ndarray:
+    return common.mix64(token * _STEP + length_class.astype(np.uint64))
 
 
 class Bits:
@@ -429,8 +499,9 @@ def bits_of(hashes: DataFrame, keys: int) -> Bits:
 
     marks = common.arrow_map(hashes.coalesce(64), mark, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
     out = np.zeros((FILTER_BLOCKS, size // 8), dtype=np.uint8)
-    for r in marks.toLocalIterator():  # FILTER_BLOCKS rows
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
+    merged = marks.toArrow()  # FILTER_BLOCKS rows
+    for block, raw in zip(merged.column("block").to_pylist(), merged.column("bits").to_pylist()):
+        out[block] = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
     return Bits(out.ravel())
 
 
@@ -484,8 +555,8 @@ def verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return common.arrow_map(both.select("b_doc", "b_line", "a", "b"), run, "doc_id bigint, number int").distinct()
 
 
-def open_filters(firsts: DataFrame, still: DataFrame, postings: int) -> tuple[Bits, Bits]:
-    """Bit filters of the open lines ``still`` and of the words in their prefixes."""
+def open_filters(firsts: DataFrame, still: DataFrame, postings: int, percent: int) -> tuple[Bits, Bits]:
+    """Bit filters of the open lines ``still``, and of the words in their prefixes with the length classes that they may match."""
 
     def hash_places(batches):
         for batch in batches:
@@ -497,40 +568,54 @@ def open_filters(firsts: DataFrame, still: DataFrame, postings: int) -> tuple[Bi
     def hash_words(batches):
         for rows in _unpacked(batches, "firsts"):
             is_open = shared.value.has(_place_hash(*common.numbers(rows, "doc_id", "number")))
-            token = rows.column("prefix").filter(pa.array(is_open)).flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(_word_hash(np.unique(token))))], names=["h"])
+            prefix = rows.column("prefix").filter(pa.array(is_open))
+            token = prefix.flatten().to_numpy()
+            own = np.repeat(_length_class(rows.column("n").to_numpy()[is_open], percent), prefix.value_lengths().to_numpy())
+            found = np.unique(np.concatenate([_word_hash(token, own + k) for k in (-1, 0, 1)]))
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(found))], names=["h"])
 
     words = common.arrow_map(firsts.select("firsts"), hash_words, "h bigint")
-    return shared.value, bits_of(words, min(postings, 20 * lines))
+    return shared.value, bits_of(words, min(3 * postings, 100 * lines))
 
 
 def matches(rows: DataFrame, firsts: DataFrame, counts, postings: int, percent: int) -> DataFrame:
     """First lines (doc_id, number) that an earlier first line matches.
 
     The FEW likeliest earlier lines of each are verified first: that settles most,
-    and a group of n alike lines costs FEW * n pairs.  Only lines that have more
-    candidates, and none of these few a match, meet all of them.
+    and a group of n alike lines costs FEW * n pairs.  Lines that these don't settle
+    meet the others of the MANY, and only lines that have still more candidates, and
+    none of these a match, meet all of them.
     """
     names = ["doc_id", "number"]
-    one = common.checkpointed(candidates(firsts, counts, postings, percent))
-    gone = common.checkpointed(verified(rows, one.drop("more"), percent))
-    still = common.checkpointed(one.filter("more").selectExpr("b_doc doc_id", "b_line number").distinct().join(gone, names, "left_anti"))
+    best = common.checkpointed(candidates(firsts, counts, postings, percent))
+    open_pairs = lambda pairs, gone: pairs.join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti")
+    gone = common.checkpointed(verified(rows, best.filter(F.col("rank") < FEW), percent))
+    others = common.checkpointed(open_pairs(best.filter(F.col("rank") >= FEW), gone))
+    if others.isEmpty():
+        return gone
+    gone = common.checkpointed(gone.union(verified(rows, others, percent)))
+    still = common.checkpointed(open_pairs(others.filter("more"), gone).selectExpr("b_doc doc_id", "b_line number").distinct())
     if still.isEmpty():
         return gone
-    rest = common.checkpointed(candidates(firsts, counts, postings, percent, open_filters(firsts, still, postings)))
-    return gone.union(verified(rows, rest, percent))
+    rest = common.checkpointed(candidates(firsts, counts, postings, percent, open_filters(firsts, still, postings, percent)))
+    return gone.union(verified(rows, rest, percent)).select(*names)
 
 
 def gone_lines(docs: DataFrame, percent: int, least: int) -> DataFrame:
     """(doc_id, numbers) of the judged lines that go."""
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    text_bytes = common.bytes_of(rows)
     counts = rows.sparkSession.sparkContext.broadcast(rarity(rows, text_bytes))
     found = common.checkpointed(classes(rows, counts, percent, least, max(8, -(-text_bytes // PART_BYTES))))
     postings = found.agg(F.sum("postings")).first()[0] or 0
     return number_lists(gone_rows(found).union(matches(rows, found, counts, postings, percent)))
 
 
+def has_words(line: bytes, least: int) -> bool:
+    """Whether the line has so many distinct words; mostly the first few tell."""
+    return len(line) >= 2 * least - 1 and (len(set(line.lower().split(None, 2 * least)[: 2 * least])) >= least or len(set(line.lower().split())) >= least)
+
+
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, counts: bool = True, keep_emptied: bool = True) -> DataFrame:
     """``docs`` (doc_id, text and others) with later matching lines taken out of text.
 
@@ -562,9 +647,9 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORD
                 if not t:
                     continue
                 parts = t.encode("utf-8", "surrogatepass").split(b"\n") if counts or raw else []
-                drop = {x for x in np.frombuffer(raw or b"", dtype=np.int32).tolist() if x < len(parts) and (least <= 1 or len(set(parts[x].lower().split())) >= least)}
+                drop = {x for x in np.frombuffer(raw or b"", dtype=np.int32).tolist() if x < len(parts) and has_words(parts[x], least)}
                 if counts:
-                    n[:, k] = len(parts), sum(len(p) >= 2 * least - 1 and len(set(p.lower().split())) >= least for p in parts), len(drop)
+                    n[:, k] = len(parts), sum(has_words(p, least) for p in parts), len(drop)
                 if drop:
                     kept = b"\n".join([p for x, p in enumerate(parts) if x not in drop])
                     out[k], stays[k] = kept.decode("utf-8", "surrogatepass"), keep_emptied or bool(kept.split())

@@ -109,7 +109,7 @@ def sketch_rows(docs: DataFrame, width: int, full: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = common.encode_all(batch.column("text").to_pylist())
+            texts = common.raw_texts(batch.column("text"))
             for i, j in common.blocks(texts):
                 doc, value = shingle_sets(texts[i:j], width)
                 n = np.bincount(doc, minlength=j - i)
@@ -166,7 +166,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
 
     def pack(batches):
         for batch in batches:
-            packed = [zlib.compress(b" ".join(t.lower().split()), 1) for t in common.encode_all(batch.column("text").to_pylist())]
+            packed = [zlib.compress(b" ".join(t.lower().split()), 1) for t in common.raw_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(packed, pa.binary())], names=["cid", "z"])
 
     def run(batches):

@@ -157,7 +157,7 @@ def learn(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
 
     def run(batches):
         for batch in batches:
-            texts, langs = common.encode_all(batch.column("text").to_pylist()), batch.column("lang").to_pylist()
+            texts, langs = common.raw_texts(batch.column("text")), batch.column("lang").to_pylist()
             names = sorted(set(langs))
             lang_of = np.array([names.index(x) for x in langs])
             sums = np.zeros((len(names), width))
@@ -212,7 +212,7 @@ def judge(docs: DataFrame, references: References, max_char: float = MAX_CHAR_DI
 
     def run(batches):
         for batch in batches:
-            texts = common.encode_all(batch.column("text").to_pylist())
+            texts = common.raw_texts(batch.column("text"))
             parts = []
             for i, j in common.blocks(texts, 2 * common.BLOCK_BYTES):
                 m = measures(texts[i:j])

@@ -152,7 +152,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def emit_pairs(batches):
         for batch in batches:
-            texts = common.encode_all(batch.column("text").to_pylist())
+            texts = common.raw_texts(batch.column("text"))
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("tkey").to_numpy(zero_copy_only=False)
             for i, j in common.blocks(texts):
                 words = common.Words(texts[i:j])
