@@ -63,18 +63,18 @@ def dealt(parts: DataFrame) -> DataFrame:
     return parts.repartition("part").sortWithinPartitions("part")
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed rows of one part after the other."""
+def parts_of(batches: Iterator[pa.RecordBatch], with_part: bool = False) -> Iterator:
+    """All packed rows of one part after the other, or (part, rows)."""
     part, held = None, []
     for batch in batches:
         for p, raw in zip(batch.column("part").to_pylist(), batch.column("blob")):
             if p != part and held:
-                yield pa.concat_batches(held)
+                yield (part, pa.concat_batches(held)) if with_part else pa.concat_batches(held)
                 held = []
             part = p
             held.append(unpack(raw.as_py()))
     if held:
-        yield pa.concat_batches(held)
+        yield (part, pa.concat_batches(held)) if with_part else pa.concat_batches(held)
 
 
 def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:

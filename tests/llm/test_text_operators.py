@@ -21,6 +21,17 @@ def frame(spark, rows):
 
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(30_000))
 PASSAGE = " ".join(f"p{i}" for i in range(70))
+
+
+def thue_morse(n):
+    """Two words of 2**n letters that no sum of powers tells apart, whatever the base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+ALIKE, UNLIKE = thue_morse(10)
 AWKWARD = [
     (1, None, "en"),
     (2, "", "en"),
@@ -37,6 +48,15 @@ AWKWARD = [
     (11, "a a a a a a a a a a " * 30, "en"),
     (12, "!!! ... 123 456", "en"),
     (13, "x" * 40_000, "en"),
+    (15, " ".join(f"q{k}" for k in range(30)) + f" {ALIKE} " + " ".join(f"r{k}" for k in range(19)), "en"),
+    (16, " ".join(f"q{k}" for k in range(30)) + f" {UNLIKE} " + " ".join(f"r{k}" for k in range(19)), "en"),
+    (17, f"x {ALIKE}", "en"),
+    (18, f"x {UNLIKE}", "en"),
+    (19, f"n1 n2 n3 n4 n5 {ALIKE}\nn1 n2 n3 n4 n5 {UNLIKE} n7", "en"),
+    (20, " ".join([ALIKE, UNLIKE, "t"] * 9), "en"),
+    (21, " ".join(f"s{k} {ALIKE if k % 2 else UNLIKE}" for k in range(40)), "en"),
+    (22, " ".join(["c d"[:1], "d"][int(c == "b")] for c in ALIKE) + " " + " ".join("cd"[c == "b"] for c in UNLIKE), "en"),
+    (23, " ".join("cd"[c == "b"] for c in UNLIKE) + " end", "en"),
     (14, "line one has words here\nline one has words here\n\nshort\nline one has words there here", "en"),
 ]
 
@@ -166,10 +186,20 @@ def test_substring_dedup(docs, width):
     assert got == plain_repeats(rows, width)
 
 
-def test_full_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "cells_for", lambda size: substrings.CELL_BLOCK)
-    rows = [(i, " ".join(f"u{i}x{k}" for k in range(40)) + f" {PASSAGE} " + " ".join(f"v{i}y{k}" for k in range(40))) for i in range(30)]
-    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+REPEATS = [(i, " ".join(f"u{i}x{k}" for k in range(40)) + f" {PASSAGE} " + " ".join(f"v{i}y{k}" for k in range(40))) for i in range(30)]
+
+
+@pytest.mark.parametrize("what", ["full sketch", "shuffled lists", "small parts"])
+def test_repeats_are_found_whatever_the_plan(spark, monkeypatch, what):
+    if what == "full sketch":
+        monkeypatch.setattr(substrings, "cell_bits", lambda size: 4)
+    elif what == "shuffled lists":
+        monkeypatch.setattr(substrings, "MOST_BROADCAST", 0)
+        monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    else:
+        monkeypatch.setattr(substrings, "PART_CELLS", 50)
+        monkeypatch.setattr(substrings, "TASK_CELLS", 100)
+    out = substrings.remove_repeats(spark.createDataFrame(REPEATS, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["n_removed"] for r in out} == {i: 0 if i == 0 else 70 for i in range(30)}
 
 
