@@ -10,10 +10,11 @@ A window is ``width`` consecutive words.  Three steps decide all windows:
    unsettled, so nothing is lost for others.
 2. Count-min prefilter.  Each partition sketches its unsettled windows; the sketches
    hold used cells only, are merged by ranges of cells, and grow with the input (16
-   cells a key and row).  The sum never is below a window's true count.  The sketch
-   key of a window is the least hash among its 8-word shingles, so equal windows
-   share a key and neighbouring windows mostly do, too.
-3. Exact grouping, by 128-bit hashes, of windows whose estimate is two or more.
+   cells a key and row).  The sum never is below a key's true count.  A window has
+   two keys, the least hash among the shingles (a third of a window long) of either
+   half of it: equal windows share both, and neighbouring windows mostly do, too.
+3. Exact grouping, by 128-bit hashes, of windows whose keys both are estimated at two
+   documents or more.
 
 Texts are read where they stand; what the steps find goes back to them as lists per
 document (``common.with_lists``), and so do the cells that were hit twice.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH = 50
-SHINGLE = 8
+#: A window is so many shingles long.
+SHINGLES = 3
 BOUNDARY = 4
 #: Rows of the sketch, cells of a row per key, and cells of a part when sketches are merged.
 DEPTH = 2
@@ -97,9 +99,14 @@ def pair_hashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, starts: np.n
     return common.mix64(common.joined(chunk[first], np.where(last > first, chunk[last], np.uint64(0))) + (hi - lo).astype(np.uint64))
 
 
+def keys_in(text_bytes: int) -> int:
+    """About the sketch keys of a text: some 6 bytes a word, a key per 9 words."""
+    return text_bytes // (6 * 9)
+
+
 def cell_bits(text_bytes: int) -> int:
-    """Bits of a cell: a text has some 6 bytes a word and a key per 22 words."""
-    return max(16, (SPARSITY * text_bytes // (6 * 22)).bit_length())
+    """Bits of a cell."""
+    return max(16, (SPARSITY * keys_in(text_bytes)).bit_length())
 
 
 class Windows:
@@ -117,18 +124,22 @@ class Windows:
         reach = np.maximum.accumulate(reach)
         self.at = at[reach[at] < at + width]
 
-    def keys(self) -> np.ndarray:
-        """The sketch key of each unsettled window."""
-        shingles = common.window_hashes(self.hashes, min(SHINGLE, self.width))
-        return sliding_min(shingles, self.width - min(SHINGLE, self.width) + 1)[self.at]
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two sketch keys of each unsettled window."""
+        shingle = max(1, self.width // SHINGLES)
+        half = (self.width - shingle + 2) // 2
+        least = sliding_min(common.window_hashes(self.hashes, shingle), half)
+        return least[self.at], least[self.at + self.width - shingle + 1 - half]
 
 
 def document_keys(w: Windows) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, sketch key) of the unsettled windows."""
-    keys, doc = w.keys(), w.words.doc[w.at]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-    keys, doc = keys[new], doc[new]
+    found, doc = [], w.words.doc[w.at]
+    for keys in w.keys():
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+        found.append((doc[new], keys[new]))
+    doc, keys = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((keys, doc))
     keys, doc = keys[order], doc[order]
     new = np.ones(len(keys), dtype=bool)
@@ -281,7 +292,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     text_bytes = common.bytes_of(usable)
     bits = cell_bits(text_bytes)
-    twice = cells_hit_twice(judged, width, bits, text_bytes // (6 * 22))
+    twice = cells_hit_twice(judged, width, bits, keys_in(text_bytes))
     n_cells = twice.agg(F.sum("n")).first()[0] or 0
     shared = None
     if 8 * n_cells <= MOST_BROADCAST:
@@ -292,15 +303,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def emit_windows(batches):
         for batch, i, j, w in blocks_of(batches, width):
-            keys = w.keys()
-            if shared is not None:
-                unique, place = np.unique(keys, return_inverse=True)
-                keep = np.logical_and.reduce([among(shared.value, c) for c in cells_of(unique, bits)])[place]
-            else:
-                doc, keep = w.words.doc[w.at], np.zeros(len(keys), dtype=bool)
-                edge = np.searchsorted(doc, np.arange(j - i + 1))
-                for k, raw in enumerate(batch.column("keys").to_pylist()[i:j]):
-                    keep[edge[k] : edge[k + 1]] = among(np.frombuffer(raw, dtype=np.uint64), keys[edge[k] : edge[k + 1]])
+            keep = np.ones(len(w.at), dtype=bool)
+            for keys in w.keys():
+                if shared is not None:
+                    unique, place = np.unique(keys, return_inverse=True)
+                    keep &= np.logical_and.reduce([among(shared.value, c) for c in cells_of(unique, bits)])[place]
+                else:
+                    edge = np.searchsorted(w.words.doc[w.at], np.arange(j - i + 1))
+                    for k, raw in enumerate(batch.column("keys").to_pylist()[i:j]):
+                        keep[edge[k] : edge[k + 1]] &= among(np.frombuffer(raw, dtype=np.uint64), keys[edge[k] : edge[k + 1]])
             at = w.at[keep]
             doc = w.words.doc[at]
             start = (at - w.words.first[doc]).astype(np.int32)
