@@ -14,9 +14,13 @@ Steps
      that rules it out, confirmed on the full sets.
   4. Confirmed links make components.  In buckets that still span several, pairs
      across components are estimated where the bucket stands, in cells of bounded
-     size.  Each member's likeliest pair is confirmed first, which joins most of
-     them; then all likely pairs that are left.  So every pair that shares a bucket
-     was either tested or lies in one component already.
+     size; a cell gives out a spanning forest of its likely pairs, likeliest first,
+     so no more pairs than it has members.  These are confirmed, too.
+  5. Where that leaves a tree of likely pairs in several components, its members meet
+     with their full sets, again in cells: all likely pairs across components are
+     tested there, and only links that join two components are given out.
+So every likely pair that shares a bucket was either tested or lies in one component
+already, and what is moved grows with members, never with pairs.
 
 Chance of missing a pair at a similarity of exactly 0.8: (1 - 0.8**ROWS)**BANDS, 1e-7.
 """
@@ -38,8 +42,11 @@ BASE = 1.1
 RATE = 20.0
 #: A pair whose estimate is lower than the threshold by this is ruled out: four standard deviations.
 SLACK = 0.11
-#: Members of a bucket that one cell holds at most, on average.
+#: Members of a bucket that one cell holds at most, on average; shingles of the sets of one.
 CELL = 1500
+CELL_SHINGLES = 1 << 20
+#: Links that one task joins to components; beyond that, rounds of joins do.
+MOST_LINKS = 1 << 21
 
 _MULTIPLIERS = common.random_words(REGISTERS, 11) | np.uint64(1)
 
@@ -104,8 +111,8 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return common.mix64(packed ^ np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] << np.uint64(48))
 
 
-def sketch_rows(docs: DataFrame, width: int, full: bool = True) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the set) and, if full, sketch; for an empty set s1, s2 and sketch are null."""
+def sketch_rows(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, s1, s2 (hash of the set) and sketch; for an empty set s1, s2 and sketch are null."""
 
     def run(batches):
         for batch in batches:
@@ -120,16 +127,13 @@ def sketch_rows(docs: DataFrame, width: int, full: bool = True) -> DataFrame:
                 if len(some):
                     s1[some] = np.add.reduceat(common.mix64(value ^ np.uint64(0x5851F42D4C957F2D)), first[:-1])
                     s2[some] = np.add.reduceat(common.mix64(value ^ np.uint64(0x14057B7EF767814F)), first[:-1])
-                    if full:
-                        for k, s in zip(some.tolist(), registers(value, first)):
-                            sketches[k] = s.tobytes()
+                    for k, s in zip(some.tolist(), registers(value, first)):
+                        sketches[k] = s.tobytes()
                 none = n == 0
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(common.signed(s1), mask=none), pa.array(common.signed(s2), mask=none)]
-                if full:
-                    columns.append(pa.array(sketches, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "sketch"][: len(columns)])
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(common.signed(s1), mask=none), pa.array(common.signed(s2), mask=none), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
 
-    return common.arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint" + ", sketch binary" * full)
+    return common.arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch binary")
 
 
 def attach(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -158,11 +162,15 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return common.arrow_map(attach(pairs, classes, ["n_shingles", "sketch"]), run, "a bigint, b bigint")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets.  Texts are read again, for likely pairs only."""
-    pairs = common.checkpointed(likely(pairs, classes, percent))
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
-    texts = common.roughly_in(docs.select(F.col("doc_id").alias("cid"), "text").filter("cid IS NOT NULL AND text IS NOT NULL"), "cid", needed, "cid")
+def texts_of(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+    """(cid, text, column) of the documents whose ids are in ``lists`` (cid, column)."""
+    texts = docs.select(F.col("doc_id").alias("cid"), "text").filter("cid IS NOT NULL AND text IS NOT NULL")
+    return common.with_lists(texts, lists, "cid", column, "inner")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets.  Texts are read again, for these pairs only."""
+    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().withColumn("none", F.lit(b""))
 
     def pack(batches):
         for batch in batches:
@@ -183,17 +191,40 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
                 sure[k] = 100 * both >= percent * (len(held[1]) + len(other) - both)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(sure)) for c in ("a", "b")], names=["a", "b"])
 
-    packed = common.arrow_map(texts, pack, "cid bigint, z binary")
+    packed = common.checkpointed(common.arrow_map(texts_of(docs, needed, "none").select("cid", "text"), pack, "cid bigint, z binary"))
     return common.arrow_map(attach(pairs, packed, ["z"]).select("a", "b", "a_z", "b_z"), run, "a bigint, b bigint")
 
 
+def joined(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """``label`` with the trees of u[k] and v[k] joined; a root is the least index of its tree."""
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over links (a, b), by alternating large-star and small-star rounds.
+    """(node, component): the least node reachable over links (a, b).
 
-    A round is a minimum per node, taken before the shuffle, and a join back on
-    the node, which Spark splits where a node is frequent.
+    Up to MOST_LINKS links are joined in one task.  More take alternating large-star
+    and small-star rounds: each is a minimum per node, taken before the shuffle, and a
+    join back on the node, which Spark splits where a node is frequent.
     """
     edges = common.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    if edges.count() <= MOST_LINKS:
+
+        def run(batches):
+            rows = list(batches)
+            u, v = (np.concatenate([b.column(c).to_numpy() for b in rows]) if rows else np.zeros(0, np.int64) for c in ("u", "v"))
+            nodes, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+            label = joined(place[: len(u)], place[len(u) :], np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+        return common.checkpointed(common.arrow_map(edges.coalesce(1), run, "node bigint, component bigint"))
     while not is_stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # so Spark can split the join
@@ -201,7 +232,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
 def is_stars(edges: DataFrame) -> bool:
@@ -211,80 +243,176 @@ def is_stars(edges: DataFrame) -> bool:
     return mixed.isEmpty()
 
 
-def across(members: DataFrame, low: float, best: bool) -> DataFrame:
-    """Likely pairs between components within buckets: members has bucket, band, cid, comp, n_shingles, sketch and parts (cells per side).
-
-    Every two members of a bucket meet in the cell of their two parts.  A pair is
-    given out in the first band that both share only.  With ``best``, only the
-    likeliest pair of each member outside the cell's largest component is.
-    """
+def in_cells(members: DataFrame, group: str) -> DataFrame:
+    """Each member in the cells where its part meets each other part of its group: columns part, p, q; sorted by group and cell."""
     part = F.pmod(F.xxhash64("cid"), F.col("parts").cast("bigint")).cast("int")
     cells = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("bucket", "band", "cid", "comp", "n_shingles", "sketch", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    dealt = cells.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-
-    def pairs_of(rows: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        n = len(rows["cid"])
-        if n < 2 or len(np.unique(rows["comp"])) < 2:
-            return None
-        band, p, q = int(rows["band"][0]), rows["p"][0], rows["q"][0]
-        left = np.flatnonzero(rows["part"] == p)
-        right = left if p == q else np.flatnonzero(rows["part"] == q)
-        a_out, b_out, e_out = [], [], []
-        for i in range(0, len(left), 64):
-            x = left[i : i + 64]
-            ok = rows["comp"][x][:, None] != rows["comp"][right][None, :]
-            if p == q:
-                ok &= rows["cid"][x][:, None] < rows["cid"][right][None, :]
-            at, to = np.nonzero(ok)
-            for k in range(0, len(at), 8192):
-                a, b = x[at[k : k + 8192]], right[to[k : k + 8192]]
-                small = np.minimum(rows["n"][a], rows["n"][b]) >= low * np.maximum(rows["n"][a], rows["n"][b])
-                a, b = a[small], b[small]
-                if not len(a):
-                    continue
-                sa, sb = rows["sketch"][a], rows["sketch"][b]
-                equal = sa == sb
-                first = equal.reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                near = (best | (first == band)) & (equal.sum(axis=1) >= (low - 0.05) * REGISTERS)
-                a, b, sa, sb = a[near], b[near], sa[near], sb[near]
-                if len(a):
-                    e = estimate(sa, sb, rows["n"][a], rows["n"][b])
-                    a_out.append(a[e >= low])
-                    b_out.append(b[e >= low])
-                    e_out.append(e[e >= low])
-        if not a_out:
-            return None
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        if best:
-            kinds, size = np.unique(rows["comp"], return_counts=True)
-            small = rows["comp"] != kinds[size.argmax()]
-            order = np.argsort(-np.concatenate(e_out), kind="stable")
+    cells = cells.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("other", "parts")
+    return cells.repartition(group, "p", "q").sortWithinPartitions(group, "p", "q")
+
+
+def by_cell(batches, group: str):
+    """The rows of each cell, one after the other."""
+    held = None
+    for batch in common.gathered(batches, 4000):
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        g, p, q = common.numbers(rows, group, "p", "q")
+        edges = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1).tolist()]
+        for i, j in zip(edges[:-1], edges[1:]):
+            yield rows.slice(i, j - i)
+        held = rows.slice(edges[-1])
+    if held is not None:
+        yield held
+
+
+def likely_pairs(cell: pa.RecordBatch, low: float):
+    """(a, b, estimate) of a cell's pairs across components that the registers don't rule out, in blocks; a is on the side p, b on q."""
+    comp, part, p, q, cid, n = common.numbers(cell, "comp", "part", "p", "q", "cid", "n_shingles")
+    if len(cid) < 2 or (comp == comp[0]).all():
+        return
+    sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(cid), -1)
+    left = np.flatnonzero(part == p[0])
+    right = left if p[0] == q[0] else np.flatnonzero(part == q[0])
+    for i in range(0, len(left), 64):
+        x = left[i : i + 64]
+        ok = (comp[x][:, None] != comp[right][None, :]) & (np.minimum(n[x][:, None], n[right][None, :]) >= low * np.maximum(n[x][:, None], n[right][None, :]))
+        if p[0] == q[0]:
+            ok &= x[:, None] < right[None, :]
+        at, to = np.nonzero(ok)
+        for k in range(0, len(at), 8192):
+            a, b = x[at[k : k + 8192]], right[to[k : k + 8192]]
+            near = (sketch[a] == sketch[b]).sum(axis=1) >= (low - 0.05) * REGISTERS
+            a, b = a[near], b[near]
+            if len(a):
+                e = estimate(sketch[a], sketch[b], n[a], n[b])
+                if (e >= low).any():
+                    yield a[e >= low], b[e >= low], e[e >= low]
+
+
+def forest(members: DataFrame, low: float) -> DataFrame:
+    """Spanning forests (a, b) of the likely pairs across components within buckets, the likeliest first: members has bucket, cid, comp, n_shingles, sketch, parts."""
+
+    def run(batches):
+        for cell in by_cell(batches, "bucket"):
+            label, a_out, b_out = np.arange(cell.num_rows), [], []
+            found = list(likely_pairs(cell, low))
+            if not found:
+                continue
+            a, b, e = (np.concatenate(x) for x in zip(*found))
+            while len(a):  # Boruvka: each tree's likeliest pair
+                best = np.full(len(label), -1.0)
+                np.maximum.at(best, label[a], e)
+                np.maximum.at(best, label[b], e)
+                chosen = np.flatnonzero((e >= best[label[a]]) | (e >= best[label[b]]))
+                _, one = np.unique(np.minimum(label[a], label[b])[chosen] * len(label) + np.maximum(label[a], label[b])[chosen], return_index=True)
+                chosen = chosen[one]
+                a_out.append(a[chosen])
+                b_out.append(b[chosen])
+                label = joined(a[chosen], b[chosen], label)
+                apart = label[a] != label[b]
+                a, b, e = a[apart], b[apart], e[apart]
+            a, b = np.concatenate(a_out), np.concatenate(b_out)
+            keep = spanning(a, b, cell.num_rows)
+            cid = cell.column("cid").to_numpy()
+            a, b = cid[a[keep]], cid[b[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return common.arrow_map(in_cells(members, "bucket"), run, "a bigint, b bigint").distinct()
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges, taken in turn, join two trees."""
+    parent, keep = list(range(n)), np.zeros(len(a), dtype=bool)
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep[k] = True
+    return keep
+
+
+def exact_links(members: DataFrame, low: float, percent: int) -> DataFrame:
+    """Links (a, b) that join components, found on full sets: members has cluster, cid, comp, n_shingles, sketch, shingles, parts.
+
+    A cell tests all its likely pairs whose ends it hasn't joined yet.
+    """
+
+    def run(batches):
+        for cell in by_cell(batches, "cluster"):
+            found = list(likely_pairs(cell, low))
+            if not found:
+                continue
+            a, b, e = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((-e, a))
             a, b = a[order], b[order]
-            end, place = np.unique(np.where(small[a], a, b), return_index=True)  # the first is the likeliest
-            a, b = a[place], b[place]
-            del end
-        a, b = rows["cid"][a], rows["cid"][b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in cell.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            _, label = np.unique(cell.column("comp").to_numpy(), return_inverse=True)
+            label = np.unique(label, return_index=True)[1][label]  # the root is the first member
+            out = []
+            edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(a)]):
+                one, rest, step = int(a[i]), b[i:j], 8
+                while len(rest := rest[label[rest] != label[one]]):
+                    now, rest = rest[:step], rest[step:]
+                    step = min(4 * step, 512)
+                    flat = np.concatenate([sets[k] for k in now.tolist()])
+                    at = np.minimum(np.searchsorted(sets[one], flat), size[one] - 1)
+                    both = np.add.reduceat((sets[one][at] == flat).astype(np.int64), np.cumsum(size[now]) - size[now])
+                    for k in now[100 * both >= percent * (size[one] + size[now] - both)].tolist():
+                        if label[k] != label[one]:
+                            label[label == max(label[k], label[one])] = min(label[k], label[one])
+                            out.append((one, k))
+            if out:
+                cid = cell.column("cid").to_numpy()
+                x, y = cid[np.array(out).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return common.arrow_map(in_cells(members, "cluster"), run, "a bigint, b bigint").distinct()
+
+
+def open_members(docs: DataFrame, trees: DataFrame, label: DataFrame, width: int) -> DataFrame | None:
+    """Members of trees of likely pairs that lie in several components, with their full sets; None if there are none."""
+    cluster = components(trees).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    named = cluster.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    named = common.checkpointed(named.select("cid", "cluster", "comp"))
+    still = common.checkpointed(named.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster"))
+    if still.isEmpty():
+        return None
+    named = named.join(still, "cluster").select("cid", F.concat(F.hex("cluster"), F.lit(","), F.hex("comp")).cast("binary").alias("own"))
 
     def run(batches):
-        held: dict[str, np.ndarray] | None = None
-        for batch in common.gathered(batches, 4000):
-            rows = {c: batch.column(c).to_numpy() for c in ("bucket", "band", "cid", "comp", "part", "p", "q")}
-            rows["n"] = batch.column("n_shingles").to_numpy()
-            rows["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            if held is not None:
-                rows = {c: np.concatenate((held[c], rows[c])) for c in rows}
-            new = np.flatnonzero((np.diff(rows["bucket"]) != 0) | (np.diff(rows["p"]) != 0) | (np.diff(rows["q"]) != 0)) + 1
-            edges = [0, *new.tolist()]
-            for i, j in zip(edges[:-1], edges[1:]):
-                if (out := pairs_of({c: x[i:j] for c, x in rows.items()})) is not None:
-                    yield out
-            held = {c: x[edges[-1] :] for c, x in rows.items()}
-        if held is not None and (out := pairs_of(held)) is not None:
-            yield out
-
-    return common.arrow_map(dealt, run, "a bigint, b bigint")
+        for batch in batches:
+            cid, own = batch.column("cid").to_numpy(), batch.column("own").to_pylist()
+            texts = common.raw_texts(batch.column("text"))
+            for i, j in common.blocks(texts):
+                doc, value = shingle_sets(texts[i:j], width)
+                n = np.bincount(doc, minlength=j - i)
+                some = np.flatnonzero(n)
+                if not len(some):
+                    continue
+                first = np.concatenate(([0], np.cumsum(n[some])))
+                ends = [[int(x, 16) for x in own[i + k].split(b",")] for k in some.tolist()]
+                columns = [
+                    pa.array([x[0] for x in ends], pa.uint64()).view(pa.int64()),
+                    pa.array(cid[i:j][some]),
+                    pa.array([x[1] for x in ends], pa.uint64()).view(pa.int64()),
+                    pa.array(n[some]),
+                    pa.array([x.tobytes() for x in registers(value, first)], pa.binary()),
+                    pa.array([value[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["cluster", "cid", "comp", "n_shingles", "sketch", "shingles"])
+
+    schema = "cluster bigint, cid bigint, comp bigint, n_shingles bigint, sketch binary, shingles binary"
+    found = common.checkpointed(common.arrow_map(texts_of(docs, named, "own"), run, schema))
+    parts = found.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / CELL_SHINGLES), F.ceil(F.count(F.lit(1)) / CELL)).cast("int").alias("parts"))
+    return found.join(parts, "cluster")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -293,12 +421,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Texts are lower-cased (A-Z) and cut into words; two documents are linked if
     their sets of ``width``-word shingles overlap by ``percent`` of the union.
     component_id is the least doc_id reachable.  A text without words is linked
-    with nothing.  Ids should be unique: where rows share a doc_id, each gets the
-    component of its own text.  A null doc_id can't be linked: its component_id is
-    null and it is kept.  An empty table stays empty.
+    with nothing.  Rows that share a doc_id are one document, linked if any of its
+    texts is.  A null doc_id can't be linked: its component_id is null and it is
+    kept.  Texts of any length count whole, in blocks of 1 MB or one text.  Further
+    columns aren't read.  An empty table stays empty.
     """
-    member = sketch_rows(docs, width, full=False)
-    usable = sketch_rows(docs, width).filter("doc_id IS NOT NULL AND n_shingles > 0")
+    member = common.checkpointed(sketch_rows(docs, width))
+    usable = member.filter("doc_id IS NOT NULL AND n_shingles > 0")
     grouped = usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("most"), F.first("sketch").alias("sketch"))
     classes = common.checkpointed(grouped)
 
@@ -316,22 +445,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = common.checkpointed(banded.groupBy("bucket").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     in_bucket = common.checkpointed(banded.join(shared, "bucket"))
     star = in_bucket.filter("cid > a").select("a", F.col("cid").alias("b")).distinct()
-    found = common.checkpointed(confirm(star, classes, docs, width, percent))
-    low = percent / 100 - SLACK
-    for best in (True, False):  # the likeliest pairs join most of what is left; then all likely pairs
-        named = in_bucket.join(components(found).withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-        open_buckets = common.checkpointed(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket"))
-        if open_buckets.isEmpty():
-            break
-        left_over = named.join(open_buckets, "bucket").join(classes.select("cid", "n_shingles", "sketch"), "cid")
-        left_over = left_over.withColumn("parts", F.ceil(F.col("size") / F.lit(CELL)).cast("int"))
-        more = confirm(across(left_over, low, best).distinct(), classes, docs, width, percent)
-        found = common.checkpointed(found.union(more))
+    found = common.checkpointed(confirm(common.checkpointed(likely(star, classes, percent)), docs, width, percent))
     label = components(found)
+    low = percent / 100 - SLACK
+    named = in_bucket.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    open_buckets = common.checkpointed(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket"))
+    if not open_buckets.isEmpty():
+        left_over = named.select("bucket", "cid", "size", "comp").join(open_buckets, "bucket").join(classes.select("cid", "n_shingles", "sketch"), "cid")
+        left_over = left_over.withColumn("parts", F.ceil(F.col("size") / F.lit(CELL)).cast("int")).drop("size")
+        trees = common.checkpointed(forest(left_over, low))
+        found = common.checkpointed(found.union(confirm(trees, docs, width, percent)))
+        label = components(found)
+        members = open_members(docs, trees, label, width)
+        if members is not None:
+            label = components(found.union(exact_links(members, low, percent)))
 
     # Class of each document by its set, then the component of the class: both joins leave singletons alone.
     by_set = classes.filter("rows > 1 AND most > cid").select("s1", "s2", F.col("cid").alias("first_copy"))
-    out = member.join(by_set, ["s1", "s2"], "left").withColumn("cid", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_copy", "doc_id")))
+    out = member.drop("sketch").join(by_set, ["s1", "s2"], "left").withColumn("cid", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_copy", "doc_id")))
     out = out.join(label.withColumnRenamed("node", "cid"), "cid", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -245,19 +245,27 @@ def test_near_duplicates(docs, width):
             assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
-def test_near_duplicates_in_small_cells(spark, monkeypatch):
-    """A group of near copies, not all near the first one, over cells and salts of a few rows."""
+@pytest.mark.parametrize("most", [11, 16])
+def test_near_duplicates_in_small_cells(spark, monkeypatch, most):
+    """A group of near copies, not all near the first one, over cells of a few rows, rounds of joins and shuffled lists."""
     monkeypatch.setattr(neardup, "CELL", 4)
+    monkeypatch.setattr(neardup, "CELL_SHINGLES", 1000)
+    if most == 16:
+        monkeypatch.setattr(neardup, "MOST_LINKS", 0)
+        monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    reached, exact = [], neardup.exact_links
+    monkeypatch.setattr(neardup, "exact_links", lambda *a: reached.append(1) or exact(*a))
     rng = np.random.default_rng(3)
     base = [f"t{k}" for k in range(120)]
     rows = [(0, " ".join(base))]
     for i in range(1, 40):
         w = list(base)
-        for k in rng.choice(120, rng.integers(1, 11), replace=False):
+        for k in rng.choice(120, rng.integers(1, most), replace=False):
             w[k] = f"n{i}k{k}"
         rows.append((i, " ".join(w)))
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == plain_groups(rows, 2)
+    assert reached or most == 11
 
 
 def test_registers_merge_and_estimate():
@@ -271,7 +279,9 @@ def test_registers_merge_and_estimate():
     assert abs(estimate - 1600 / 2400) < 0.15
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_LINKS", most)
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(k, k + 1) for k in range(1000, 1040)]
     found = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
