@@ -66,15 +66,20 @@ def dealt(parts: DataFrame) -> DataFrame:
 def parts_of(batches: Iterator[pa.RecordBatch], with_part: bool = False) -> Iterator:
     """All packed rows of one part after the other, or (part, rows)."""
     part, held = None, []
+
+    def rows():
+        whole = pa.concat_batches(held)
+        held.clear()  # so that only one copy stays while the caller works
+        return (part, whole) if with_part else whole
+
     for batch in batches:
         for p, raw in zip(batch.column("part").to_pylist(), batch.column("blob")):
             if p != part and held:
-                yield (part, pa.concat_batches(held)) if with_part else pa.concat_batches(held)
-                held = []
+                yield rows()
             part = p
             held.append(unpack(raw.as_py()))
     if held:
-        yield (part, pa.concat_batches(held)) if with_part else pa.concat_batches(held)
+        yield rows()
 
 
 def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:

@@ -52,8 +52,8 @@ MOST_SPLIT = 1 << 20
 MANY, FEW = 16, 3
 #: Bytes of text for a part of the classes, postings for a part of the join, comparisons that are held at once.
 PART_BYTES = 16 << 20
-PART_POSTINGS = 400_000
-BLOCK_PAIRS = 500_000
+PART_POSTINGS = 150_000
+BLOCK_PAIRS = 250_000
 #: Lines of a task whose classes are packed together.
 TASK_LINES = 100_000
 #: Bits per open line or word of it in the filters of the second phase, and their greatest size (8 MB).
@@ -113,11 +113,11 @@ def _counter(short: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (common.mix64(short * _STEP) >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
 
 
-def _texts(batches, column: str = "text"):
+def _texts(batches, most: int = common.BLOCK_BYTES):
     """(batch, i, j, encoded texts i..j) in blocks of bounded bytes."""
     for batch in batches:
-        texts = common.raw_texts(batch.column(column))
-        for i, j in common.blocks(texts):
+        texts = common.raw_texts(batch.column("text"))
+        for i, j in common.blocks(texts, most):
             yield batch, i, j, texts[i:j]
 
 
@@ -127,7 +127,7 @@ def rarity(rows: DataFrame, text_bytes: int) -> np.ndarray:
 
     def count(batches):
         total, lane = np.zeros(1 << bits, dtype=np.uint32), 0
-        for _, _, _, texts in _texts(batches):
+        for _, _, _, texts in _texts(batches, 4 * common.BLOCK_BYTES):
             token = common.Words(texts, lower=True).hashes(5)
             if len(token):
                 at = _counter(_short(token), total)
@@ -399,17 +399,21 @@ def cell_pairs(rows: pa.RecordBatch, percent: int, best: bool):
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
     edges = np.flatnonzero(new)
     first = np.repeat(edges, np.diff(np.append(edges, len(new))))
-    # Length filter: row k meets the rows before it in its cell whose n is at least percent of n[k].
+    # Length filter: row k meets the rows before it in its cell whose n is at least percent of n[k].  Of those, the
+    # shorter lines, only the words count that may be the first shared one: 2 * percent / (100 + percent) of n must follow.
     key = np.cumsum(new) * (1 << 32) + n
-    low = np.maximum(np.searchsorted(key, key - n + -(-percent * n.astype(np.int64) // 100)), first).astype(np.int32)
-    many = np.arange(len(n), dtype=np.int32) - low
-    total = np.cumsum(many, dtype=np.int64)
+    low = np.maximum(np.searchsorted(key, key - n + -(-percent * n.astype(np.int64) // 100)), first)
+    index = np.flatnonzero(place <= n + -(2 * percent * n.astype(np.int64) // (100 + percent))).astype(np.int32)
+    until = np.searchsorted(index, np.arange(len(n)))
+    low = np.searchsorted(index, low)
+    many = until - low
+    total = np.cumsum(many)
     found, start = [], 0
     while start < len(n):
         stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK_PAIRS)))
         here = many[start:stop]
         b = np.repeat(np.arange(start, stop, dtype=np.int32), here)
-        a = np.arange(len(b), dtype=np.int32) + np.repeat(low[start:stop] - (np.cumsum(here, dtype=np.int64) - here).astype(np.int32), here)
+        a = index[np.arange(len(b)) + np.repeat(low[start:stop] - (np.cumsum(here) - here), here)]
         start = stop
         # Positional filter: words from here on bound the overlap, as the words before are rarer and shared once at most.
         both = n[a] + n[b]
