@@ -172,11 +172,15 @@ def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, a bijection of 64-bit words."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    t = y >> U64(27)
+    y ^= t
+    y *= U64(0x94D049BB133111EB)
+    t = y >> U64(31)
+    y ^= t
+    return y
 
 
 def random_words(n: int, seed: int) -> np.ndarray:
@@ -255,8 +259,13 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of a followed by b, from theirs; the order counts."""
-    x = (a ^ (a >> U64(29))) * U64(0xBF58476D1CE4E5B9) + b
-    return (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
+    x = a >> U64(29)
+    x ^= a
+    x *= U64(0xBF58476D1CE4E5B9)
+    x += b
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    return x
 
 
 def window_hashes(values: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
