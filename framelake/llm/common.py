@@ -6,6 +6,7 @@ over whole blocks of texts with NumPy, never word by word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,10 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Memory that is free to the system: Python workers stay, and the next task may run in others."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches of bounded bytes."""
+    """``df.mapInArrow`` with batches of bounded bytes; a task gives its memory back."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def pack(batch: pa.RecordBatch) -> bytes:
@@ -100,9 +113,14 @@ def with_lists(docs: DataFrame, lists: DataFrame, key: str, column: str, how: st
 
 
 def bytes_of(texts: DataFrame) -> int:
-    """About the bytes of the column text: what Catalyst knows of the files, or else a count."""
+    """The bytes of the column text."""
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def about_bytes(texts: DataFrame) -> int:
+    """Bytes of the files behind the column text, as Catalyst guesses them (texts may take several times that), or else a count."""
     known = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return known if known < 1 << 60 else texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return known if known < 1 << 60 else bytes_of(texts)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -188,6 +206,7 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed) * U64(1 << 32)) * U64(0x9E3779B97F4A7C15))
 
 
+_LIBC = ctypes.CDLL(None)
 _STEP = U64(0x9E3779B97F4A7C15)
 #: The first k bytes of a little-endian word.
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)

@@ -50,10 +50,12 @@ CELL = 2000
 MOST_SPLIT = 1 << 20
 #: Likeliest earlier lines that are given out for each line, and those of them that are verified first.
 MANY, FEW = 16, 3
-#: Bytes of text for a part of the classes, postings for a part of the join, comparisons that are held at once.
-PART_BYTES = 16 << 20
+#: Bytes of files for a part of the classes, postings for a part of the join, comparisons that are held at once.
+PART_BYTES = 4 << 20
 PART_POSTINGS = 150_000
 BLOCK_PAIRS = 250_000
+#: Lines whose postings are made at once.
+SLICE = 100_000
 #: Lines of a task whose classes are packed together.
 TASK_LINES = 100_000
 #: Bits per open line or word of it in the filters of the second phase, and their greatest size (8 MB).
@@ -350,9 +352,9 @@ def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: t
 
     def emit(batches):
         words, cells = split.value
-        for rows in _unpacked(batches, "firsts"):
+        for rows in (whole.slice(k, SLICE) for whole in _unpacked(batches, "firsts") for k in range(0, whole.num_rows, SLICE)):
             prefix = rows.column("prefix")
-            size = np.diff(prefix.offsets.to_numpy())
+            size = prefix.value_lengths().to_numpy()
             line = np.repeat(np.arange(rows.num_rows), size)
             token = prefix.flatten().to_numpy()
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
@@ -608,7 +610,7 @@ def matches(rows: DataFrame, firsts: DataFrame, counts, postings: int, percent:
 def gone_lines(docs: DataFrame, percent: int, least: int) -> DataFrame:
     """(doc_id, numbers) of the judged lines that go."""
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    text_bytes = common.bytes_of(rows)
+    text_bytes = common.about_bytes(rows)
     counts = rows.sparkSession.sparkContext.broadcast(rarity(rows, text_bytes))
     found = common.checkpointed(classes(rows, counts, percent, least, max(8, -(-text_bytes // PART_BYTES))))
     postings = found.agg(F.sum("postings")).first()[0] or 0
