@@ -48,8 +48,10 @@ LANES = 16
 #: Lines of one word that a cell holds per side, on average, and words that are dealt to several cells at most.
 CELL = 2000
 MOST_SPLIT = 1 << 20
-#: Likeliest earlier lines that are given out for each line, and those of them that are verified first.
-MANY, FEW = 16, 3
+#: Likeliest earlier lines that are given out for each line, those of them that are verified first, and those
+#: that are given out where even the likeliest differs by DOUBT percent of what it may.
+MANY, FEW, MOST = 16, 3, 1024
+DOUBT = 50
 #: Bytes of files for a part of the classes, postings for a part of the join, comparisons that are held at once.
 PART_BYTES = 4 << 20
 PART_POSTINGS = 150_000
@@ -335,14 +337,14 @@ def split_words(firsts: DataFrame, counts, postings: int) -> tuple[np.ndarray, n
 
 #: Bits of ``side``: which side of a cell a line is on (0: the only one), and whether it is open.
 _OPEN = 4
-_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean"
+_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean, doubt boolean"
 
 
 def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: tuple | None = None) -> DataFrame:
     """Pairs of first lines (earlier a, later b) that pass the length, positional and signature filters for some prefix word.
 
-    Of each b, the MANY pairs whose signatures differ least with their rank, and
-    ``more``: whether others were left out.  With ``opened``, bit filters of lines and of their words,
+    Of each b, the MANY (or MOST) pairs whose signatures differ least with their rank,
+    and ``more``: whether others were left out.  With ``opened``, bit filters of lines and of their words,
     all pairs whose b passes the first.
     """
     context = firsts.sparkSession.sparkContext
@@ -386,9 +388,10 @@ def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: t
     pairs = common.arrow_map(common.dealt(posted), run, _PAIR)
     if opened is not None:
         return pairs.select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    # A line has MANY rows per part at most, so the sets are short.
-    found = pairs.groupBy("b_doc", "b_line").agg(F.array_sort(F.collect_set(F.struct("differ", "a_doc", "a_line"))).alias("c"), F.max("more").alias("more"))
-    found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > MANY)).alias("more"), F.posexplode(F.slice("c", 1, MANY)).alias("rank", "a"))
+    # A line has MANY rows per part at most, or MOST, so the sets are short.
+    found = pairs.groupBy("b_doc", "b_line").agg(F.array_sort(F.collect_set(F.struct("differ", "a_doc", "a_line"))).alias("c"), F.max("more").alias("more"), F.min("doubt").alias("doubt"))
+    found = found.withColumn("most", F.when(F.col("doubt"), MOST).otherwise(MANY))
+    found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > F.col("most"))).alias("more"), F.posexplode(F.slice("c", F.lit(1), F.col("most"))).alias("rank", "a"))
     return found.select("a.a_doc", "a.a_line", "b_doc", "b_line", "rank", "more")
 
 
@@ -436,7 +439,7 @@ def cell_pairs(rows: pa.RecordBatch, percent: int, best: bool):
         if not best:
             ok = side[b] >= _OPEN
             a, b, differ = a[ok], b[ok], differ[ok]
-        found.append((a, b, differ))
+        found.append((a, b, differ, 100 * differ >= DOUBT * (n[a] + n[b]) * (100 - percent) // (100 + percent)))
         if sum(len(x[0]) for x in found) >= BLOCK_PAIRS:
             yield from _pairs(found, doc, number, best)
             found = []
@@ -444,23 +447,25 @@ def cell_pairs(rows: pa.RecordBatch, percent: int, best: bool):
 
 
 def _pairs(found: list, doc: np.ndarray, number: np.ndarray, best: bool):
-    a, b, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
-    if not len(a):
+    if not found or not sum(len(x[0]) for x in found):
         return
+    a, b, differ, doubt = (np.concatenate(x) for x in zip(*found))
     ends = [doc[a], number[a], doc[b], number[b]]
     order = np.lexsort((ends[1], ends[0], differ, ends[3], ends[2]))
-    ends, differ = [x[order] for x in ends], differ[order]
+    ends, differ, doubt = [x[order] for x in ends], differ[order], doubt[order]
     same_b = np.concatenate(([False], (ends[2][1:] == ends[2][:-1]) & (ends[3][1:] == ends[3][:-1])))
     again = same_b & np.concatenate(([False], (ends[0][1:] == ends[0][:-1]) & (ends[1][1:] == ends[1][:-1])))
-    ends, differ, same_b = [x[~again] for x in ends], differ[~again], same_b[~again]
+    ends, differ, doubt, same_b = [x[~again] for x in ends], differ[~again], doubt[~again], same_b[~again]
+    start = np.flatnonzero(~same_b)
+    size = np.diff(np.append(start, len(differ)))
+    doubt = np.repeat(np.logical_and.reduceat(doubt, start), size)
     more = np.zeros(len(differ), dtype=bool)
     if best:
-        start = np.flatnonzero(~same_b)
-        size = np.diff(np.append(start, len(differ)))
-        few = np.arange(len(differ)) - np.repeat(start, size) < MANY
-        more = np.repeat(size > MANY, size)[few]
-        ends, differ = [x[few] for x in ends], differ[few]
-    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in ends], pa.array(differ.astype(np.int32)), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more"])
+        most = np.where(doubt, MOST, MANY)
+        more = np.repeat(size, size) > most
+        few = np.arange(len(differ)) - np.repeat(start, size) < most
+        ends, differ, more, doubt = [x[few] for x in ends], differ[few], more[few], doubt[few]
+    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in ends], pa.array(differ.astype(np.int32)), pa.array(more), pa.array(doubt)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more", "doubt"])
 
 
 def _place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:

@@ -110,6 +110,7 @@ def test_line_dedup(docs):
 def test_line_dedup_of_a_frequent_word(spark, monkeypatch):
     monkeypatch.setattr(lines, "CELL", 3)
     monkeypatch.setattr(lines, "MANY", 2)
+    monkeypatch.setattr(lines, "MOST", 2)
     monkeypatch.setattr(lines, "FEW", 1)
     rows = [(i, f"rare{i % 2} b{i} c d e f g h i j k l m", "en") for i in range(12)]
     out = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(frame(spark, rows)).collect()}
