@@ -39,6 +39,8 @@ LEAST_ITEM = 5
 #: Words of benchmark in a block.
 BLOCK_WORDS = 1_000_000
 _TABLE_BITS = 22
+#: Seed hits that are held at once.
+_BLOCK_HITS = 1_000_000
 
 
 def needed(length: np.ndarray) -> np.ndarray:
@@ -103,9 +105,9 @@ class Index:
             self.tables.append(np.packbits(table))
         self.item_of = words.doc
 
-    def hits(self, words: common.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (document word, item word) that start a seed hit, with one pair per diagonal of a document and an item."""
-        here, there = [], []
+    def hits(self, words: common.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct diagonals (document, item, document word less item word) with a seed hit."""
+        found, held, span = [], 0, len(words) + len(self.item_of) + 1
         for k, mask in enumerate(self.masks):
             keys, places = self.keys[k], self.places[k]
             if not len(keys):
@@ -116,34 +118,43 @@ class Index:
             maybe = np.flatnonzero(self.tables[k][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
             at, key = at[maybe], key[maybe]
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            here.append(np.repeat(at, n))
-            there.append(places[np.repeat(lo, n) + inside])
-        if not here:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        p, q = np.concatenate(here), np.concatenate(there)
-        if not len(p):
-            return p, q
-        diagonal = np.stack((words.doc[p], self.item_of[q], p - q))
-        _, one = np.unique(diagonal, axis=1, return_index=True)
-        return p[one], q[one]
+            total = np.cumsum(hi - lo)
+            start = 0
+            while start < len(at):  # repetitive texts meet repetitive items in very many places, mostly on few diagonals
+                stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _BLOCK_HITS)))
+                n = (hi - lo)[start:stop]
+                p = np.repeat(at[start:stop], n)
+                q = places[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[start:stop], n)]
+                start = stop
+                found.append(np.unique((words.doc[p] * len(self.ids) + self.item_of[q]) * span + (p - q + len(self.item_of))))
+                held += len(found[-1])
+                if held > 4 * _BLOCK_HITS:
+                    found = [np.unique(np.concatenate(found))]
+                    held = 0
+        diagonal = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        which, shift = diagonal // span, diagonal % span - len(self.item_of)
+        return which // len(self.ids), which % len(self.ids), shift
 
     def find(self, words: common.Words) -> list[tuple[int, int, int]]:
         """(document, item, covered item words) for each item found."""
         hashes = words.hashes(1)
         covered: dict[tuple[int, int], np.ndarray] = {}
-        for p, q in zip(*self.hits(words, hashes)):
-            doc, item = int(words.doc[p]), int(self.item_of[q])
-            start, end = self.first[item], self.first[item + 1]
-            lo = max(start, q - (p - words.first[doc]))
-            hi = min(end, q + (words.first[doc + 1] - p))
-            same = self.hashes[lo:hi] == hashes[p - q + lo : p - q + hi]
-            found = stretches(same, min(LEAST_STRETCH, self.need[item]))
+        for doc, item, shift in zip(*(x.tolist() for x in self.hits(words, hashes))):
+            start, end = int(self.first[item]), int(self.first[item + 1])
+            seen = covered.get((doc, item))
+            if seen is None:
+                seen = covered[(doc, item)] = np.zeros(end - start, dtype=bool)
+            elif seen.all():
+                continue
+            lo, hi = max(start, int(words.first[doc]) - shift), min(end, int(words.first[doc + 1]) - shift)
+            same = self.hashes[lo:hi] == hashes[shift + lo : shift + hi]
+            if same.all():
+                found = [(0, len(same))] if len(same) >= min(LEAST_STRETCH, self.need[item]) else []
+            else:
+                found = stretches(same, min(LEAST_STRETCH, self.need[item]))
             if hi - lo == end - start <= LONGEST_SHARE and same.sum() >= self.need[item]:
                 found = [(0, len(same))]
             for a, b in found:
-                seen = covered.setdefault((doc, item), np.zeros(end - start, dtype=bool))
                 seen[lo - start + a : lo - start + b] |= same[a:b]
         return [(d, i, int(s.sum())) for (d, i), s in covered.items() if s.sum() >= self.need[i]]
 
@@ -194,6 +205,8 @@ def _blocks_of(batch: pa.RecordBatch):
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row and benchmark item found in it: doc_id, item_id, item_words, matched_words.
 
+    Further columns aren't read.  Texts of any length are searched whole, with
+    memory that grows with text and item, not with their product.
     Null and empty texts hold nothing, and items of fewer than LEAST_ITEM words are
     not looked for.  Repeated documents or items give a row each.  Null ids are
     given as they are.  An empty table on either side gives an empty result.

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +58,12 @@ TELLING = frozenset("article main nav aside header footer form section menu dial
 
 
 class Node:
-    __slots__ = ("tag", "names", "hidden", "gold", "key")
+    """An element; ``leaf`` is the nearest block tag, ``near`` the nearest element that tells what its area is for, from here on up."""
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag, self.names, self.hidden, self.gold, self.key = tag, (), False, None, tag
+    __slots__ = ("tag", "names", "hidden", "gold", "parent", "depth", "leaf", "near", "inside")
+
+    def __init__(self, tag: str, attributes: str, parent: Node | None = None):
+        self.tag, self.names, self.hidden, self.gold, self.parent = tag, (), False, None, parent
         if "=" in attributes or "hidden" in attributes:
             names = []
             for m in _ATTRIBUTE.finditer(attributes):
@@ -71,12 +75,36 @@ class Node:
                 elif name == "data-gold":
                     self.gold = value
             self.names = tuple(dict.fromkeys(names))
-            self.key = f"{tag}.{'.'.join(self.names)}{'!' * self.hidden}"
-
-
-def leaf_blocks(page: str) -> list[tuple[str, tuple[Node, ...], int]]:
-    """(text, open elements, characters in links) of each block with text, in page order."""
+        self.depth = parent.depth + 1 if parent else 0
+        self.leaf = tag if tag in BLOCK_TAGS else parent.leaf if parent else "none"
+        self.near = self if tag in TELLING or self.names else parent.near if parent else None
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+
+    def own_features(self) -> list[str]:
+        """What this element adds to the features of the blocks below it."""
+        out = [f"tag:{self.tag}"] * (self.tag in BLOCK_TAGS) + ["hidden"] * self.hidden
+        for name in self.names:
+            out += [f"name:{name}", *[f"stem:{name[:k]}" for k in (4, 6) if len(name) > k]]
+        return out
+
+    def place_features(self) -> list[str]:
+        """What the nearest elements tell of the blocks right below."""
+        out = [f"leaf:{self.leaf}"] + [f"inside:{self.leaf}"] * self.inside
+        if self.near is not None:
+            out.append(f"near:{self.near.tag}")
+            for name in self.near.names:
+                out += [f"nearname:{name}"] + [f"nearstem:{name[:4]}"] * (len(name) > 4)
+        return list(dict.fromkeys(out))
+
+
+def leaf_blocks(page: str) -> list[tuple[str, Node | None, int]]:
+    """(text, innermost open element, characters in links) of each block with text, in page order.
+
+    Where an element of a kind is open is known from lists of places, so deep pages take no longer than flat ones.
+    """
     out, stack, parts = [], [], []
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
     linked = silent = 0
     in_link = 0
 
@@ -85,16 +113,19 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[Node, ...], int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, tuple(stack), linked))
+                out.append((text, stack[-1] if stack else None, linked))
             parts.clear()
         linked = 0
 
     def pop_to(index: int):
         nonlocal in_link, silent
         for node in stack[index:]:
+            places[node.tag].pop()
             in_link -= node.tag == "a"
             silent -= node.tag in SILENT_TAGS
         del stack[index:]
+        while blocks and blocks[-1] >= index:
+            blocks.pop()
 
     at, length = 0, len(page)
     while at < length:
@@ -114,38 +145,24 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[Node, ...], int]]:
         if not tag:
             continue
         tag = tag.lower()
+        block = tag in BLOCK_TAGS
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    if tag in BLOCK_TAGS:
-                        flush()
-                    pop_to(k)
-                    break
-                if tag not in BLOCK_TAGS and stack[k].tag in BLOCK_TAGS:
-                    break  # an inline end tag doesn't end a block
-            else:
-                if tag in BLOCK_TAGS:
-                    flush()
+            if block:
+                flush()
+            # An inline end tag doesn't end a block.
+            if places[tag] and (block or not blocks or blocks[-1] < places[tag][-1]):
+                pop_to(places[tag][-1])
             continue
-        if tag in BLOCK_TAGS:
+        if block:
             flush()
-            if tag in _P_ENDERS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == "p":
-                        pop_to(k)
-                        break
-                    if stack[k].tag in BLOCK_TAGS:
-                        break
+            if tag in _P_ENDERS and blocks and stack[blocks[-1]].tag == "p":
+                pop_to(blocks[-1])
             if tag in CLOSES:
                 ended, scope = CLOSES[tag]
-                first = None
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag in scope:
-                        break
-                    if stack[k].tag in ended:
-                        first = k
-                if first is not None:
-                    pop_to(first)
+                edge = max((places[t][-1] for t in scope if places[t]), default=-1)
+                inner = [places[t][k] for t in ended if (k := bisect_right(places[t], edge)) < len(places[t])]
+                if inner:
+                    pop_to(min(inner))
         elif tag == "br":
             parts.append(" ")
         attributes = m[3] or m[6] or ""
@@ -155,37 +172,30 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[Node, ...], int]]:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else length
             continue
-        stack.append(Node(tag, attributes))
+        places[tag].append(len(stack))
+        if block:
+            blocks.append(len(stack))
+        stack.append(Node(tag, attributes, stack[-1] if stack else None))
         in_link += tag == "a"
         silent += tag in SILENT_TAGS
     flush()
     return out
 
 
-def chain_features(chain: tuple[Node, ...]) -> list[str]:
+def chain(node: Node | None) -> list[Node]:
+    """The node and its ancestors, the outermost first."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out[::-1]
+
+
+def chain_features(node: Node | None) -> list[str]:
     """What the ancestors tell."""
-    out, names, near = [], [], None
-    for node in chain:
-        if node.tag in BLOCK_TAGS:
-            out.append(f"tag:{node.tag}")
-        names += node.names
-        if node.hidden:
-            out.append("hidden")
-        if node.tag in TELLING or node.names:
-            near = node
-    leaf = next((n.tag for n in reversed(chain) if n.tag in BLOCK_TAGS), "none")
-    out.append(f"leaf:{leaf}")
-    for name in names:
-        out.append(f"name:{name}")
-        out += [f"stem:{name[:k]}" for k in (4, 6) if len(name) > k]
-    if near is not None:
-        out.append(f"near:{near.tag}")
-        for name in near.names:
-            out.append(f"nearname:{name}")
-            out += [f"nearstem:{name[:4]}"] * (len(name) > 4)
-    if any(n.tag in ("article", "main") for n in chain):
-        out.append(f"inside:{leaf}")
-    return list(dict.fromkeys(out))
+    if node is None:
+        return ["leaf:none"]
+    return list(dict.fromkeys([f for n in chain(node) for f in n.own_features()] + node.place_features()))
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -206,17 +216,33 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], start: np.ndarray, steps: np.ndarray):
         self.weights, self.start, self.steps = weights, start, steps
-        self.chains: dict[tuple[str, ...], float] = {}
-        self.texts: dict[tuple[str, ...], float] = {}
-
-    def emission(self, text: str, chain: tuple[Node, ...], linked: int) -> float:
-        key = tuple([n.key for n in chain])
-        value = self.chains.get(key)
-        if value is None:
-            if len(self.chains) > 50_000:
-                self.chains.clear()
-            value = self.chains[key] = sum(self.weights.get(f, 0.0) for f in chain_features(chain))
-        return value + sum(self.weights.get(f, 0.0) for f in text_features(text, linked))
+
+    def chain_scores(self, nodes: list[Node | None]) -> list[float]:
+        """Scores of chain_features for nodes in page order: each element is entered and left once, whatever its depth."""
+        weight, path, count, total, out = self.weights, [], Counter(), 0.0, []
+        for node in nodes:
+            new, x = [], node
+            while x is not None and not (x.depth < len(path) and path[x.depth] is x):
+                new.append(x)
+                x = x.parent
+            for old in reversed(path[x.depth + 1 if x is not None else 0 :]):
+                for f in old.own_features():
+                    count[f] -= 1
+                    if not count[f]:
+                        total -= weight.get(f, 0.0)
+            del path[x.depth + 1 if x is not None else 0 :]
+            for one in reversed(new):
+                path.append(one)
+                for f in one.own_features():
+                    count[f] += 1
+                    if count[f] == 1:
+                        total += weight.get(f, 0.0)
+            out.append(total + sum(weight.get(f, 0.0) for f in (node.place_features() if node is not None else ["leaf:none"])))
+        return out
+
+    def emissions(self, blocks: list[tuple[str, Node | None, int]]) -> list[float]:
+        chains = self.chain_scores([b[1] for b in blocks])
+        return [c + sum(self.weights.get(f, 0.0) for f in text_features(text, linked)) for c, (text, _, linked) in zip(chains, blocks)]
 
     def decode(self, emissions: list[float]) -> list[int]:
         """The likeliest states (Viterbi); ties go to state 0."""
@@ -238,7 +264,7 @@ class Crf:
 
     def extract(self, page: str | None) -> str:
         found = leaf_blocks(page) if page else []
-        states = self.decode([self.emission(*b) for b in found])
+        states = self.decode(self.emissions(found))
         return "\n\n".join([b[0] for b, s in zip(found, states) if s])
 
 
@@ -249,10 +275,10 @@ def train(pages: list[str], steps: int = 150, ridge: float = 1e-3) -> Crf:
     n = 0
     for page in pages:
         labels = []
-        for text, chain, linked in leaf_blocks(page):
-            gold = next((x.gold for x in reversed(chain) if x.gold is not None), "0")
+        for text, node, linked in leaf_blocks(page):
+            gold = next((x.gold for x in reversed(chain(node)) if x.gold is not None), "0")
             labels.append(int(gold == "1"))
-            for f in chain_features(chain) + text_features(text, linked):
+            for f in chain_features(node) + text_features(text, linked):
                 rows.append(n)
                 columns.append(index.setdefault(f, len(index)))
             n += 1
@@ -313,7 +339,8 @@ def extract(pages: DataFrame, model: Crf | None = None, column: str = "html") ->
     """page_id, url and text for every row of ``pages``; a null or empty page, or one without main text, has an empty text.
 
     Rows are independent: repeated ids and ties change nothing, an empty table stays
-    empty, and other columns are not read.
+    empty, and other columns are not read.  Pages of any length and depth are read
+    whole, in time that grows with their length.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -484,8 +485,10 @@ def test_extraction_of_labelled_pages():
     model, wrong, total = html.trained(), 0, 0
     for page in html_training.labelled_pages(60, seed=99):
         found = html.leaf_blocks(page)
-        gold = [next((n.gold for n in reversed(chain) if n.gold is not None), "0") == "1" for _, chain, _ in found]
-        got = model.decode([model.emission(*b) for b in found])
+        gold = [next((n.gold for n in reversed(html.chain(node)) if n.gold is not None), "0") == "1" for _, node, _ in found]
+        got = model.decode(model.emissions(found))
+        plain = [sum(model.weights.get(f, 0.0) for f in html.chain_features(node) + html.text_features(text, linked)) for text, node, linked in found]
+        assert model.emissions(found) == pytest.approx(plain)
         wrong += sum(bool(a) != bool(b) for a, b in zip(gold, got))
         total += len(found)
     assert wrong < 0.01 * total
@@ -509,6 +512,26 @@ def test_extraction(spark, sf):
     assert len(out) == common.table(spark, sf, "pages").count() and all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+@pytest.mark.parametrize("part", ["<div>x", "<b>x<div>y</div>", "<div class=\"a{}\">x", "<li>x<b>", "<i></b>x", "<p><span>x"])
+def test_deep_pages(part):
+    """50,000 nested tags take seconds, as do end tags without a start."""
+    began = time.perf_counter()
+    text = html.trained().extract("<article><p>" + "".join(part.format(k) for k in range(50_000)))
+    assert isinstance(text, str) and time.perf_counter() - began < 20
+
+
+HAND_PAGES = [
+    ("<body><nav><a href=/>Home</a> <a href=/x>News</a></nav><article><h1>A title of some words</h1><p>One &amp; two are <b>three</b>, he said.</p></article><footer>© 2020 All rights reserved</footer>", "One & two are three, he said."),
+    ("<div id=header><ul><li><a href=a>Start</a><li><a href=b>Shop</a></ul></div><main><p>The first paragraph has\n enough words to be read as text.<p>The second one, too, ends with a stop.</main><div class=sidebar><h3>Related</h3><a href=q>More like this</a></div>", "The first paragraph has enough words to be read as text.\n\nThe second one, too, ends with a stop."),
+]
+
+
+@pytest.mark.parametrize("page, part", HAND_PAGES)
+def test_extraction_of_pages_by_hand(page, part):
+    text = html.trained().extract(page)
+    assert part in text and not any(x in text for x in ("Home", "News", "Shop", "rights", "More like", "Related"))
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(4)
     for _ in range(50):
@@ -581,3 +604,10 @@ def test_short_items_are_found_despite_any_substitutions():
             assert index.find(common.Words([text.encode()])) == [(0, 0, need)], (n, lost)
         more = " ".join("y" if k % (n // (n - need + 1)) == 0 else w for k, w in enumerate(item))
         assert not index.find(common.Words([more.encode()])), n
+
+
+def test_repetitive_texts_stay_small():
+    index = decontaminate.Index([1], ["a " * 1000])
+    began = time.perf_counter()
+    assert index.find(common.Words([b"a " * 20_000])) == [(0, 0, 1000)]
+    assert time.perf_counter() - began < 60
