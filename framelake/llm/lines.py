@@ -50,7 +50,7 @@ CELL = 2000
 MOST_SPLIT = 1 << 20
 #: Likeliest earlier lines that are given out for each line, those of them that are verified first, and those
 #: that are given out where even the likeliest differs by DOUBT percent of what it may.
-MANY, FEW, MOST = 16, 3, 1024
+MANY, FEW, MOST = 16, 3, 256
 DOUBT = 50
 #: Bytes of files for a part of the classes, postings for a part of the join, comparisons that are held at once.
 PART_BYTES = 4 << 20
