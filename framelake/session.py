@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch for Python.  One value for texts and frames alike, so the order of calls doesn't matter.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
