@@ -48,10 +48,8 @@ LANES = 16
 #: Lines of one word that a cell holds per side, on average, and words that are dealt to several cells at most.
 CELL = 2000
 MOST_SPLIT = 1 << 20
-#: Likeliest earlier lines that are given out for each line, those of them that are verified first, and those
-#: that are given out where even the likeliest differs by DOUBT percent of what it may.
-MANY, FEW, MOST = 16, 3, 256
-DOUBT = 50
+#: Likeliest earlier lines that are given out for each line, and those of them that are verified first.
+MANY, FEW = 16, 3
 #: Bytes of files for a part of the classes, postings for a part of the join, comparisons that are held at once.
 PART_BYTES = 4 << 20
 PART_POSTINGS = 150_000
@@ -63,6 +61,8 @@ TASK_LINES = 100_000
 #: Bits per open line or word of it in the filters of the second phase, and their greatest size (8 MB).
 FILTER_SPARSITY, MOST_FILTER_BITS = 16, 26
 FILTER_BLOCKS = 64
+#: Packed bytes of open lines up to which they are broadcast.
+MOST_OPEN = 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -337,14 +337,59 @@ def split_words(firsts: DataFrame, counts, postings: int) -> tuple[np.ndarray, n
 
 #: Bits of ``side``: which side of a cell a line is on (0: the only one), and whether it is open.
 _OPEN = 4
-_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean, doubt boolean"
+_PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int, differ int, more boolean"
+
+
+def postings_of(rows: pa.RecordBatch, is_open: np.ndarray, words_in: Bits | None, percent: int) -> pa.RecordBatch:
+    """A row per prefix word of each line; with ``words_in``, for lines that aren't open, only of words that an open line of like length may have."""
+    prefix = rows.column("prefix")
+    size = prefix.value_lengths().to_numpy()
+    line = np.repeat(np.arange(rows.num_rows), size)
+    token = prefix.flatten().to_numpy()
+    place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+    if words_in is not None:
+        keep = is_open[line] | words_in.has(_word_hash(token, _length_class(rows.column("n").to_numpy(), percent)[line]))
+        line, token, place = line[keep], token[keep], place[keep]
+    out = rows.select(["doc_id", "number", "n", "sig1", "sig2", "wide"]).take(pa.array(line))
+    side = np.where(is_open, _OPEN, 0).astype(np.int8)[line]
+    return common.with_columns_of(out, token=pa.array(token), cell=pa.array(np.zeros(len(token), np.int64)), place=pa.array(place.astype(np.int32)), side=pa.array(side))
+
+
+def open_candidates(firsts: DataFrame, still: DataFrame, counts, postings: int, percent: int) -> DataFrame:
+    """All pairs of first lines (earlier a, later and open b) that pass the filters.
+
+    Open lines are few: up to a bound of bytes their postings are broadcast and meet
+    those of all lines where these stand.  Beyond it, postings are shuffled as before.
+    """
+    filters = open_filters(firsts, still, postings, percent)
+    shared = still.sparkSession.sparkContext.broadcast(filters)
+
+    def own(batches):
+        for rows in _unpacked(batches, "firsts"):
+            rows = rows.filter(pa.array(shared.value[0].has(_places(rows))))
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([common.pack(postings_of(rows, np.ones(rows.num_rows, dtype=bool), None, percent))], pa.binary())], names=["blob"])
+
+    found = common.checkpointed(common.arrow_map(firsts.select("firsts"), own, "blob binary"))
+    if (found.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) > MOST_OPEN:
+        return candidates(firsts, counts, postings, percent, filters)
+    blobs = still.sparkSession.sparkContext.broadcast([x.as_py() for x in found.toArrow().column("blob")])
+
+    def meet(batches):
+        opened = [common.unpack(x) for x in blobs.value]
+        for rows in _unpacked(batches, "firsts"):
+            mine = postings_of(rows, np.zeros(rows.num_rows, dtype=bool), shared.value[1], percent)
+            yield from cell_pairs(pa.concat_batches([mine, *opened]), percent, False)
+
+    pairs = common.arrow_map(firsts.select("firsts"), meet, _PAIR)
+    return pairs.select("a_doc", "a_line", "b_doc", "b_line").distinct()
 
 
 def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: tuple | None = None) -> DataFrame:
     """Pairs of first lines (earlier a, later b) that pass the length, positional and signature filters for some prefix word.
 
-    Of each b, the MANY (or MOST) pairs whose signatures differ least with their rank,
-    and ``more``: whether others were left out.  With ``opened``, bit filters of lines and of their words,
+    Of each b, the MANY pairs whose signatures differ least with their rank, and
+    ``more``: whether others were left out.  With ``opened``, bit filters of lines and of their words,
     all pairs whose b passes the first.
     """
     context = firsts.sparkSession.sparkContext
@@ -355,30 +400,19 @@ def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: t
     def emit(batches):
         words, cells = split.value
         for rows in (whole.slice(k, SLICE) for whole in _unpacked(batches, "firsts") for k in range(0, whole.num_rows, SLICE)):
-            prefix = rows.column("prefix")
-            size = prefix.value_lengths().to_numpy()
-            line = np.repeat(np.arange(rows.num_rows), size)
-            token = prefix.flatten().to_numpy()
-            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            side = np.zeros(len(token), dtype=np.int64)
-            if filters.value is not None:
-                lines_in, words_in = filters.value
-                is_open = lines_in.has(_place_hash(*common.numbers(rows, "doc_id", "number")))[line]
-                side[is_open] = _OPEN
-                keep = is_open | words_in.has(_word_hash(token, _length_class(rows.column("n").to_numpy(), percent)[line]))
-                line, token, place, side = line[keep], token[keep], place[keep], side[keep]
-            cell = np.zeros(len(token), dtype=np.int64)
+            is_open = np.zeros(rows.num_rows, dtype=bool) if opened is None else filters.value[0].has(_places(rows))
+            out = postings_of(rows, is_open, None if opened is None else filters.value[1], percent)
+            token, place_hash = out.column("token").to_numpy(), _places(out)
             if len(words):
                 at = np.minimum(np.searchsorted(words, token), len(words) - 1)
                 n = np.where(words[at] == token, cells[at], 1)
-                own = (common.mix64(_place_hash(*common.numbers(rows, "doc_id", "number")))[line] % n.astype(np.uint64)).astype(np.int64)
+                own = np.repeat((common.mix64(place_hash) % n.astype(np.uint64)).astype(np.int64), n)
                 other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                line, token, place, side, own = (np.repeat(x, n) for x in (line, token, place, side, own))
-                side = side + np.where(own == other, 0, np.where(own < other, 1, 2))
-                cell = np.minimum(own, other) << 31 | np.maximum(own, other)
-            part = common.mix64(token * _STEP ^ common.mix64(cell.view(np.uint64))) % np.uint64(parts)
-            own_rows = rows.select(["doc_id", "number", "n", "sig1", "sig2", "wide"]).take(pa.array(line))
-            yield common.packed_by(common.with_columns_of(own_rows, token=pa.array(token), cell=pa.array(cell), place=pa.array(place.astype(np.int32)), side=pa.array(side.astype(np.int8))), part)
+                out = out.take(pa.array(np.repeat(np.arange(len(token)), n)))
+                side = out.column("side").to_numpy() + np.where(own == other, 0, np.where(own < other, 1, 2))
+                out = common.with_columns_of(out, cell=pa.array(np.minimum(own, other) << 31 | np.maximum(own, other)), side=pa.array(side.astype(np.int8)))
+            token, cell = common.numbers(out, "token", "cell")
+            yield common.packed_by(out, common.mix64(token * _STEP ^ common.mix64(cell.view(np.uint64))) % np.uint64(parts))
 
     def run(batches):
         for rows in common.parts_of(batches):
@@ -388,10 +422,9 @@ def candidates(firsts: DataFrame, counts, postings: int, percent: int, opened: t
     pairs = common.arrow_map(common.dealt(posted), run, _PAIR)
     if opened is not None:
         return pairs.select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    # A line has MANY rows per part at most, or MOST, so the sets are short.
-    found = pairs.groupBy("b_doc", "b_line").agg(F.array_sort(F.collect_set(F.struct("differ", "a_doc", "a_line"))).alias("c"), F.max("more").alias("more"), F.min("doubt").alias("doubt"))
-    found = found.withColumn("most", F.when(F.col("doubt"), MOST).otherwise(MANY))
-    found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > F.col("most"))).alias("more"), F.posexplode(F.slice("c", F.lit(1), F.col("most"))).alias("rank", "a"))
+    # A line has MANY rows per part at most, so the sets are short.
+    found = pairs.groupBy("b_doc", "b_line").agg(F.array_sort(F.collect_set(F.struct("differ", "a_doc", "a_line"))).alias("c"), F.max("more").alias("more"))
+    found = found.select("b_doc", "b_line", (F.col("more") | (F.size("c") > MANY)).alias("more"), F.posexplode(F.slice("c", 1, MANY)).alias("rank", "a"))
     return found.select("a.a_doc", "a.a_line", "b_doc", "b_line", "rank", "more")
 
 
@@ -434,12 +467,14 @@ def cell_pairs(rows: pa.RecordBatch, percent: int, best: bool):
         closer = wide.difference(a, b)
         ok = closer <= room
         a, b, differ = a[ok], b[ok], np.maximum(differ, closer)[ok]
+        other = (doc[a] != doc[b]) | (number[a] != number[b])
+        a, b, differ = a[other], b[other], differ[other]
         swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (number[a] > number[b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         if not best:
             ok = side[b] >= _OPEN
             a, b, differ = a[ok], b[ok], differ[ok]
-        found.append((a, b, differ, 100 * differ >= DOUBT * (n[a] + n[b]) * (100 - percent) // (100 + percent)))
+        found.append((a, b, differ))
         if sum(len(x[0]) for x in found) >= BLOCK_PAIRS:
             yield from _pairs(found, doc, number, best)
             found = []
@@ -447,31 +482,33 @@ def cell_pairs(rows: pa.RecordBatch, percent: int, best: bool):
 
 
 def _pairs(found: list, doc: np.ndarray, number: np.ndarray, best: bool):
-    if not found or not sum(len(x[0]) for x in found):
+    a, b, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+    if not len(a):
         return
-    a, b, differ, doubt = (np.concatenate(x) for x in zip(*found))
     ends = [doc[a], number[a], doc[b], number[b]]
     order = np.lexsort((ends[1], ends[0], differ, ends[3], ends[2]))
-    ends, differ, doubt = [x[order] for x in ends], differ[order], doubt[order]
+    ends, differ = [x[order] for x in ends], differ[order]
     same_b = np.concatenate(([False], (ends[2][1:] == ends[2][:-1]) & (ends[3][1:] == ends[3][:-1])))
     again = same_b & np.concatenate(([False], (ends[0][1:] == ends[0][:-1]) & (ends[1][1:] == ends[1][:-1])))
-    ends, differ, doubt, same_b = [x[~again] for x in ends], differ[~again], doubt[~again], same_b[~again]
-    start = np.flatnonzero(~same_b)
-    size = np.diff(np.append(start, len(differ)))
-    doubt = np.repeat(np.logical_and.reduceat(doubt, start), size)
+    ends, differ, same_b = [x[~again] for x in ends], differ[~again], same_b[~again]
     more = np.zeros(len(differ), dtype=bool)
     if best:
-        most = np.where(doubt, MOST, MANY)
-        more = np.repeat(size, size) > most
-        few = np.arange(len(differ)) - np.repeat(start, size) < most
-        ends, differ, more, doubt = [x[few] for x in ends], differ[few], more[few], doubt[few]
-    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in ends], pa.array(differ.astype(np.int32)), pa.array(more), pa.array(doubt)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more", "doubt"])
+        start = np.flatnonzero(~same_b)
+        size = np.diff(np.append(start, len(differ)))
+        few = np.arange(len(differ)) - np.repeat(start, size) < MANY
+        more = np.repeat(size > MANY, size)[few]
+        ends, differ = [x[few] for x in ends], differ[few]
+    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in ends], pa.array(differ.astype(np.int32)), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "differ", "more"])
 
 
 def _place_hash(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
     return common.mix64(common.mix64(doc.astype(np.int64).view(np.uint64) * _STEP) + number.astype(np.uint64) * _STEP)
 
 
+def _places(rows: pa.RecordBatch) -> np.ndarray:
+    return _place_hash(*common.numbers(rows, "doc_id", "number"))
+
+
 def _length_class(n: np.ndarray, percent: int) -> np.ndarray:
     """Lines that may match are at most one class apart."""
     return np.floor(np.log(n) / np.log(100.5 / percent)).astype(np.int64)
@@ -571,14 +608,14 @@ def open_filters(firsts: DataFrame, still: DataFrame, postings: int, percent: in
 
     def hash_places(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(_place_hash(*common.numbers(batch, "doc_id", "number"))))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(_places(batch)))], names=["h"])
 
     lines = still.count()
     shared = still.sparkSession.sparkContext.broadcast(bits_of(common.arrow_map(still, hash_places, "h bigint"), lines))
 
     def hash_words(batches):
         for rows in _unpacked(batches, "firsts"):
-            is_open = shared.value.has(_place_hash(*common.numbers(rows, "doc_id", "number")))
+            is_open = shared.value.has(_places(rows))
             prefix = rows.column("prefix").filter(pa.array(is_open))
             token = prefix.flatten().to_numpy()
             own = np.repeat(_length_class(rows.column("n").to_numpy()[is_open], percent), prefix.value_lengths().to_numpy())
@@ -608,7 +645,7 @@ def matches(rows: DataFrame, firsts: DataFrame, counts, postings: int, percent:
     still = common.checkpointed(open_pairs(others.filter("more"), gone).selectExpr("b_doc doc_id", "b_line number").distinct())
     if still.isEmpty():
         return gone
-    rest = common.checkpointed(candidates(firsts, counts, postings, percent, open_filters(firsts, still, postings, percent)))
+    rest = common.checkpointed(open_candidates(firsts, still, counts, postings, percent))
     return gone.union(verified(rows, rest, percent)).select(*names)
 
 

@@ -108,16 +108,41 @@ def test_line_dedup(docs):
     assert got == want
 
 
-def test_line_dedup_of_a_frequent_word(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_line_dedup_of_a_frequent_word(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "MOST_OPEN", most)
     monkeypatch.setattr(lines, "CELL", 3)
     monkeypatch.setattr(lines, "MANY", 2)
-    monkeypatch.setattr(lines, "MOST", 2)
     monkeypatch.setattr(lines, "FEW", 1)
     rows = [(i, f"rare{i % 2} b{i} c d e f g h i j k l m", "en") for i in range(12)]
     out = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(frame(spark, rows)).collect()}
     assert out == {i: int(i >= 2) for i in range(12)}
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_lines_that_only_a_late_candidate_matches(spark, monkeypatch, most):
+    """Lines whose likeliest candidates fail meet all others, by broadcast or by shuffle."""
+    monkeypatch.setattr(lines, "MOST_OPEN", most)
+    monkeypatch.setattr(lines, "MANY", 2)
+    monkeypatch.setattr(lines, "FEW", 1)
+    monkeypatch.setattr(lines, "CELL", 5)
+    late, real = [], lines.open_candidates
+    monkeypatch.setattr(lines, "open_candidates", lambda *a: late.append(1) or real(*a))
+    rng = np.random.default_rng(2)
+    base = [f"t{k}" for k in range(150)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for k in rng.choice(150, rng.integers(8, 24), replace=False):
+            w[k] = f"n{i}k{k}"
+        rows.append((i, " ".join(w), "en"))
+    out = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    sets = [set(t.split()) for _, t, _ in rows]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert out == {i: int(any(near(sets[i], sets[j]) for j in range(i))) for i in range(80)}
+    assert late
+
+
 # --- op3 ----------------------------------------------------------------------------------------
 
 
