@@ -57,9 +57,11 @@ def two_nearest(queries: DataFrame, index: DataFrame) -> DataFrame:
     small; vectors are compared by array functions, without Python.
     """
     distance = F.aggregate(F.zip_with("qv", "iv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = queries.join(index).withColumn("d", distance)
-    pairs = pairs.groupBy("q").agg(F.min_by(F.struct("i", "d"), F.struct("d", "i")).alias("one"), F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("two"))
-    return pairs.select("q", F.col("one.i").alias("best"), F.sqrt(F.element_at("two", 1)).alias("d1"), F.sqrt(F.try_element_at("two", F.lit(2))).alias("d2"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "i"))
+    # Spark cuts the rows of a query to two in every task, before they are shuffled.
+    two = queries.join(index).select("q", "i", distance.alias("d")).withColumn("place", place).filter("place <= 2")
+    at = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
+    return two.groupBy("q").agg(at("i", 1).alias("best"), F.sqrt(at("d", 1)).alias("d1"), F.sqrt(at("d", 2)).alias("d2"))
 
 
 def ratio_match(queries: DataFrame, index: DataFrame, ratio: float = 0.75) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import meta
+from ..session import bounded_batches
 
 FRAME_SCHEMA = "path string, h int, w int, nch int, maxval double, px array<double>"
 #: Long side in pixels, sharpening in percent, bits: fixed values of the export presets.
@@ -56,8 +57,8 @@ def encode_fits(data: np.ndarray, cards: dict[str, str | float] | None = None) -
     return text.ljust(-(-len(text) // 2880) * 2880).encode("ascii") + raw + b"\0" * (-len(raw) % 2880)
 
 
-def decode_netpbm(content: bytes) -> np.ndarray:
-    """Binary PGM or PPM, 8 or 16 bits."""
+def decode_netpbm(content: bytes) -> tuple[float, np.ndarray]:
+    """The greatest value that the header allows, and the pixels of a binary PGM or PPM of 8 or 16 bits."""
     parts, at = [], 0
     while len(parts) < 4:
         while content[at : at + 1].isspace():
@@ -72,7 +73,8 @@ def decode_netpbm(content: bytes) -> np.ndarray:
         at = end
     kind = ">u2" if int(parts[3]) > 255 else "u1"
     width, height, channels = int(parts[1]), int(parts[2]), 3 if parts[0] == b"P6" else 1
-    return np.frombuffer(content, dtype=kind, count=width * height * channels, offset=at + 1).astype(np.float64).reshape(height, width, channels)[..., ::-1]
+    data = np.frombuffer(content, dtype=kind, count=width * height * channels, offset=at + 1).astype(np.float64).reshape(height, width, channels)
+    return float(parts[3]), data[..., ::-1]
 
 
 def decode_ser(content: bytes) -> np.ndarray:
@@ -82,38 +84,51 @@ def decode_ser(content: bytes) -> np.ndarray:
     return np.frombuffer(content, dtype=kind, count=width * height * count, offset=178).astype(np.float64).reshape(count, height, width)
 
 
-def _decoded(path: str, content: bytes, max_side: int):
+#: Greatest values by BITPIX; files of floating-point numbers hold shares, unless a DATAMAX card says otherwise.
+FITS_RANGE = {"8": 255.0, "16": 65535.0, "32": 4294967295.0}
+
+
+def _decoded(path: str, content: bytes, max_side: int) -> list[tuple]:
+    """Rows of a file's frames.  The range comes from the header, so all frames of a series have the same."""
+    name = path.lower()
     try:
-        if path.lower().endswith(tuple(meta.FITS_SUFFIXES)):
-            data = decode_fits(content)[1]
-            data = data[..., None] if data.ndim == 2 else np.moveaxis(data, 0, -1)[..., ::-1]
-            top = 1.0 if data.max(initial=0) <= 1.5 else 65535.0 if data.max() > 255 else 255.0
+        if name.endswith(tuple(meta.FITS_SUFFIXES)):
+            header, data = decode_fits(content)
+            top = float(header.get("DATAMAX", FITS_RANGE.get(header["BITPIX"], 1.0)))
+            frames = [(path, data[..., None] if data.ndim == 2 else np.moveaxis(data, 0, -1)[..., ::-1])]
+        elif name.endswith(".ser"):
+            data = decode_ser(content)
+            top = 255.0 if struct.unpack_from("<i", content, 34)[0] <= 8 else 65535.0
+            frames = [(f"{path}#{k:06d}", x[..., None]) for k, x in enumerate(data)]
         else:
-            data = decode_netpbm(content)
-            top = 65535.0 if data.max(initial=0) > 255 else 255.0
-    except (ValueError, KeyError, IndexError):
-        return None  # an unreadable file is left out, as a camera folder may hold others
-    if max_side:
-        step = -(-max(data.shape[:2]) // max_side)
-        h, w = data.shape[0] // step * step, data.shape[1] // step * step
-        data = data[:h, :w].reshape(h // step, step, w // step, step, -1).mean(axis=(1, 3))
-    return path, *(int(n) for n in data.shape), top, data.ravel()
+            top, data = decode_netpbm(content)
+            frames = [(path, data)]
+    except (ValueError, KeyError, IndexError, struct.error):
+        return []  # an unreadable file is left out, as a camera folder may hold others
+    out = []
+    for frame, data in frames:
+        if max_side:
+            step = -(-max(data.shape[:2]) // max_side)
+            h, w = data.shape[0] // step * step, data.shape[1] // step * step
+            data = data[:h, :w].reshape(h // step, step, w // step, step, -1).mean(axis=(1, 3))
+        out.append((frame, *(int(n) for n in data.shape), top, data.ravel()))
+    return out
 
 
 def read_frames(spark: SparkSession, folder: str, max_side: int = 0) -> DataFrame:
-    """Decoded FITS, PGM and PPM files, one row per frame; at most ``max_side`` pixels per side by whole block means.
+    """Decoded FITS, PGM and PPM files and raw .ser videos, one row per frame; at most ``max_side`` pixels per side by whole block means.
 
     Files are read and decoded by executors; unreadable ones are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    files = files.filter(meta.suffix(F.col("path")).isin([*meta.FITS_SUFFIXES, ".pgm", ".ppm"]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    files = files.filter(meta.suffix(F.col("path")).isin([*meta.FITS_SUFFIXES, ".pgm", ".ppm", ".ser"]))
+    bounded_batches(spark)
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [x for x in (_decoded(p, c, max_side) for p, c in zip(batch["path"], batch["content"])) if x is not None]
+            rows = [x for p, c in zip(batch["path"], batch["content"]) for x in _decoded(p, c, max_side)]
             yield pd.DataFrame(rows, columns=["path", "h", "w", "nch", "maxval", "px"])
 
     return files.mapInPandas(run, FRAME_SCHEMA)
