@@ -1,4 +1,4 @@
-"""Queries that run NumPy kernels: no SQL; the tests hold them against plain loops and invariants."""
+"""Queries that run NumPy kernels; their SQL is in ``kernel_sql``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import combine, kernels
 from ..sources import tables
 from .frames import FRAME, query, rounded
+from .kernel_sql import SQL
 
 
 def _unit_pixels(spark, d):
@@ -16,7 +17,7 @@ def _unit_pixels(spark, d):
 
 
 def _per_frame(name: str, kernel):
-    @query(name)
+    @query(name, SQL.get(name))
     def run(spark, d):
         return rounded(kernels.frame_map(_unit_pixels(spark, d), FRAME, kernel), "value")
 
@@ -66,7 +67,7 @@ _per_frame("background_extract", _surface)
 
 
 def _merged(name: str, merge):
-    @query(name)
+    @query(name, SQL.get(name))
     def run(spark, d):
         return rounded(merge(_unit_pixels(spark, d), ["series_id"], "seq"), "v")
 
@@ -77,7 +78,7 @@ _merged("envelope_merge", kernels.envelope_merge_series)
 _merged("tree_merge", lambda px, series, frame: kernels.series_map(px, series, frame, lambda s: kernels.tree_merge(s, np.maximum)))
 
 
-@query("drizzle_stack")
+@query("drizzle_stack", SQL["drizzle_stack"])
 def drizzle_stack(spark, d):
     """Each frame on a grid twice as fine, shifted by its number; then flux by weight as a plain aggregate."""
     px = _unit_pixels(spark, d).withColumns({"dy": (F.col("seq") % 3 - 1) * 0.25, "dx": (F.col("seq") % 5 - 2) * 0.125})
@@ -95,7 +96,7 @@ def drizzle_stack(spark, d):
     return rounded(combine.average(out, ["series_id", "y", "x"], "value"), "value")
 
 
-@query("global_shift")
+@query("global_shift", SQL["global_shift"])
 def global_shift(spark, d):
     """Phase correlation of each frame with the first one of its series."""
     px = _unit_pixels(spark, d)
@@ -113,7 +114,7 @@ def global_shift(spark, d):
     return px.join(ref, ["series_id", "y", "x"]).groupBy("series_id", "seq").applyInPandas(run, "series_id bigint, seq bigint, dy bigint, dx bigint")
 
 
-@query("star_centroids")
+@query("star_centroids", SQL["star_centroids"])
 def star_centroids(spark, d):
     def run(key, pdf):
         import pandas as pd
@@ -123,10 +124,11 @@ def star_centroids(spark, d):
         found = kernels.stars(image, 20, 1.5)
         return pd.DataFrame([(int(key[0]), int(key[1]), k, *s) for k, s in enumerate(found)], columns=["series_id", "seq", "id", "x", "y", "area"])
 
-    return _unit_pixels(spark, d).groupBy("series_id", "seq").applyInPandas(run, "series_id bigint, seq bigint, id bigint, x double, y double, area bigint")
+    found = _unit_pixels(spark, d).groupBy("series_id", "seq").applyInPandas(run, "series_id bigint, seq bigint, id bigint, x double, y double, area bigint")
+    return rounded(found, "x", "y")
 
 
-@query("crop_to_overlap")
+@query("crop_to_overlap", SQL["crop_to_overlap"])
 def crop_to_overlap(spark, d):
     """The largest rectangle of pixels that are valid in all frames, per series."""
     valid = tables.pixels(spark, d).groupBy("series_id", "y", "x").agg(F.bool_and(F.col("v") > -0.3).alias("ok"))
