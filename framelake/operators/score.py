@@ -42,11 +42,11 @@ def gradient(df: DataFrame, frame: list[str], value: str = "v") -> DataFrame:
     return n.withColumn("grad", F.hypot((F.col("right") - F.col("left")) / 2.0, (F.col("down") - F.col("up")) / 2.0)).drop("up", "down", "left", "right")
 
 
-def extreme(df: DataFrame, frame: list[str], value: str = "v", largest: bool = True) -> DataFrame:
-    """3x3 dilation (or erosion) as two passes of a three-value window."""
+def extreme(df: DataFrame, frame: list[str], value: str = "v", largest: bool = True, radius: int = 1) -> DataFrame:
+    """Dilation (or erosion) by a square as two passes of a window, one per axis."""
     pick = F.max if largest else F.min
-    along_y = Window.partitionBy(*frame, "x").orderBy("y").rowsBetween(-1, 1)
-    along_x = Window.partitionBy(*frame, "y").orderBy("x").rowsBetween(-1, 1)
+    along_y = Window.partitionBy(*frame, "x").orderBy("y").rowsBetween(-radius, radius)
+    along_x = Window.partitionBy(*frame, "y").orderBy("x").rowsBetween(-radius, radius)
     return df.withColumn("__m", pick(value).over(along_y)).withColumn("extreme", pick("__m").over(along_x)).drop("__m")
 
 

@@ -26,6 +26,15 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").alias("series_id"), F.col("vec_id").alias("seq"), "p", value(0).alias("b"), value(1).alias("g"), value(2).alias("r"))
 
 
+def colour_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8x8 colour frames in [0, 1]; a pixel's channels are its value and the next two: series_id, seq, y, x, b, g, r."""
+    n = SIDE * SIDE
+    e = table(spark, sf_dir, "embeddings").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    value = lambda c: ((F.element_at("embedding", ((F.col("at") + c) % n + 1).cast("int")).cast("double") + 1.0) / 2.0)
+    place = [F.expr(f"CAST(at DIV {SIDE} AS INT)").alias("y"), F.expr(f"CAST(at % {SIDE} AS INT)").alias("x")]
+    return e.select(F.col("label").alias("series_id"), F.col("vec_id").alias("seq"), *place, value(0).alias("b"), value(1).alias("g"), value(2).alias("r"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frame scores: series_id, ts, seq (event_id), v, event_type, props."""
     e = table(spark, sf_dir, "events")
