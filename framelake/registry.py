@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import frames, fusion, neighbourhoods, records, tones  # noqa: F401  importing them registers their queries
+from .plans import develop, frames, fusion, neighbourhoods, records, tones  # noqa: F401  importing them registers their queries
 
 
 def queries() -> dict:
