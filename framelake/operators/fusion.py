@@ -183,6 +183,32 @@ def deghost_exposures(df: DataFrame, fused: DataFrame, series: list[str], frame:
     return out.select(*series, "y", "x", F.least(F.greatest(mixed, F.lit(0.0)), F.lit(255.0)).alias("value"))
 
 
+# --- background ----------------------------------------------------------------------------------
+
+
+def background_surface(x: np.ndarray, factor: int = 8) -> np.ndarray:
+    """A frame's smooth background: block means (at least 8 per axis, or the pixels of a smaller frame), blurred, and stretched again."""
+    small, places = x, []
+    for axis, n in enumerate(x.shape):
+        edge = np.linspace(0, n, min(n, max(8, n // factor)) + 1).astype(int)
+        size = np.diff(edge)
+        small = np.add.reduceat(small, edge[:-1], axis=axis) / (size[:, None] if axis == 0 else size)
+        places.append(edge[:-1] + (size - 1) / 2)
+    small = kernels.blur(small, max(2.0, small.shape[1] / 10.0))
+    rows = np.stack([np.interp(np.arange(x.shape[0]), places[0], c) for c in small.T], axis=1)
+    return np.stack([np.interp(np.arange(x.shape[1]), places[1], r) for r in rows])
+
+
+def local_normalize(df: DataFrame, series: list[str], frame: str, factor: int = 8, value: str = "v") -> DataFrame:
+    """Each frame moved, place by place, to the background of its series' first frame."""
+    keys = [*series, frame]
+    own = kernels.frame_map(df, keys, lambda x: background_surface(x, factor), value).withColumnRenamed("value", "__own")
+    first = df.groupBy(*series).agg(F.min(frame).alias(frame))
+    ref = own.join(first, keys).select(*series, "y", "x", F.col("__own").alias("__ref"))
+    out = df.join(own, [*keys, "y", "x"]).join(ref, [*series, "y", "x"])
+    return out.select(*keys, "y", "x", (F.col(value) + F.col("__ref") - F.col("__own")).alias("value"))
+
+
 # --- lucky imaging -------------------------------------------------------------------------------
 
 

@@ -220,3 +220,14 @@ def _suggested() -> str:
 @query("suggest_mode", _suggested())
 def suggest_mode(spark, d):
     return rounded(fusion.suggest_mode(_bytes(spark, d), SERIES, "seq"), "moving_frac", "mean_bright", "shift_frac")
+
+
+@query(
+    "local_normalize",
+    k.statement(
+        k.UNIT, k.weights("g2", k.gauss(2.0, 6)), k.apply("so", "u", "g2"), "fi AS (SELECT series_id, min(seq) AS first FROM u GROUP BY ALL)",
+        last="SELECT u.series_id, u.seq, u.y, u.x, round(u.v + r.v - so.v, 6) + 0.0 AS value FROM u JOIN so USING (series_id, seq, y, x) JOIN fi USING (series_id) JOIN so r ON r.series_id = u.series_id AND r.seq = first AND r.y = u.y AND r.x = u.x",
+    ),
+)
+def local_normalize(spark, d):
+    return rounded(fusion.local_normalize(_unit(spark, d), SERIES, "seq"), "value")

@@ -156,3 +156,12 @@ def test_focus_average_prefers_the_sharp_frame(spark):
     flat = np.full((8, 8), 0.5)
     out = image(fusion.focus_average(pixels(spark, [sharp, flat]), ["series_id"], "seq", 1))
     assert np.abs(out - sharp).max() < 1e-3
+
+
+def test_local_normalization_takes_a_gradient_away(spark):
+    base = np.random.default_rng(14).random((24, 24)) * 0.1
+    slope = np.linspace(0, 1, 24)[None, :].repeat(24, axis=0)
+    got = fusion.local_normalize(pixels(spark, [base, base + slope]), ["series_id"], "seq", 2)
+    assert np.allclose(image(got.filter("seq = 0")), base)
+    rest = image(got.filter("seq = 1")) - base
+    assert np.abs(rest[:, 6:18]).max() < 0.1 * np.ptp(slope)
