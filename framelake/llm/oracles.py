@@ -36,3 +36,24 @@ LINE_DEDUP = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) A
  m AS (SELECT j.doc_id, j.k, j.line, len(s) >= 5 AS judged, len(s) >= 5 AND y.k IS NULL AS gone FROM j LEFT JOIN y ON y.doc_id = j.doc_id AND y.k = j.k),
  q AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (judged) AS n_judged, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id)
  SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE n_lines END AS n_lines, coalesce(n_judged, 0) AS n_judged, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN kept_sha256 END AS kept_sha256 FROM documents d LEFT JOIN q USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit (polynomial and inversions are fixed values)."""
+    size, byte = f"octet_length(encode({text}))", f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k : xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range({size}), lambda i : {byte})), lambda c, b : {bits}))"
+
+
+_FEATURES = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+IMPORTANCE_RESAMPLING = f"""WITH d AS (SELECT doc_id, unnest({_FEATURES}) AS w FROM documents), b AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+ v AS (SELECT w, {_crc32("w")} % 10000 AS k FROM (SELECT w FROM d UNION SELECT w FROM b)),
+ s AS (SELECT k, count(*) AS n FROM d JOIN v USING (w) GROUP BY k), t AS (SELECT k, count(*) AS n FROM b JOIN v USING (w) GROUP BY k),
+ g AS (SELECT v.w, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS gain
+  FROM v LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+ f AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN g USING (w) GROUP BY doc_id),
+ a AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN f USING (doc_id)),
+ c AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM a),
+ r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM c)
+ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r"""

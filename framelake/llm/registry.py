@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, langid, lines, neardup, oracles, quality, sharding, substrings, toxicity
+from . import bpe, decontaminate, html, langid, lines, neardup, oracles, quality, resampling, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_language_id": langid.op9_language_id,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": oracles.LINE_DEDUP, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_minhash_neardup": oracles.MINHASH_NEARDUP}
+    return {
+        "op2_line_dedup": oracles.LINE_DEDUP,
+        "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op5_minhash_neardup": oracles.MINHASH_NEARDUP,
+        "op11_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
+    }
