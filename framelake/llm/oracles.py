@@ -57,3 +57,19 @@ IMPORTANCE_RESAMPLING = f"""WITH d AS (SELECT doc_id, unnest({_FEATURES}) AS w F
  c AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM a),
  r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM c)
  SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r"""
+
+PERIODIC_RUNS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS o, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+ a AS (SELECT doc_id, o, len(o) AS n, h % 10 = 0 AND len(o) > 0 AS tail, h // 10 AS g, (h // 10) % greatest(len(o), 1) AS a FROM w),
+ b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+ l AS (SELECT doc_id, n, CASE WHEN tail THEN list_transform(range(n), lambda i : CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END) ELSE o END AS l FROM b),
+ x AS MATERIALIZED (SELECT doc_id, n, i, md5(array_to_string(l[i + 1:i + 16], ' ')) AS k FROM l, unnest(range(n - 15)) t(i)),
+ e AS (SELECT s.doc_id, s.i, t.i - s.i AS q FROM x s JOIN x t ON s.doc_id = t.doc_id AND s.k = t.k AND s.i < t.i WHERE 3 * (t.i - s.i) <= s.n),
+ c AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+ f AS (SELECT * FROM c WHERE length >= greatest(24, 3 * q)),
+ r AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f s WHERE s.doc_id = f.doc_id AND s.q < f.q AND s.start <= f.start AND s.start + s.length >= f.start + f.length)),
+ m AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q)) AS runs_sha256 FROM r GROUP BY doc_id),
+ t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / q DESC, start, q) = 1),
+ g AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+ k AS (SELECT v.doc_id, sha256(string_agg(word, ' ' ORDER BY v.i)) AS collapsed_sha256 FROM (SELECT doc_id, unnest(l) AS word, unnest(range(n)) AS i FROM l) v ANTI JOIN g ON g.doc_id = v.doc_id AND g.i = v.i GROUP BY v.doc_id)
+ SELECT l.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+ FROM l LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)"""

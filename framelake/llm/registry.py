@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, langid, lines, neardup, oracles, quality, resampling, sharding, substrings, toxicity
+from . import bpe, decontaminate, html, langid, lines, neardup, oracles, periods, quality, resampling, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language_id": langid.op9_language_id,
         "op10_decontamination": decontaminate.op10_decontamination,
         "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_periodic_runs": periods.op12_periodic_runs,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict:
         "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op5_minhash_neardup": oracles.MINHASH_NEARDUP,
         "op11_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
+        "op12_periodic_runs": oracles.PERIODIC_RUNS,
     }
