@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, langid, lines, neardup, oracles, periods, quality, resampling, sharding, substrings, toxicity
+from . import bpe, decontaminate, html, langid, lines, neardup, oracles, periods, quality, resampling, secrets, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_decontamination": decontaminate.op10_decontamination,
         "op11_importance_resampling": resampling.op11_importance_resampling,
         "op12_periodic_runs": periods.op12_periodic_runs,
+        "op13_secret_scans": secrets.op13_secret_scans,
     }
 
 
