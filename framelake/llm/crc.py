@@ -66,6 +66,10 @@ def shifted(x: np.ndarray, length: np.ndarray) -> np.ndarray:
             return out
 
 
+#: What both inversions add to a span of that length.
+_INVERTED = shifted(np.full(PIECE + 1, ONES), np.arange(PIECE + 1)) ^ ONES
+
+
 def joined(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
     """CRCs of strings put together, from those of their halves and the bytes of the second ones."""
     return shifted(first, length) ^ second
@@ -89,12 +93,16 @@ def span_crcs(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
         behind = pieces[span] - 1 - (np.arange(len(span)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         high = end[span] - PIECE * behind
         low = np.maximum(start[span], high - PIECE)
-    edges = np.unique(np.concatenate((low, high)))
+    edges = np.stack((low, high), axis=1).reshape(-1)  # pieces of a span touch, so an edge may come twice
+    edges = edges if whole else edges[np.concatenate(([True], edges[1:] != edges[:-1]))]
     following = np.repeat(edges[1:], np.diff(edges)) - 1
     place = np.arange(edges[0], edges[-1])
     given = _AT[(following - place & PIECE - 1) * 256 + buf[edges[0] : edges[-1]]]
-    raw = np.bitwise_xor.reduceat(given, edges[:-1] - edges[0])[np.searchsorted(edges, low)]
+    raw = np.bitwise_xor.reduceat(given, edges[:-1] - edges[0])  # of spans and of the gaps between them
+    raw = raw[::2] if whole else raw[np.searchsorted(edges, low)]
     if not whole:
         raw = np.bitwise_xor.reduceat(shifted(raw, PIECE * behind), np.cumsum(pieces) - pieces)
+    if whole:
+        return raw ^ _INVERTED[length]
     distinct, back = np.unique(length, return_inverse=True)
     return raw ^ shifted(np.full(len(distinct), ONES), distinct)[back] ^ ONES
