@@ -35,6 +35,13 @@ def colour_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").alias("series_id"), F.col("vec_id").alias("seq"), *place, value(0).alias("b"), value(1).alias("g"), value(2).alias("r"))
 
 
+def array_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8x8 frames in [0, 1], an array row each: series_id, seq, h, w, values (double)."""
+    e = table(spark, sf_dir, "embeddings")
+    unit = F.transform("embedding", lambda v: (v.cast("double") + 1.0) / 2.0)
+    return e.select(F.col("label").cast("bigint").alias("series_id"), F.col("vec_id").alias("seq"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), unit.alias("values"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frame scores: series_id, ts, seq (event_id), v, event_type, props."""
     e = table(spark, sf_dir, "events")
