@@ -87,14 +87,20 @@ class Node:
             out += [f"name:{name}", *[f"stem:{name[:k]}" for k in (4, 6) if len(name) > k]]
         return out
 
-    def place_features(self) -> list[str]:
-        """What the nearest elements tell of the blocks right below."""
-        out = [f"leaf:{self.leaf}"] + [f"inside:{self.leaf}"] * self.inside
+    def leaf_features(self) -> list[str]:
+        return [f"leaf:{self.leaf}"] + [f"inside:{self.leaf}"] * self.inside
+
+    def near_features(self) -> list[str]:
+        out = []
         if self.near is not None:
             out.append(f"near:{self.near.tag}")
             for name in self.near.names:
                 out += [f"nearname:{name}"] + [f"nearstem:{name[:4]}"] * (len(name) > 4)
-        return list(dict.fromkeys(out))
+        return out
+
+    def place_features(self) -> list[str]:
+        """What the nearest elements tell of the blocks right below."""
+        return list(dict.fromkeys(self.leaf_features() + self.near_features()))
 
 
 def leaf_blocks(page: str) -> list[tuple[str, Node | None, int]]:
@@ -218,8 +224,13 @@ class Crf:
         self.weights, self.start, self.steps = weights, start, steps
 
     def chain_scores(self, nodes: list[Node | None]) -> list[float]:
-        """Scores of chain_features for nodes in page order: each element is entered and left once, whatever its depth."""
+        """Scores of chain_features for nodes in page order.
+
+        Each element is entered and left once, whatever its depth, and what the
+        nearest telling element adds is summed once for all blocks below it.
+        """
         weight, path, count, total, out = self.weights, [], Counter(), 0.0, []
+        near: dict[Node | None, float] = {None: 0.0}
         for node in nodes:
             new, x = [], node
             while x is not None and not (x.depth < len(path) and path[x.depth] is x):
@@ -237,7 +248,12 @@ class Crf:
                     count[f] += 1
                     if count[f] == 1:
                         total += weight.get(f, 0.0)
-            out.append(total + sum(weight.get(f, 0.0) for f in (node.place_features() if node is not None else ["leaf:none"])))
+            if node is None:
+                out.append(total + weight.get("leaf:none", 0.0))
+                continue
+            if node.near not in near:
+                near[node.near] = sum(weight.get(f, 0.0) for f in dict.fromkeys(node.near_features()))
+            out.append(total + near[node.near] + sum(weight.get(f, 0.0) for f in node.leaf_features()))
         return out
 
     def emissions(self, blocks: list[tuple[str, Node | None, int]]) -> list[float]:

@@ -537,6 +537,18 @@ def test_extraction(spark, sf):
     assert len(out) == common.table(spark, sf, "pages").count() and all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_many_class_names_cost_no_more_with_many_blocks():
+    crf = html.Crf({"tag:p": 1.0, "near:div": 0.5, "nearname:c7": 0.25, "nearstem:c299": 0.125, "leaf:p": 0.1, "name:c9": 0.3, "inside:p": 0.7}, np.zeros(2), np.zeros((2, 2)))
+    page = f"<article><div class='{' '.join(f'c{k}' for k in range(3000))}'>" + "<p>x</p>" * 20_000 + "</div><p>y</p></article><p>z</p>"
+    begin = time.time()
+    blocks = html.leaf_blocks(page)
+    scores = crf.emissions(blocks)
+    assert time.time() - begin < 2
+    for at in (0, 19_999, 20_000, 20_001):
+        text, node, linked = blocks[at]
+        assert scores[at] == pytest.approx(sum(crf.weights.get(f, 0.0) for f in html.chain_features(node) + html.text_features(text, linked)))
+
+
 @pytest.mark.parametrize("part", ["<div>x", "<b>x<div>y</div>", "<div class=\"a{}\">x", "<li>x<b>", "<i></b>x", "<p><span>x"])
 def test_deep_pages(part):
     """50,000 nested tags take seconds, as do end tags without a start."""
