@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices as mx
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from . import match, scan
 
 
@@ -87,12 +87,12 @@ def spanning_transforms(nodes: DataFrame, edges: DataFrame, series: list[str]) -
     back = there.select(*series, F.col("b").alias("a"), F.col("a").alias("b"), mx.inverse("m").alias("m"), "rank", "lo", "hi")
     known = lambda c: nodes.select(*series, F.col("node").alias(c)).distinct()
     live = there.filter(mx.inverse("m").isNotNull()).unionByName(back.filter("m IS NOT NULL")).filter("a <> b")
-    live = checkpointed(live.join(known("a"), [*series, "a"], "left_semi").join(known("b"), [*series, "b"], "left_semi").withColumn("key", F.struct("rank", "lo", "hi")).select(*one, "m", "key"))
-    tree = checkpointed(known("node").withColumns({"root": F.col("node"), "p": mx.identity()}))
+    live = stored(live.join(known("a"), [*series, "a"], "left_semi").join(known("b"), [*series, "b"], "left_semi").withColumn("key", F.struct("rank", "lo", "hi")).select(*one, "m", "key"))
+    tree = stored(known("node").withColumns({"root": F.col("node"), "p": mx.identity()}))
     while True:
         live = live.groupBy(*one).agg(F.min_by("m", "key").alias("m"), F.min("key").alias("key"))  # parallel edges
         picks = live.groupBy(*series, "a").agg(F.min_by(F.struct("b", "m"), "key").alias("best")).select(*series, F.col("a").alias("root"), F.col("best.b").alias("up"), F.col("best.m").alias("r"))
-        picks = checkpointed(picks)
+        picks = stored(picks)
         if picks.isEmpty():
             return tree
         other = picks.select(*series, F.col("root").alias("up"), F.col("up").alias("up2"), F.col("r").alias("r2"))
@@ -100,21 +100,21 @@ def spanning_transforms(nodes: DataFrame, edges: DataFrame, series: list[str]) -
         mutual = (F.col("up2") == F.col("root")) & (F.col("root") < F.col("up"))
         heads = joined.select(*series, "root", F.when(mutual, F.col("root")).otherwise(F.col("up")).alias("up"), F.when(mutual, mx.identity()).otherwise(F.col("r")).alias("r"))
         while True:
-            heads = checkpointed(heads)
+            heads = stored(heads)
             above = heads.select(*series, F.col("root").alias("up"), F.col("up").alias("up2"), F.col("r").alias("r2"))
-            joined = checkpointed(heads.join(above, [*series, "up"]))
+            joined = stored(heads.join(above, [*series, "up"]))
             heads = joined.select(*series, "root", F.col("up2").alias("up"), mx.product("r2", "r").alias("r"))
             if joined.filter("up <> up2").isEmpty():
                 break
-        heads = checkpointed(heads)
+        heads = stored(heads)
         moved = tree.join(heads, [*series, "root"], "left")
-        tree = checkpointed(
+        tree = stored(
             moved.select(*series, "node", F.coalesce("up", "root").alias("root"), F.when(F.col("up").isNull(), F.col("p")).otherwise(mx.product("r", "p")).alias("p"))
         )
         at = lambda c: heads.select(*series, F.col("root").alias(c), F.col("up").alias(f"{c}_up"), F.col("r").alias(f"{c}_r"))
         live = live.join(at("a"), [*series, "a"]).join(at("b"), [*series, "b"]).filter("a_up <> b_up")
         live = live.withColumn("from", mx.inverse("a_r")).withColumn("m", mx.product("m", "from")).withColumn("m", mx.product("b_r", "m"))
-        live = checkpointed(live.select(*series, F.col("a_up").alias("a"), F.col("b_up").alias("b"), "m", "key"))
+        live = stored(live.select(*series, F.col("a_up").alias("a"), F.col("b_up").alias("b"), "m", "key"))
 
 
 def register(frames: DataFrame, pairs: DataFrame, series: list[str], points: DataFrame | None = None, within: float = 1.5, least: int = 25) -> DataFrame:
@@ -130,15 +130,18 @@ def register(frames: DataFrame, pairs: DataFrame, series: list[str], points: Dat
     Returns series..., frame, m (null without a transform) and state: ``reference``,
     ``direct``, ``bridged``, ``unverified`` (too few points agree), ``apart`` (no
     chain of pairs to the reference), ``unpaired`` (in no pair) or ``no reference``.
-    Repeated frames count once; a null frame or series is left out.
+    Repeated frames count once; a null frame or series is left out.  Pairs of
+    unknown frames, without a score, or with a matrix that can't be inverted don't count.
     """
     key = [*series, "frame"]
     frames = frames.dropna(subset=key).groupBy(*key).agg(F.bool_or(F.coalesce("reference", F.lit(False))).alias("reference"))
     head = frames.filter("reference").groupBy(*series).agg(F.min("frame").alias("head"))
-    edges = pairs.filter("m IS NOT NULL AND score IS NOT NULL").join(head, series, "left")
+    known = lambda c: frames.select(*series, F.col("frame").alias(c))
+    sound = pairs.filter("score IS NOT NULL AND mov <> ref").filter(mx.inverse("m").isNotNull()).join(known("mov"), [*series, "mov"], "left_semi").join(known("ref"), [*series, "ref"], "left_semi")
+    edges = sound.join(head, series, "left")
     apart = F.when((F.col("mov") == F.col("head")) | (F.col("ref") == F.col("head")), 0).otherwise(1)
     edges = edges.select(*series, F.col("mov").alias("a"), F.col("ref").alias("b"), "m", F.struct(apart.alias("apart"), (-F.col("score")).alias("worse")).alias("rank"))
-    edges = checkpointed(edges)
+    edges = stored(edges)
     tree = spanning_transforms(frames.select(*series, F.col("frame").alias("node")), edges, series)
     heads = tree.join(head, series).filter("node = head").select(*series, F.col("root").alias("head_root"), mx.inverse("p").alias("to_head"), "head")
     ends = edges.select(*series, F.col("a").alias("frame"), F.col("b").alias("with")).union(edges.select(*series, "b", "a")).join(head, series, "left")

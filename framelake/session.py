@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch for Python.  One value for texts and frames alike, so the order of calls doesn't matter.
@@ -19,7 +21,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Where that is unset, a session on one machine takes a folder of its own; on a
     cluster that would be a folder no other executor sees, so it is an error there.
     """
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in that folder, read again.
+
+    Unlike a checkpoint it comes with its true size, where the estimates of loops
+    that join their own results would square in every round.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,4 +45,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = "/tmp/checkpoints/framelake"
         context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
