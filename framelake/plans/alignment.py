@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align
+from ..operators import adjust, align, scan
+from ..session import stored
 from ..sources import tables
+from . import neighbourhoods
 from .frames import FRAME, PX, query, rounded
 
 #: The six numbers of an affine matrix, by place in the array of nine.
@@ -43,3 +45,63 @@ def align_sequential(spark, d):
     steps = align.moment_steps(align.frame_moments(px, FRAME), ["series_id"], ["seq"])
     out = cells(align.align_sequential(steps, ["series_id"]))
     return rounded(out.select("series_id", "seq", *CELLS, "steps", "failed"), *CELLS)
+
+
+def _numbered(spark, d):
+    """Frames with their number k in the series, and the number of its middle frame."""
+    e = tables.table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("series_id"), F.col("vec_id").alias("seq"), "embedding")
+    k = stored(scan.positions(e.select(*FRAME), ["series_id"], ["seq"]))
+    middle = k.groupBy("series_id").agg(F.expr("CAST(count(*) DIV 2 AS BIGINT)").alias("middle"))
+    return stored(e.join(k, FRAME).join(middle, "series_id"))
+
+
+def _beside(frames, other: str):
+    """Frames beside those whose number is the column ``other``."""
+    ref = frames.select("series_id", F.col("k").alias(other), F.col("seq").alias("ref"), F.col("embedding").alias("rv"))
+    return frames.filter(F.col("k") != F.col(other)).join(ref, ["series_id", other]).select("series_id", "ref", F.col("seq").alias("mov"), "rv", F.col("embedding").alias("mv"))
+
+
+@query("register_bridged")
+def register_bridged(spark, d):
+    """Every frame's transform to the middle one of its series, direct or over neighbours; the tests hold it against plain spanning trees.
+
+    Direct pairs need 30 points that agree, pairs of neighbours 15.
+    """
+    frames = _numbered(spark, d)
+    beside = frames.withColumn("before", F.col("k") - 1)
+    found = neighbourhoods.similarities(_beside(frames, "middle")).filter("inliers >= 30").union(neighbourhoods.similarities(_beside(beside, "before")).filter("inliers >= 15"))
+    m = F.array("a", "b", "tx", "c", "d", "ty", F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    pairs = stored(found.select("series_id", "mov", "ref", m.alias("m"), F.col("inliers").cast("double").alias("score")))
+    out = align.register(frames.select("series_id", F.col("seq").alias("frame"), (F.col("k") == F.col("middle")).alias("reference")), pairs, ["series_id"])
+    return rounded(cells(out).withColumnRenamed("frame", "seq"), *CELLS)
+
+
+@query("bundle_adjust")
+def bundle_adjust(spark, d):
+    """Rotations of neighbouring frames from their points, with one focal length and lens per series; tested on rigs that are known."""
+    frames = _numbered(spark, d)
+    ids = F.posexplode("embedding").alias("id", "v")
+    point = frames.select("series_id", "k", ids).select("series_id", "k", "id", (F.col("id") * 37 % 101 + F.col("v").cast("double") * 4 - 50).alias("x"), (F.col("id") * 53 % 97 - 48).cast("double").alias("y"))
+    i = point.select("series_id", F.col("k").alias("i"), "id", F.col("x").alias("xi"), F.col("y").alias("yi"))
+    j = point.select("series_id", F.col("k").alias("j"), (F.col("k") - 1).alias("i"), "id", (F.col("x") + 7.5).alias("xj"), F.col("y").alias("yj"))
+    obs = i.join(j, ["series_id", "i", "id"]).withColumns({"ui": F.lit(48.0), "uj": F.lit(48.0)})
+    fitted = adjust.fit(obs, ["series_id"], adjust.bundle(150.0), rounds=8)
+    shared = adjust.summary(fitted, ["series_id"]).select("series_id", F.col("shared")[0].alias("focal"), F.col("shared")[2].alias("b"), "rms")
+    own = adjust.images(fitted, ["series_id"]).select("series_id", F.col("image").alias("k"), *[F.col("own")[n].alias(c) for n, c in enumerate(("rx", "ry", "rz"))])
+    out = own.join(shared, "series_id")
+    return out.select("series_id", "k", *[(F.round(c, 3) + 0.0).alias(c) for c in ("rx", "ry", "rz", "focal", "b", "rms")])
+
+
+@query("photometric_adjust")
+def photometric_adjust(spark, d):
+    """Gains of frames and the falloff of their series, from neighbours that overlap but for three columns; tested on known exposures."""
+    frames = _numbered(spark, d)
+    px = frames.select("series_id", "k", F.posexplode("embedding").alias("at", "v"))
+    px = px.select("series_id", "k", F.expr("CAST(at DIV 8 AS INT)").alias("y"), F.expr("CAST(at % 8 AS INT)").alias("x"), ((F.col("v").cast("double") + 1.0) * 127.5).alias("v"))
+    far = (F.pow((F.col("x") - 4) / 4.0, F.lit(2.0)) + F.pow((F.col("y") - 4) / 4.0, F.lit(2.0))).alias("r")
+    i = px.select("series_id", F.col("k").alias("i"), "y", "x", F.col("v").alias("vi"), far.alias("ri"))
+    j = px.select("series_id", F.col("k").alias("j"), (F.col("k") - 1).alias("i"), "y", (F.col("x") + 3).alias("x"), F.col("v").alias("vj"), far.alias("rj"))
+    fitted = adjust.fit(i.join(j, ["series_id", "i", "y", "x"]), ["series_id"], adjust.photometric(), rounds=8)
+    shared = adjust.summary(fitted, ["series_id"]).select("series_id", F.col("shared")[0].alias("b"), F.col("shared")[1].alias("c"))
+    own = adjust.images(fitted, ["series_id"]).select("series_id", F.col("image").alias("k"), F.exp(F.col("own")[0]).alias("gain")).join(shared, "series_id")
+    return own.select("series_id", "k", *[(F.round(c, 3) + 0.0).alias(c) for c in ("gain", "b", "c")])

@@ -143,15 +143,14 @@ def crop_to_overlap(spark, d):
     return valid.groupBy("series_id").applyInPandas(run, "series_id bigint, y bigint, x bigint, h bigint, w bigint")
 
 
-@query("robust_registration")
-def robust_registration(spark, d):
-    """Similarity from each frame's points, moved by 7.5, to those of the frame before it in its series: triangle votes, one-to-one pairs, sample consensus."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    e = tables.table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("series_id"), F.lag("vec_id").over(order).alias("ref"), F.col("vec_id").alias("mov"), F.lag("embedding").over(order).alias("rv"), F.col("embedding").alias("mv"))
+def frame_points(values, shift: float = 0.0) -> np.ndarray:
+    """A frame's points: its pixels' values as coordinates."""
+    k = np.arange(len(values))
+    return np.stack((k * 37 % 101 + np.asarray(values, dtype=float) * 4 + shift, k * 53 % 97 - shift), axis=1)
+
 
-    def points(values, shift):
-        k = np.arange(len(values))
-        return np.stack((k * 37 % 101 + np.asarray(values, dtype=float) * 4 + shift, k * 53 % 97 - shift), axis=1)
+def similarities(pairs):
+    """Similarity from each mov's points, moved by 7.5, to those of ref (series_id, ref, mov, rv, mv): triangle votes, one-to-one pairs, sample consensus."""
 
     def run(batches):
         import pandas as pd
@@ -159,12 +158,20 @@ def robust_registration(spark, d):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                ref, mov = points(r.rv, 0.0), points(r.mv, 7.5)
+                ref, mov = frame_points(r.rv), frame_points(r.mv, 7.5)
                 i, j = kernels.match_triangles(ref, mov)
                 m, good = kernels.ransac(mov[j], ref[i], 1.0)
                 rows.append((r.series_id, r.ref, r.mov, *([np.nan] * 6 if m is None else m.ravel().round(6).tolist()), int(good.sum())))
             yield pd.DataFrame(rows, columns=["series_id", "ref", "mov", "a", "b", "tx", "c", "d", "ty", "inliers"])
 
     # A pair costs much more than its few bytes tell: dealt anew, so that these are not joined into one task.
-    pairs = e.filter("ref IS NOT NULL").repartition(4 * spark.sparkContext.defaultParallelism, "series_id", "mov")
+    pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "series_id", "ref", "mov")
     return pairs.mapInPandas(run, "series_id bigint, ref bigint, mov bigint, a double, b double, tx double, c double, d double, ty double, inliers bigint")
+
+
+@query("robust_registration")
+def robust_registration(spark, d):
+    """Each frame to the one before it in its series."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    e = tables.table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("series_id"), F.lag("vec_id").over(order).alias("ref"), F.col("vec_id").alias("mov"), F.lag("embedding").over(order).alias("rv"), F.col("embedding").alias("mv"))
+    return similarities(e.filter("ref IS NOT NULL"))
