@@ -31,7 +31,7 @@ def focus_average(df: DataFrame, series: list[str], frame: str, radius: int = 4,
 
 
 def voted_winner(df: DataFrame, series: list[str], frame: str, window: int = 0, vote: int = 2, value: str = "v") -> DataFrame:
-    """Per pixel the median of the sharpest frames in the square of radius ``vote`` around it (edges repeated), as column ``frame``.
+    """Per pixel the median of the sharpest frames in the square of radius ``vote`` around it (edges repeated; places without a pixel don't vote), as column ``frame``.
 
     Sharpness is the focus measure, averaged over a square of radius ``window``.  One
     image per series is voted on; an array of (2 vote + 1) ** 2 frame numbers is a row's bound.
@@ -47,7 +47,7 @@ def voted_winner(df: DataFrame, series: list[str], frame: str, window: int = 0,
     at = at.withColumns({"__sy": inside("y", "__dy", "__h"), "__sx": inside("x", "__dx", "__v")}).select(*series, "y", "x", "__sy", "__sx")
     source = best.select(*series, F.col("y").alias("__sy"), F.col("x").alias("__sx"), "__w")
     votes = at.join(source, [*series, "__sy", "__sx"]).groupBy(*series, "y", "x").agg(F.array_sort(F.collect_list("__w")).alias("__all"))
-    return votes.select(*series, "y", "x", F.element_at("__all", (2 * vote + 1) ** 2 // 2 + 1).alias(frame))
+    return votes.select(*series, "y", "x", F.expr("__all[size(__all) DIV 2]").alias(frame))  # of an even number the later
 
 
 def reassign(df: DataFrame, series: list[str], frame: str, window: int = 0, vote: int = 2, value: str = "v") -> DataFrame:
@@ -220,16 +220,19 @@ def lucky_stack(df: DataFrame, series: list[str], frame: str, share: float = 0.3
     return df.join(kept, keys).groupBy(*series, "y", "x").agg(F.avg(value).alias("value"))
 
 
-def lucky_map(df: DataFrame, series: list[str], frame: str, step: int = 2, half: int = 2, share: float = 0.3, size: int = 8, value: str = "v") -> DataFrame:
+def lucky_map(df: DataFrame, series: list[str], frame: str, step: int = 2, half: int = 2, share: float = 0.3, value: str = "v") -> DataFrame:
     """Per point of a grid the mean of the patches (2 half wide) of its best frames by local structure, blended by Hann weights.
 
     Pixels are copied to the few patches that cover them; a patch's frames are ranked by a
-    window over grades, of which there is one per patch and frame.
+    window over grades, of which there is one per patch and frame.  The grid spans the
+    series' largest frame; its last row and column of patches end at the edge.
     """
     keys = [*series, "py", "px", frame]
-    spots = F.array(*[F.lit(k) for k in range(half, size - half + 1, step)])
+    last = lambda c: F.greatest(F.max(c) + 1 - half, F.lit(half)).cast("int")
+    ends = df.groupBy(*series).agg(last("y").alias("__ly"), last("x").alias("__lx"))
+    spots = lambda end: F.array_union(F.sequence(F.lit(half), F.col(end), F.lit(step)), F.array(end))
     covers = lambda c, p: (F.col(c) >= F.col(p) - half) & (F.col(c) < F.col(p) + half)
-    cells = df.withColumn("py", F.explode(spots)).filter(covers("y", "py")).withColumn("px", F.explode(spots)).filter(covers("x", "px"))
+    cells = df.join(ends, series).withColumn("py", F.explode(spots("__ly"))).filter(covers("y", "py")).withColumn("px", F.explode(spots("__lx"))).filter(covers("x", "px")).drop("__ly", "__lx")
     across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
     steep = cells.withColumns({"__gx": F.abs(F.col(value) - F.lag(value).over(across)), "__gy": F.abs(F.col(value) - F.lag(value).over(down))})
     grade = steep.groupBy(*keys).agg(F.least(F.avg("__gx"), F.avg("__gy")).alias("__q"))

@@ -58,10 +58,19 @@ def box_mean(df: DataFrame, frame: list[str], value: str = "v", radius: int = 1)
     return df.withColumn("box", F.sum("__s").over(along_x) / F.sum("__n").over(along_x)).drop("__s", "__n")
 
 
-def tile_sharpness(df: DataFrame, frame: list[str], height: int = 8, width: int = 8, grid: int = 4, value: str = "v") -> DataFrame:
-    """Population variance of the Laplacian per tile of a grid x grid raster; remainder pixels are left out."""
-    th, tw = max(1, height // grid), max(1, width // grid)
-    lap = laplacian(df, frame, value).filter((F.col("y") < th * grid) & (F.col("x") < tw * grid))
+def tile_sharpness(df: DataFrame, frame: list[str], height: int | None = None, width: int | None = None, grid: int = 4, value: str = "v") -> DataFrame:
+    """Population variance of the Laplacian per tile of a grid x grid raster; remainder pixels are left out.
+
+    Without ``height`` and ``width``, each frame's own size counts.
+    """
+    lap = laplacian(df, frame, value)
+    if height is None or width is None:
+        size = df.groupBy(*frame).agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
+        lap = lap.join(size, frame)
+        th, tw = F.greatest(F.lit(1), F.expr(f"__h DIV {grid}")), F.greatest(F.lit(1), F.expr(f"__w DIV {grid}"))
+    else:
+        th, tw = F.lit(max(1, height // grid)), F.lit(max(1, width // grid))
+    lap = lap.filter((F.col("y") < th * grid) & (F.col("x") < tw * grid))
     tile = (F.floor(F.col("y") / th) * grid + F.floor(F.col("x") / tw)).cast("int")
     return lap.groupBy(*frame, tile.alias("tile")).agg(F.var_pop("lap").alias("s"))
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from framelake.operators import fusion, kernels
+from framelake.operators import fusion, kernels, score
 
 
 def pixels(spark, frames):
@@ -151,6 +151,30 @@ def test_lucky_results_come_from_the_sharp_frames(spark):
     assert np.allclose(image(fusion.lucky_map(pixels(spark, frames), ["series_id"], "seq", share=0.3)), sharp)
 
 
+@pytest.mark.parametrize("shape", [(16, 16), (15, 21), (5, 4)])
+def test_lucky_map_covers_the_frame(spark, shape):
+    sharp = np.random.default_rng(13).random(shape)
+    frames = [kernels.blur(sharp, 1.5) for _ in range(7)] + [sharp] * 3
+    rows = fusion.lucky_map(pixels(spark, frames), ["series_id"], "seq", share=0.3).collect()
+    assert len(rows) == shape[0] * shape[1]
+    assert all(abs(r["value"] - sharp[r["y"], r["x"]]) < 1e-9 for r in rows)
+
+
+def test_tiles_follow_the_frame(spark):
+    f = np.random.default_rng(15).random((16, 24))
+    got = {r["tile"]: r["s"] for r in score.tile_sharpness(pixels(spark, [f]), ["series_id", "seq"]).collect()}
+    p = np.pad(f, 1, mode="reflect")
+    lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * f
+    inner = {4 * a + b: lap[4 * a : 4 * a + 4, 6 * b : 6 * b + 6].var() for a in range(4) for b in range(4)}
+    assert got.keys() == inner.keys() and all(abs(got[t] - inner[t]) < 1e-9 for t in (5, 6, 9, 10))
+
+
+def test_votes_of_a_frame_with_gaps(spark):
+    px = pixels(spark, [np.random.default_rng(16).random((6, 6)) for _ in range(3)]).filter("NOT (y = 2 AND x > 0)")
+    rows = fusion.voted_winner(px, ["series_id"], "seq").collect()
+    assert len(rows) == 31 and all(r["seq"] is not None for r in rows)
+
+
 def test_focus_average_prefers_the_sharp_frame(spark):
     sharp = np.random.default_rng(12).random((8, 8))
     flat = np.full((8, 8), 0.5)
