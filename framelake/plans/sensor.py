@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import radiance, refine, rows, sensor, trails
+from ..operators import align, radiance, refine, rows, sensor, stars, trails
 from ..sources import tables
 from . import kernel_sql as k
 from .alignment import CELLS, cells
@@ -112,3 +112,32 @@ def align_pairs(spark, d):
     """Every frame laid onto the first one of its series."""
     out = refine.align_pairs(_to_first(spark, d), FRAME, "translation")
     return rounded(rows.pixels(out, [*FRAME, "cc"], ["value"]), "cc", "value")
+
+
+@query("star_table")
+def star_table(spark, d):
+    """Every frame's stars above its background, with widths and elongations; tested on skies that are known."""
+    found = stars.star_table(tables.array_frames(spark, d), FRAME, 1.5, 2)
+    return rounded(found, "x", "y", "flux", "peak", "fwhm", "elongation")
+
+
+@query("point_shape")
+def point_shape(spark, d):
+    """Mean shape of the stars of each series, 3 x 3."""
+    return rounded(stars.point_shape(tables.array_frames(spark, d), ["series_id"], 3), "value")
+
+
+@query("remove_stars")
+def remove_stars(spark, d):
+    """Every frame with its bright blobs filled from around them."""
+    out = stars.remove_stars(tables.array_frames(spark, d), FRAME, 2.0, 12, 0)
+    return rounded(rows.pixels(out, FRAME, ["value"]), "value")
+
+
+@query("point_stars")
+def point_stars(spark, d):
+    """The upper half of each series stacked along its chained moves, the lower half as it stands."""
+    steps = align.moment_steps(align.frame_moments(tables.pixels(spark, d).withColumn("v", (F.col("v") + 1.0) / 2.0), FRAME), ["series_id"], ["seq"])
+    moves = align.align_sequential(steps, ["series_id"])
+    out = stars.point_stars(tables.array_frames(spark, d), ["series_id"], "seq", moves.withColumn("m", F.when(F.col("failed") == 0, F.col("m"))), 4.0, 2.0)
+    return rounded(out, "value")
