@@ -24,8 +24,8 @@ def list_images(spark: SparkSession, folder: str, suffixes: list[str] | None = N
     return files.withColumn("seq", F.row_number().over(Window.partitionBy("series_id").orderBy("path")) - 1)
 
 
-def decode_fits(content: bytes) -> tuple[dict[str, str], np.ndarray]:
-    """Header cards and the array (first header and data unit); 16-bit whole numbers carry BZERO and BSCALE."""
+def _fits_cards(content: bytes) -> tuple[dict[str, str], int]:
+    """Cards of the first header, and where its data begin."""
     header, at, done = {}, 0, False
     while not done and at < len(content):
         for k in range(at, at + 2880, 80):
@@ -38,6 +38,16 @@ def decode_fits(content: bytes) -> tuple[dict[str, str], np.ndarray]:
                 value = value.split("'")[1].strip() if value.lstrip().startswith("'") else value.split("/")[0].strip()
                 header[card[:8].strip()] = value
         at += 2880
+    return header, at
+
+
+def fits_header(content: bytes) -> dict[str, str]:
+    return _fits_cards(content)[0]
+
+
+def decode_fits(content: bytes) -> tuple[dict[str, str], np.ndarray]:
+    """Header cards and the array (first header and data unit); 16-bit whole numbers carry BZERO and BSCALE."""
+    header, at = _fits_cards(content)
     kinds = {"8": ">u1", "16": ">i2", "32": ">i4", "-32": ">f4", "-64": ">f8"}
     shape = [int(header[f"NAXIS{k}"]) for k in range(int(header.get("NAXIS", "0")), 0, -1)]
     kind = np.dtype(kinds[header["BITPIX"]])
@@ -169,3 +179,26 @@ def write_fits(frames: DataFrame, folder: str) -> None:
             yield pd.DataFrame({"name": batch["name"], "content": content})
 
     frames.select("name", "h", "w", "px").mapInPandas(run, "name string, content binary").write.mode("overwrite").parquet(folder)
+
+
+def read_wcs(spark: SparkSession, folder: str) -> DataFrame:
+    """path, h, w and the projection (functions.sky.CARDS) of the FITS files that have one; headers are read by executors."""
+    from ..functions import sky
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    files = files.filter(meta.suffix(F.col("path")).isin([*meta.FITS_SUFFIXES]))
+    bounded_batches(spark)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                header = fits_header(content)
+                wcs = sky.wcs_of(header)
+                if wcs:
+                    rows.append((path, int(header.get("NAXIS2", 0)), int(header.get("NAXIS1", 0)), *(wcs[c] for c in sky.CARDS)))
+            yield pd.DataFrame(rows, columns=["path", "h", "w", *sky.CARDS])
+
+    return files.mapInPandas(run, "path string, h int, w int, " + ", ".join(f"{c} double" for c in sky.CARDS))
