@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta
 from ..session import bounded_batches
+from . import tiff
 
 FRAME_SCHEMA = "path string, h int, w int, nch int, maxval double, px array<double>"
 #: Long side in pixels, sharpening in percent, bits: fixed values of the export presets.
@@ -98,7 +99,7 @@ def decode_ser(content: bytes) -> np.ndarray:
 FITS_RANGE = {"8": 255.0, "16": 65535.0, "32": 4294967295.0}
 
 
-def _decoded(path: str, content: bytes, max_side: int) -> list[tuple]:
+def decoded(path: str, content: bytes, max_side: int) -> list[tuple]:
     """Rows of a file's frames.  The range comes from the header, so all frames of a series have the same."""
     name = path.lower()
     try:
@@ -110,6 +111,11 @@ def _decoded(path: str, content: bytes, max_side: int) -> list[tuple]:
             data = decode_ser(content)
             top = 255.0 if struct.unpack_from("<i", content, 34)[0] <= 8 else 65535.0
             frames = [(f"{path}#{k:06d}", x[..., None]) for k, x in enumerate(data)]
+        elif name.endswith((".tif", ".tiff")):
+            pages = tiff.decode(content)
+            top = float(np.iinfo(pages[0].dtype).max)
+            pages = [p[..., ::-1] if p.shape[2] == 3 else p for p in pages]  # b, g, r like other sources
+            frames = [(path if len(pages) == 1 else f"{path}#{k:06d}", p.astype(np.float64)) for k, p in enumerate(pages)]
         else:
             top, data = decode_netpbm(content)
             frames = [(path, data)]
@@ -125,20 +131,37 @@ def _decoded(path: str, content: bytes, max_side: int) -> list[tuple]:
     return out
 
 
+_DECODED = [*meta.FITS_SUFFIXES, ".tif", ".tiff", ".pgm", ".ppm", ".ser"]
+
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """path and length of the files that ``read_frames`` leaves out although it knows their kind."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+    bounded_batches(spark)
+
+    def run(batches):
+        for batch in batches:
+            bad = [not decoded(p, c, 0) for p, c in zip(batch["path"], batch["content"])]
+            yield batch.loc[bad, ["path", "length"]]
+
+    return files.filter(meta.suffix(F.col("path")).isin(_DECODED)).mapInPandas(run, "path string, length bigint")
+
+
 def read_frames(spark: SparkSession, folder: str, max_side: int = 0) -> DataFrame:
-    """Decoded FITS, PGM and PPM files and raw .ser videos, one row per frame; at most ``max_side`` pixels per side by whole block means.
+    """Decoded FITS, TIFF, PGM and PPM files and raw .ser videos, one row per frame; at most ``max_side`` pixels per side by whole block means.
 
-    Files are read and decoded by executors; unreadable ones are left out.
+    Files are read and decoded by executors; unreadable ones are left out, and
+    ``unreadable`` lists them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    files = files.filter(meta.suffix(F.col("path")).isin([*meta.FITS_SUFFIXES, ".pgm", ".ppm", ".ser"]))
+    files = files.filter(meta.suffix(F.col("path")).isin(_DECODED))
     bounded_batches(spark)
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [x for p, c in zip(batch["path"], batch["content"]) for x in _decoded(p, c, max_side)]
+            rows = [x for p, c in zip(batch["path"], batch["content"]) for x in decoded(p, c, max_side)]
             yield pd.DataFrame(rows, columns=["path", "h", "w", "nch", "maxval", "px"])
 
     return files.mapInPandas(run, FRAME_SCHEMA)
