@@ -183,6 +183,21 @@ def remove_stars(frames: DataFrame, keep: list[str], factor: float = 5.0, most_a
     return rows.row_map(frames, [*dict.fromkeys([*keep, "h", "w"])], {"values": "array<double>", "mask": "array<double>"}, kernel)
 
 
+def moved_frames(frames: DataFrame, series: list[str], frame: str, moves: DataFrame) -> DataFrame:
+    """series..., frame, h, w, moved: each frame (series..., frame, h, w, values) laid onto its reference by ``moves`` (series..., frame, m).
+
+    Bilinear; not a number where the frame has nothing.  Frames without a move, or
+    without values, are left out.
+    """
+    both = frames.join(moves.select(*series, frame, mx.inverse("m").alias("__back")), [*series, frame], "left").filter("__back IS NOT NULL AND values IS NOT NULL")
+
+    def kernel(row: dict) -> dict:
+        x, m = row["values"], np.array(row["__back"]).reshape(3, 3)[:2]
+        return {"moved": np.where(kernels.affine(np.ones(x.shape), m) > 0.999, kernels.affine(x, m), np.nan)}
+
+    return rows.row_map(both, [*series, frame, "h", "w", "__back"], {"moved": "array<double>"}, kernel).drop("__back")
+
+
 def point_stars(frames: DataFrame, series: list[str], frame: str, moves: DataFrame, horizon: float | None = None, feather: float = 8.0) -> DataFrame:
     """series..., y, x, value: stars as points above a ground that stands still.
 
@@ -192,18 +207,8 @@ def point_stars(frames: DataFrame, series: list[str], frame: str, moves: DataFra
     of all.  They meet at row ``horizon`` over ``feather`` rows; without one, all is sky.
     Places that no moved frame covers are taken from the ground.
     """
-    both = frames.join(moves.select(*series, frame, mx.inverse("m").alias("__back")), [*series, frame], "left")
-
-    def kernel(row: dict) -> dict:
-        x, back = row["values"], row["__back"]
-        if x is None or back is None:
-            return {"sky": None}
-        m = np.array(back).reshape(3, 3)[:2]
-        cover = kernels.affine(np.ones(x.shape), m)
-        return {"sky": np.where(cover > 0.999, kernels.affine(x, m), np.nan)}
-
-    moved = rows.row_map(both, [*series, frame, "h", "w", "__back"], {"sky": "array<double>"}, kernel).drop("__back").filter("sky IS NOT NULL")
-    sky = rows.pixels(moved, series, ["sky"], "sky").filter("NOT isnan(sky)").groupBy(*series, "y", "x").agg(F.avg("sky").alias("sky"))
+    moved = moved_frames(frames, series, frame, moves)
+    sky = rows.pixels(moved, series, ["sky"], "moved").filter("NOT isnan(sky)").groupBy(*series, "y", "x").agg(F.avg("sky").alias("sky"))
     ground = rows.pixels(frames.filter("values IS NOT NULL"), series, ["ground"]).groupBy(*series, "y", "x").agg(F.avg("ground").alias("ground"))
     share = F.lit(1.0) if horizon is None else F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + (F.lit(float(horizon)) - F.col("y")) / feather))
     mixed = F.col("sky") * share + F.col("ground") * (1.0 - share)
