@@ -158,12 +158,13 @@ def tree_merge(stack: np.ndarray, pair: Callable[[np.ndarray, np.ndarray], np.nd
     return level[0]
 
 
-def richardson_lucy(x: np.ndarray, sigma: float = 1.0, rounds: int = 10) -> np.ndarray:
+def richardson_lucy(x: np.ndarray, sigma: float = 1.0, rounds: int = 10, top: float | None = 1.0) -> np.ndarray:
+    """Deconvolution by a Gaussian; the result ends at ``top``, if there is one."""
     x = np.clip(x, 1e-6, None)
     out = x.copy()
     for _ in range(rounds):
         out = out * blur(x / np.maximum(blur(out, sigma), 1e-6), sigma)
-    return np.clip(out, 0, 1)
+    return np.clip(out, 0, top)
 
 
 def bilateral(x: np.ndarray, radius: int = 2, space: float = 1.5, tone: float = 0.1) -> np.ndarray:
