@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import matrices as mx
 from ..session import bounded_batches, stored
-from . import align, combine, fusion, kernels, rows, scan, score, select, stars, trails
+from . import align, combine, fusion, kernels, refine, rows, scan, score, select, stars, trails
 
 #: Stars of a frame that take part in its registration.
 MOST_STARS = 60
@@ -160,3 +161,75 @@ def lucky(px: DataFrame, series: list[str], frame: str, share: float = 0.3, loca
     """
     best = fusion.lucky_map(px, series, frame, step, half, share, value=value) if local else fusion.lucky_stack(px, series, frame, share, value=value)
     return kernels.frame_map(best, series, lambda x: kernels.wavelet_sharpen(x, gains), "value") if gains else best
+
+
+# --- alignment -----------------------------------------------------------------------------------
+
+
+def subject_centre(f: np.ndarray, least_area: int = 2000, open_: int = 3) -> tuple[float, float] | None:
+    """(x, y) of the largest area that is more colourful than the background and not dark; None without one.
+
+    Colour holds still while focus runs through a subject; sharpness would not.
+    """
+    top = f.max(axis=2)
+    colourful = (top - f.min(axis=2)) / np.maximum(top, 1e-6)
+    ground = np.median(colourful)
+    spread = np.median(np.abs(colourful - ground)) * 1.4826
+    mask = (colourful > ground + max(0.1, 3 * spread)) & (top > 40 / 255)
+    side = (2 * open_ + 1,) * 2
+    window = lambda m, v: np.lib.stride_tricks.sliding_window_view(np.pad(m, open_, constant_values=v), side)
+    label = kernels.components(window(window(mask, False).all(axis=(2, 3)), False).any(axis=(2, 3)))
+    if not label.any():
+        return None
+    sizes = np.bincount(label[label > 0])
+    if sizes.max() < least_area:
+        return None
+    yy, xx = np.nonzero(label == sizes.argmax())
+    return float(xx.mean()), float(yy.mean())
+
+
+def align_on_subject(frames: DataFrame, series: list[str], frame: str, most_shift: float = 0.25, least_area: int = 2000, open_: int = 3) -> DataFrame:
+    """series..., frame, m, state of colour frames (h, w, values of b, g, r): the shift that lays each subject on that of the middle frame.
+
+    state: reference, aligned, no subject, too far (more than ``most_shift`` of the long
+    side), or no reference subject (then no frame of the series has a move).
+    """
+    key = [*series, frame]
+
+    def kernel(row: dict) -> dict:
+        found = None if row["values"] is None else subject_centre(row["values"], least_area, open_)
+        return {"cx": found[0] if found else None, "cy": found[1] if found else None}
+
+    centres = stored(rows.row_map(frames, [*key, "h", "w"], {"cx": "double", "cy": "double"}, kernel))
+    placed = numbered(frames, series, frame).join(centres, key)
+    ref = placed.filter("k = middle").select(*series, F.col("cx").alias("rx"), F.col("cy").alias("ry"))
+    both = placed.join(ref, series)
+    far = F.hypot(F.col("rx") - F.col("cx"), F.col("ry") - F.col("cy")) > most_shift * F.greatest("h", "w")
+    state = F.when(F.col("rx").isNull(), "no reference subject").when(F.col("k") == F.col("middle"), "reference").when(F.col("cx").isNull(), "no subject").when(far, "too far").otherwise("aligned")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    m = F.array(one, zero, F.col("rx") - F.col("cx"), zero, one, F.col("ry") - F.col("cy"), zero, zero, one)
+    both = both.withColumn("state", state)
+    return both.select(*key, F.when(F.col("state").isin("reference", "aligned"), m).alias("m"), "state")
+
+
+def align_images(frames: DataFrame, series: list[str], frame: str, mode: str = "direct", motion: str = "euclidean", least: float = 0.3) -> DataFrame:
+    """series..., frame, m, cc: grey frames (h, w, values) laid on the middle one of their series, by intensities.
+
+    ``direct`` compares each with the middle one; ``sequential`` with its neighbour
+    towards it, and chains the moves: neighbours of a focus series look alike where its
+    ends do not.  A pair whose coefficient is below ``least`` counts as unmoved in a
+    chain, and gives no move otherwise.
+    """
+    if mode not in ("direct", "sequential"):
+        raise ValueError(f"mode is direct or sequential, not {mode!r}")
+    key = [*series, frame]
+    all_ = stored(frames.select(*key, "h", "w", "values").join(numbered(frames, series, frame), key))
+    to = F.col("middle") if mode == "direct" else F.col("k") - 1
+    ref = all_.select(*series, F.col("k").alias("__to"), F.col("values").alias("ref"))
+    pairs = all_.withColumn("__to", to).withColumnRenamed("values", "mov").join(ref, [*series, "__to"])
+    found = stored(refine.refine(pairs, [*key, "k"], motion).withColumn("m", mx.inverse("m")))  # from a frame's places to the other's
+    moves = found.withColumn("m", F.when(F.col("cc") >= least, F.col("m")))
+    if mode == "direct":
+        return moves.select(*key, "m", "cc")
+    chain = all_.select(*key, "k").join(moves.select(*key, F.col("m").alias("back"), "cc"), key, "left")
+    return align.align_sequential(chain, series).select(*key, "m", "cc")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import alignment, develop, frames, fusion, neighbourhoods, records, runs, sensor, sky, tones  # noqa: F401  importing them registers their queries
+from .plans import alignment, develop, frames, fusion, neighbourhoods, records, runs, sensor, sky, tone, tones  # noqa: F401  importing them registers their queries
 
 
 def queries() -> dict:
