@@ -35,11 +35,11 @@ def test_bands_add_up_and_noise_goes():
     assert np.allclose(tone.denoised(np.clip(noisy, 0, 1), luma=0), np.clip(noisy, 0, 1))
     strong = tone.denoised(noisy, iso=3200)
     assert np.abs(np.diff(strong)).mean() < np.abs(np.diff(tone.denoised(noisy))).mean()
-    f = scene()
+    f = scene(90, 120, sigma=12.0)
     specks = np.clip(f + np.random.default_rng(4).normal(0, 0.03, f.shape), 0, 1)
-    calm = tone.to_lab(tone.denoised(specks, luma=0.0, chroma=3.0))
+    calm = tone.to_lab(tone.denoised(specks, luma=0.0, chroma=2.0))
     before, truth = tone.to_lab(specks), tone.to_lab(f)
-    assert np.abs(calm[..., 1:] - truth[..., 1:]).mean() < 0.8 * np.abs(before[..., 1:] - truth[..., 1:]).mean()
+    assert np.abs(calm[..., 1:] - truth[..., 1:]).mean() < 0.6 * np.abs(before[..., 1:] - truth[..., 1:]).mean()
     assert np.abs(calm[..., 0] - before[..., 0]).mean() < 0.01
 
 
