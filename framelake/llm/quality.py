@@ -207,7 +207,9 @@ def judge(docs: DataFrame, references: References, max_char: float = MAX_CHAR_DI
 
     A null or empty text has no words: every count is 0 and base_failed is true.
     Without references only the base rules hold.  char_distance and word_distance
-    are null where the document is too short to be judged.  Rows are independent.
+    are null where the document is too short to be judged.  Rows are independent, so
+    null or repeated ids and repeated rows change nothing; an empty table stays empty.
+    A long text is measured whole, in memory of its size.  Other columns are not read.
     """
 
     def run(batches):

@@ -44,7 +44,9 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     and sorted first.  Repeated rows are rows like any others: each gets a slot.
     Slots are gapless from 0 within a shard, in order of (part, doc_id).  An
     empty table gives an empty result.  A group larger than a shard's share
-    stays whole, as it must: that shard is then larger than the others.
+    stays whole, as it must: that shard is then larger than the others.  Groups of
+    one size are placed in the order of their texts' MD5.  Only sizes and digests of
+    texts move, so a long text costs no more than its digest; other columns are not read.
     """
     spark = docs.sparkSession
     text = common.null_safe_text().cast("binary")

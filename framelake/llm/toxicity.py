@@ -199,7 +199,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     A null or empty text has no features: its score is the base rate's.  Rows are
     independent; an empty table stays empty.  Without labels, or with one kind only,
-    the score is the share of toxic labels, or 0.
+    the score is the share of toxic labels, or 0.  A long text is scored whole, in
+    memory of its size.  Null or repeated ids and further columns change nothing.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
