@@ -1,4 +1,11 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, BPE."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, BPE.
+
+Stages but the last return the columns of their input, whatever their names; only
+text and n_chars change.  A null doc_id is kept like any other row: lines and near-duplicates
+of it are not compared.  Repeated rows and rows that share an id are one document for
+line dedup and near-dedup.  Texts are worked on whole.  An empty table passes through
+all stages and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +21,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language."""
+    """Documents in a learned language; null texts and texts without a letter go.  Languages are learned from this table's own rows, ties go to the first by name."""
     return langid.keep_known(docs)
 
 
@@ -30,17 +37,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, that with the smallest doc_id; documents without a word are in no group."""
     return neardup.keep_first(docs, SHINGLE_WORDS, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; with an empty benchmark, all."""
     return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, and digests of the ids and of what they decode to, for every row; a null text has no tokens."""
     out = bpe.encode_decode(docs)
     return out.selectExpr(
         "doc_id", "CAST(octet_length(ids) / 4 AS BIGINT) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256"
