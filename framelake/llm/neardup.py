@@ -20,7 +20,10 @@ Steps
      with their full sets, again in cells: all likely pairs across components are
      tested there, and only links that join two components are given out.
 So every likely pair that shares a bucket was either tested or lies in one component
-already, and what is moved grows with members, never with pairs.
+already.  What steps 1 to 3 move grows with members.  Steps 4 and 5 copy a member to
+one cell for each CELL members of its open bucket (or each CELL_SHINGLES shingles of its
+open tree), so a bucket of n members that stays in several components moves n**2 / CELL
+rows; a bucket whose star holds it together, as groups of copies do, moves none.
 
 Chance of missing a pair at a similarity of exactly 0.8: (1 - 0.8**ROWS)**BANDS, 1e-7.
 """

@@ -13,6 +13,8 @@ A window is ``width`` consecutive words.  Three steps decide all windows:
    cells a key and row).  The sum never is below a key's true count.  A window has
    two keys, the least hash among the shingles (a third of a window long) of either
    half of it: equal windows share both, and neighbouring windows mostly do, too.
+   So a window's count is bounded from above by those of its keys, which are what the
+   sketch counts; it is not estimated itself.
 3. Exact grouping, by 128-bit hashes, of windows whose keys both are estimated at two
    documents or more.
 

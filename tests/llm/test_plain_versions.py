@@ -23,11 +23,11 @@ def clashing(spark, rows):
 # --- op7 ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shards", [10, 40])
+@pytest.mark.parametrize("shards", [20, 40])
 def test_shards_equal_a_plain_heap(spark, shards):
     """With few bytes every group of equal texts is an item of its own."""
     rng = np.random.default_rng(shards)
-    texts = ["", None, *("x" * int(n) for n in rng.integers(1, 900, 30)), *(f"{k} é" for k in range(30))]
+    texts = ["", None, *("x" * int(n) for n in rng.integers(1, 500, 30)), *(f"{k} é" for k in range(30))]
     rows = [(int(k), texts[int(t)], "en") for k, t in enumerate(rng.integers(0, len(texts), 150))] + [(5, "x", "en"), (None, "x", "en")]
     size = defaultdict(int)
     for _, t, _ in rows:
