@@ -198,6 +198,66 @@ def moved_frames(frames: DataFrame, series: list[str], frame: str, moves: DataFr
     return rows.row_map(both, [*series, frame, "h", "w", "__back"], {"moved": "array<double>"}, kernel).drop("__back")
 
 
+def remapped(x: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+    """Values at places (sx, sy), bilinear; not a number outside."""
+    inside = (sx >= 0) & (sy >= 0) & (sx <= x.shape[1] - 1) & (sy <= x.shape[0] - 1)
+    ix, iy = np.clip(np.floor(sx).astype(int), 0, max(0, x.shape[1] - 2)), np.clip(np.floor(sy).astype(int), 0, max(0, x.shape[0] - 2))
+    fx, fy = sx - ix, sy - iy
+    jx, jy = np.minimum(ix + 1, x.shape[1] - 1), np.minimum(iy + 1, x.shape[0] - 1)
+    above, below = x[iy, ix] * (1 - fx) + x[iy, jx] * fx, x[jy, ix] * (1 - fx) + x[jy, jx] * fx
+    return np.where(inside, above * (1 - fy) + below * fy, np.nan)
+
+
+def bend(x: np.ndarray, ref: np.ndarray, factor: float = 5.0, within: float = 6.0, least: int = 12, smallest: float = 0.5, mesh: int = 48) -> tuple[np.ndarray, int, float]:
+    """``x`` bent by a thin-plate spline so that its stars fall on the reference's (n x 2): (frame, pairs, median distance before).
+
+    Every reference star takes the nearest star ``within`` pixels.  With fewer than
+    ``least`` pairs, or when they lie within ``smallest`` pixels in the median, the frame
+    stays as it is.  The spline is evaluated on a mesh and joined linearly: it is smooth.
+    """
+    found = detect(np.nan_to_num(x, nan=float(np.nanmedian(x)) if np.isfinite(x).any() else 0.0), factor, least_area=3)[0]
+    own = np.stack((found["x"], found["y"]), axis=1)
+    if len(own) < least or len(ref) < least:
+        return x, 0, 0.0
+    apart = np.hypot(*(ref[:, None] - own[None]).transpose(2, 0, 1))
+    near, at = apart.min(axis=1), apart.argmin(axis=1)
+    pairs = np.flatnonzero(near < within)
+    if len(pairs) < least or np.median(near[pairs]) < smallest:
+        return x, len(pairs), float(np.median(near[pairs])) if len(pairs) else 0.0
+    xs, ys = (np.linspace(0, n - 1, min(mesh, n)) for n in (x.shape[1], x.shape[0]))
+    points = np.stack(np.meshgrid(xs, ys), axis=2).reshape(-1, 2)
+    shift = [kernels.thin_plate(ref[pairs], own[at[pairs], c] - ref[pairs, c], points, 1.0).reshape(len(ys), len(xs)) for c in (0, 1)]
+    yy, xx = np.mgrid[0 : x.shape[0], 0 : x.shape[1]].astype(float)
+
+    def whole(grid: np.ndarray) -> np.ndarray:
+        down = np.stack([np.interp(np.arange(x.shape[0]), ys, c) for c in grid.T], axis=1)
+        return np.stack([np.interp(np.arange(x.shape[1]), xs, r) for r in down])
+
+    return remapped(x, xx + whole(shift[0]), yy + whole(shift[1])), len(pairs), float(np.median(near[pairs]))
+
+
+def bent_frames(moved: DataFrame, series: list[str], frame: str, reference: DataFrame, column: str = "moved", most: int = 150, factor: float = 5.0) -> DataFrame:
+    """series..., frame, h, w, ``column``, pairs, apart: moved frames, bent by what is left between their stars and the reference's.
+
+    ``reference``: a row per star of each series' reference (series..., id, x, y), the brightest
+    ``most`` of which count: a list that is bounded, and joined by series.
+    """
+    lists = reference.filter(F.col("id") < most).groupBy(*series).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y"))), lambda s: F.array(s["x"], s["y"]))).alias("__ref"))
+    both = moved.join(lists, series, "left")
+
+    def kernel(row: dict) -> dict:
+        x = row[column]
+        if x is None:
+            return {column: None, "pairs": 0, "apart": 0.0}
+        out, pairs, apart = bend(x, np.array(row["__ref"] or [], dtype=float).reshape(-1, 2), factor)
+        return {column: out, "pairs": pairs, "apart": apart}
+
+    keep = [*series, frame, "h", "w"]
+    both = both.withColumnRenamed(column, "__in")
+    made = {column: "array<double>", "pairs": "bigint", "apart": "double"}
+    return rows.row_map(both, [*keep, "__ref"], made, lambda r: kernel({**r, column: r["__in"]}), ("__in",)).drop("__ref")
+
+
 def point_stars(frames: DataFrame, series: list[str], frame: str, moves: DataFrame, horizon: float | None = None, feather: float = 8.0) -> DataFrame:
     """series..., y, x, value: stars as points above a ground that stands still.
 

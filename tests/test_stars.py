@@ -116,3 +116,23 @@ def test_point_stars_over_a_standing_ground(spark):
     plain = stars.detect(np.mean(images, axis=0)[:75], most_area=5000)[0]
     assert found["peak"].max() > 1.5 * plain["peak"].max()
     assert stars.point_stars(df.limit(0), ["series_id"], "seq", m).count() == 0
+
+
+def test_bending_takes_distortion_away(spark):
+    truth = spread(40, (160, 200), edge=14, apart=13.0)
+    off = lambda x, y: (x + 3.5 * ((x - 100) / 100) ** 2, y + 2.5 * ((y - 80) / 80) * ((x - 100) / 100))
+    wrong = sky([(*off(x, y), h) for x, y, h in truth], (160, 200), sigma=1.6)
+    right = sky(truth, (160, 200), sigma=1.6, seed=4)
+    rows = [(1, 0, 160, 200, wrong.ravel().tolist()), (1, 1, 160, 200, right.ravel().tolist()), (2, 0, 160, 200, wrong.ravel().tolist()), (1, 2, 160, 200, None)]
+    moved = spark.createDataFrame(rows, "series_id bigint, seq bigint, h int, w int, moved array<double>")
+    reference = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y, _) in enumerate(truth)], "series_id bigint, id bigint, x double, y double")
+    got = {(r["series_id"], r["seq"]): r for r in stars.bent_frames(moved, ["series_id"], "seq", reference).collect()}
+    assert got[1, 0]["pairs"] == 40 and got[1, 0]["apart"] > 0.5 and got[1, 1]["apart"] < 0.2
+    assert got[1, 1]["moved"] == rows[1][4] and got[2, 0]["moved"] == rows[2][4] and got[2, 0]["pairs"] == 0 and got[1, 2]["moved"] is None
+    bent = np.array(got[1, 0]["moved"]).reshape(160, 200)
+
+    def residual(f):
+        found = stars.detect(np.nan_to_num(f, nan=0.1), least_area=3)[0]
+        return [np.hypot(found["x"] - x, found["y"] - y).min() for x, y, _ in truth]
+
+    assert np.median(residual(bent)) < 0.15 and np.max(residual(bent)) < 0.7 and np.median(residual(wrong)) > 0.6
