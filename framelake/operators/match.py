@@ -108,7 +108,8 @@ def channel_gains(df: DataFrame, low: float = 0.4, high: float = 2.5, least: int
 def pair_graph(edges: DataFrame, start: int = 0) -> DataFrame:
     """Product of factors along shortest paths from ``start`` (breadth first): node, depth, factor; edges i, j, factor in both directions.
 
-    One join per level, until a level reaches no new node; equal depths take the smaller predecessor.
+    One join per level, until a level reaches no new node; equal depths take the smaller predecessor, and of
+    its edges the one with the smaller product.
     """
     spark = edges.sparkSession
     edges = edges.select("i", "j", "factor")
@@ -118,7 +119,7 @@ def pair_graph(edges: DataFrame, start: int = 0) -> DataFrame:
     for depth in itertools.count(1):
         here = frontier.select(F.col("node").alias("i"), F.col("factor").alias("so_far"))
         step = here.join(edges, "i").select("j", "i", (F.col("so_far") * F.col("factor")).alias("f"))
-        step = step.groupBy("j").agg(F.min_by("f", "i").alias("factor")).select(F.col("j").alias("node"), F.lit(depth).alias("depth"), "factor")
+        step = step.groupBy("j").agg(F.min_by("f", F.struct("i", "f")).alias("factor")).select(F.col("j").alias("node"), F.lit(depth).alias("depth"), "factor")
         frontier = checkpointed(step.join(reached.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break

@@ -622,6 +622,21 @@ def pair_graph(spark, d):
     return rounded(match.pair_graph(e).select("node", "depth"))
 
 
+@query(
+    "pair_products",
+    f"""WITH RECURSIVE {EDGES}, b AS (SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(factor AS DOUBLE) AS factor FROM e UNION ALL SELECT j, i, 1 / CAST(factor AS DOUBLE) FROM e),
+ w AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT b.j, depth + 1 FROM w JOIN b ON b.i = w.node WHERE depth < 25),
+ s AS (SELECT node, min(depth) AS depth FROM w GROUP BY node),
+ p AS (SELECT t.node, t.depth, f.node AS above, b.factor FROM s t JOIN b ON b.j = t.node JOIN s f ON f.node = b.i AND f.depth = t.depth - 1 QUALIFY row_number() OVER (PARTITION BY t.node ORDER BY f.node, b.factor) = 1),
+ r AS (SELECT CAST(0 AS BIGINT) AS node, 1.0::DOUBLE AS factor UNION ALL SELECT p.node, r.factor * p.factor FROM r JOIN p ON p.above = r.node)
+ SELECT node, CAST(depth AS BIGINT) AS depth, round(factor, 6) + 0.0 AS factor FROM r JOIN s USING (node)""",
+)
+def pair_products(spark, d):
+    """The products that ``pair_graph`` computes along its shortest paths."""
+    e = tables.table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) i", "CAST((n_nationkey * 2 + 1) % 25 AS BIGINT) j", "1.0D + n_regionkey / 10.0D factor").filter("i <> j")
+    return rounded(match.pair_graph(e).select("node", "depth", "factor"), "factor")
+
+
 TRI = """tri AS (SELECT {p} AS f, a.id AS a, b.id AS b, c.id AS c, list_sort([sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)), sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2))]) AS s
  FROM {t} a JOIN {t} b ON a.id < b.id JOIN {t} c ON b.id < c.id WHERE c.id < 10)"""
 
