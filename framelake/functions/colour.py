@@ -98,6 +98,13 @@ def band_mask(v: Column, low: float, high: float, feather: float = 0.1) -> Colum
     return clip(smoothstep(low - feather, low, v) * (1.0 - smoothstep(high, high + feather, v)))
 
 
+def hue_band(h: Column) -> Column:
+    """The band of HUE_BANDS whose centre is nearest around the circle (hue in 0 to 1); of equal distances the first."""
+    apart = lambda centre: F.least(F.abs(h * 360.0 - centre), 360.0 - F.abs(h * 360.0 - centre))
+    nearest = F.array_min(F.array(*[F.struct(F.round(apart(float(c)), 9).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(HUE_BANDS.values())]))
+    return F.element_at(F.array(*map(F.lit, HUE_BANDS)), nearest["k"] + 1)
+
+
 def hue_mask(h: Column, low: float, high: float, feather: float = 0.1) -> Column:
     """Around the circle, also over 1.0."""
     low, high, feather = low % 1.0, high % 1.0, max(feather, 1e-4)

@@ -60,6 +60,23 @@ _curve("mask_saturation", lambda: colour.parametric_mask(*_bgr(), "saturation",
 _HUE = """(CASE WHEN greatest(b, g, r) = least(b, g, r) THEN 0 WHEN greatest(b, g, r) = r THEN (((g - b) / (greatest(b, g, r) - least(b, g, r)) / 6) + CASE WHEN g < b THEN 1 ELSE 0 END)
  WHEN greatest(b, g, r) = g THEN (2 + (b - r) / (greatest(b, g, r) - least(b, g, r))) / 6 ELSE (4 + (r - g) / (greatest(b, g, r) - least(b, g, r))) / 6 END)"""
 _curve("hue", lambda: colour.hue(*_bgr()), _HUE)
+_BANDS = ", ".join(f"({k}, '{n}', {c}.0)" for k, (n, c) in enumerate(colour.HUE_BANDS.items()))
+
+
+@query(
+    "hue_band_pixels",
+    f"""WITH {BGR}, hu AS (SELECT series_id, seq, p, greatest(b, g, r) - least(b, g, r) AS span, {_HUE} * 360 AS h FROM ch),
+ nb AS (SELECT series_id, band, span FROM hu, (VALUES {_BANDS}) t(o, band, c) QUALIFY row_number() OVER (PARTITION BY series_id, seq, p ORDER BY round(least(abs(h - c), 360 - abs(h - c)), 9), o) = 1)
+ SELECT series_id, band, count(*) AS pixels, round(avg(span), 6) + 0.0 AS chroma FROM nb WHERE span > 0 GROUP BY ALL""",
+)
+def hue_band_pixels(spark, d):
+    """Pixels and mean chroma of each of the eight hue bands, per series; grey pixels have no band."""
+    c = tables.colours(spark, d)
+    span = F.greatest("b", "g", "r") - F.least("b", "g", "r")
+    out = c.select("series_id", span.alias("span"), colour.hue_band(colour.hue(*_bgr())).alias("band")).filter("span > 0")
+    return rounded(out.groupBy("series_id", "band").agg(F.count(F.lit(1)).alias("pixels"), F.avg("span").alias("chroma")), "chroma")
+
+
 _curve("mask_hue", lambda: colour.parametric_mask(*_bgr(), "hue", 0.9, 0.1, 0.1), _unit("1 - " + _smooth("0.1", "0.2", f"least(abs({_HUE} - 0.0), 1 - abs({_HUE} - 0.0))")))
 _curve("mask_gradient", lambda: colour.gradient_mask(F.col("p") % 7, F.floor(F.col("p") / 7), 3, 7, 3.0, 1.0, 30.0, 0.5), _smooth(repr(-0.25 * math.hypot(3, 7)), repr(0.25 * math.hypot(3, 7)), "(p % 7 - 3) * cos(radians(30)) + (p // 7 - 1) * sin(radians(30))"))
 _curve("mask_radial", lambda: colour.radial_mask(F.col("p") % 7, F.floor(F.col("p") / 7), 3.0, 1.0, 3.0, 1.5, 0.4), "1 - " + _smooth("0.6", "1.0", "sqrt(pow((p % 7 - 3) / 3.0, 2) + pow((p // 7 - 1) / 1.5, 2))"))
