@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def top_share(df: DataFrame, groups: list[str], score: str, tie: str, share: float = 0.3, least: int = 1) -> DataFrame:
     """The max(least, int(n * share)) best rows of each group; equal scores by ``tie``.  share is cut to [0.01, 1]."""
@@ -17,9 +19,21 @@ def top_share(df: DataFrame, groups: list[str], score: str, tie: str, share: flo
 
 
 def best_share(df: DataFrame, score: str, tie: str, share: float = 0.3) -> DataFrame:
-    """As top_share over all rows: the count comes first, then a sort and a limit, which Spark runs as a distributed top-k."""
+    """As top_share over all rows, null scores last.
+
+    Scores are numbered by range partitions (:mod:`scan`), the last one that counts is
+    looked up, and the rows are filtered by it where they are: neither a sort nor a
+    limit brings the share into one task.  Rows equal in score and tie stay together.
+    """
     share = min(1.0, max(0.01, share))
-    return df.orderBy(F.desc(score), tie).limit(max(1, int(df.count() * share)))
+    order = df.select(F.coalesce(-F.col(score).cast("double"), F.lit(float("inf"))).alias("__s"), F.col(tie).alias("__t"))
+    placed = scan.positions(order.withColumn("__all", F.lit(0)), ["__all"], ["__s", "__t"], "__n")
+    cut = placed.filter(F.col("__n") == max(1, int(df.count() * share)) - 1).first()
+    if cut is None:
+        return df
+    key = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    within = F.col(tie).isNull() if cut["__t"] is None else F.col(tie).isNull() | (F.col(tie) <= F.lit(cut["__t"]))
+    return df.filter((key < cut["__s"]) | ((key == cut["__s"]) & within))
 
 
 def even_sample(df: DataFrame, series: list[str], order: list[str], sample: int = 8) -> DataFrame:

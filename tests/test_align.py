@@ -190,3 +190,16 @@ def test_register_checks_bridges_by_points(spark):
 def test_register_nothing(spark):
     assert registered(spark, [], []) == {}
     assert registered(spark, [(1, 1, True)], []).keys() == {(1, 1)}
+
+
+def test_best_share_keeps_the_best_of_all(spark):
+    from framelake.operators import select
+
+    rng = random.Random(3)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.randrange(40)), "x") for k in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, v double, __s string").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for share in (0.01, 0.1, 0.5, 0.97, 1.0):
+        got = sorted(r["id"] for r in select.best_share(df, "v", "id", share).collect())
+        assert got == sorted(r[0] for r in order[: max(1, int(900 * share))]), share
+    assert select.best_share(df.limit(0), "v", "id").count() == 0
