@@ -98,3 +98,46 @@ def test_nothing_to_fit(spark):
     same = spark.createDataFrame([(1, "a", "b", 5.0, 0.5, 5.0, 0.5, "v")] * 3, LIGHT)
     out = adjust.images(adjust.fit(same, ["series_id"], adjust.photometric(), rounds=5), ["series_id"], "string").collect()
     assert sorted(r["image"] for r in out) == ["a", "b"] and all(abs(r["own"][0]) < 1e-9 for r in out)
+
+
+def blocks_of(model, i, j, seed=2):
+    """Random positive blocks of pairs, as ``fit`` adds them up."""
+    rng = np.random.default_rng(seed)
+    slopes = rng.normal(0, 1, (len(i), 30, model.block))
+    matrix = slopes.transpose(0, 2, 1) @ slopes
+    return np.column_stack((matrix.reshape(len(i), -1), rng.normal(0, 1, (len(i), model.block)), np.zeros((len(i), 2))))
+
+
+@pytest.mark.parametrize("model", [adjust.bundle(100.0), adjust.photometric()])
+def test_steps_by_elimination_are_those_of_the_whole_matrix(model):
+    i, j = np.array([(k, k + d) for k in range(60) for d in (1, 2, 7) if k + d < 60 and (k < 40) == (k + d < 40)] + [(5, 2), (2, 1)]).T  # two parts, and a pair both ways
+    own = np.random.default_rng(3).normal(0, 0.1, (60, model.own))
+    sums, o = blocks_of(model, i, j), model.own
+    size = 60 * o + len(model.start)
+    whole, right = np.zeros((size, size)), np.zeros(size)
+    for p, q, s in zip(i, j, sums):
+        at = np.concatenate((p * o + np.arange(o), q * o + np.arange(o), np.arange(60 * o, size)))
+        whole[np.ix_(at, at)] += s[: model.block**2].reshape(model.block, -1)
+        right[at] += s[model.block**2 : model.block**2 + model.block]
+    if model.first_fixed:
+        whole[:o], whole[:, :o], right[:o] = 0, 0, 0
+        whole[np.arange(o), np.arange(o)] = 1
+    else:
+        whole[:60, :60] += (50 / 60) ** 2
+        right[:60] += 50**2 * own.mean() / 60
+    want = -np.linalg.solve(whole + np.diag(0.01 * np.diag(whole)), right)
+    for core in (4, 20, 200):
+        got = adjust._step(model, i, j, sums, own, 0.01, core)
+        assert np.allclose(np.concatenate((got[0].ravel(), got[1])), want, rtol=1e-7, atol=1e-10)
+
+
+def test_a_long_row_of_images_needs_no_square_matrix():
+    import tracemalloc
+
+    model, i = adjust.photometric(), np.arange(5000)
+    sums = blocks_of(model, i, i + 1)
+    tracemalloc.start()
+    own, shared = adjust._step(model, i, i + 1, sums, np.zeros((5001, 1)), 1e-3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(own).all() and np.isfinite(shared).all() and peak < 60e6  # the matrix would hold 200 MB
