@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import bounded_batches, checkpointed
+
+#: Vectors of a block of ``two_nearest``: of 64 numbers, half a megabyte.
+BLOCK = 1024
 
 
 def range_join(left: DataFrame, right: DataFrame, coordinates: list[tuple[str, str]], tolerance: float, keys: list[tuple[str, str]] = ()) -> DataFrame:
@@ -50,16 +55,70 @@ def offset_vote(points_a: DataFrame, points_b: DataFrame, tolerance: float = 2.5
     return best.filter(F.col("votes") >= least).select(F.col("mx").alias("dx"), F.col("my").alias("dy"), "votes")
 
 
+def _packed(df: DataFrame, name: str, v: str, side: str) -> DataFrame:
+    """Rows (name, v) as rows of up to BLOCK vectors each: ``side``_ids, ``side``_values (row by row), where no vector and no number is null."""
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                flat = part.column(1).flatten()
+                ends = lambda n: pa.array([0, n], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends(part.num_rows), part.column(0)), pa.ListArray.from_arrays(ends(len(flat)), flat)], names=[f"{side}_ids", f"{side}_values"])
+
+    rows = df.select(F.col(name).cast("bigint"), F.col(v).cast("array<double>").alias(v)).dropna().filter(F.forall(v, lambda x: x.isNotNull()))
+    return rows.mapInArrow(pack, f"{side}_ids array<bigint>, {side}_values array<double>")
+
+
+def _two_of_block(q: np.ndarray, iv: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the queries the places (in iv) of its two nearest by squared distance, then id, and those distances; -1 and infinity where there are fewer.
+
+    One product of matrices rules out nearly all; distances of the rest are added up
+    number by number, as an expression would.
+    """
+    n, m = len(q), len(iv)
+    norm = (iv * iv).sum(axis=1)
+    own = (q * q).sum(axis=1)
+    near = own[:, None] + norm - 2 * (q @ iv.T)
+    slack = 1e-12 * (own + norm.max()) + 1e-300
+    reach = (np.partition(near, 1, axis=1)[:, 1] if m > 1 else near[:, 0]) + slack
+    row, col = np.nonzero(~(near > reach[:, None]))
+    d = np.empty(len(row))
+    for at in range(0, len(row), 1 << 16):  # a slice at a time, of many copies too
+        some = slice(at, at + (1 << 16))
+        d[some] = np.cumsum((q[row[some]] - iv[col[some]]) ** 2, axis=1)[:, -1]
+    order = np.lexsort((ids[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    first = np.searchsorted(row, np.arange(n))
+    places, far = np.full((n, 2), -1), np.full((n, 2), np.inf)
+    for k in range(min(2, m)):
+        places[:, k], far[:, k] = col[first + k], d[first + k]
+    return places, far
+
+
 def two_nearest(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Squared distances to the two nearest vectors: q, best, d1, d2.
+    """Distances to the two nearest vectors: q, best, d1, d2; rows with a null vector or number are left out.
 
-    ``queries`` (q, qv) is a stated set that is broadcast only if Spark finds it
-    small; vectors are compared by array functions, without Python.
+    All pairs are compared, block by block: both sides are packed into rows of up to
+    BLOCK vectors, each pair of blocks is one product of matrices, and two rows a
+    query and block are left.  A task holds two blocks and their distances.
     """
-    distance = F.aggregate(F.zip_with("qv", "iv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    bounded_batches(queries.sparkSession)
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    both = _packed(queries, "q", "qv", "q").repartition(2 * tasks).crossJoin(_packed(index, "i", "iv", "i").repartition(max(1, tasks // 2)))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                q, qv, i, iv = (batch.column(c)[k].values.to_numpy() for c in ("q_ids", "q_values", "i_ids", "i_values"))
+                places, far = _two_of_block(qv.reshape(len(q), -1), iv.reshape(len(i), -1), i)
+                known = places.ravel() >= 0
+                out.append((np.repeat(q, 2)[known], i[places.ravel()[known]], far.ravel()[known]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["q", "i", "d"]) if out else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["q", "i", "d"])
+
     place = F.row_number().over(Window.partitionBy("q").orderBy("d", "i"))
-    # Spark cuts the rows of a query to two in every task, before they are shuffled.
-    two = queries.join(index).select("q", "i", distance.alias("d")).withColumn("place", place).filter("place <= 2")
+    two = both.mapInArrow(run, "q bigint, i bigint, d double").withColumn("place", place).filter("place <= 2")
     at = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
     return two.groupBy("q").agg(at("i", 1).alias("best"), F.sqrt(at("d", 1)).alias("d1"), F.sqrt(at("d", 2)).alias("d2"))
 

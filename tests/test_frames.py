@@ -303,3 +303,23 @@ def test_nearest_among_copies_is_the_first():
     queries = np.concatenate((points[::3], rng.random((60, 2))))
     far = np.hypot(*np.moveaxis(queries[:, None] - points[None], 2, 0))
     assert (kernels.nearest_within(queries, points, 0.02) == np.where(far.min(axis=1) <= 0.02, far.argmin(axis=1), -1)).all()
+
+
+def test_two_nearest_in_blocks_match_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    a, b = rng.normal(0, 1, (70, 8)).astype("float32"), rng.normal(0, 1, (90, 8)).astype("float32")
+    b[40:] = b[:50]  # copies: the smaller id of equals
+    a[5] = b[3]
+    monkeypatch.setattr(match, "BLOCK", 7)
+    rows = lambda v, q, x: spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)] + [(500, None)], f"{q} bigint, {x} array<float>").repartition(3)
+    got = {r["q"]: r for r in match.two_nearest(rows(a, "q", "qv"), rows(b, "i", "iv")).collect()}
+    far = np.sqrt(((a[:, None].astype(float) - b[None].astype(float)) ** 2).sum(axis=2))
+    assert sorted(got) == list(range(70))
+    for k, d in enumerate(far):
+        first, second = np.lexsort((np.arange(90), d.round(12)))[:2]
+        assert got[k]["best"] == first and got[k]["d1"] == pytest.approx(d[first]) and got[k]["d2"] == pytest.approx(d[second])
+    mutual = match.mutual_match(rows(a, "q", "qv"), rows(b, "q", "qv"))
+    plan = mutual._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and mutual.count() == sum(far[:, far[k].argmin()].argmin() == k for k in range(70))
+    one = match.two_nearest(rows(a, "q", "qv"), rows(b[:1], "i", "iv"))
+    assert one.filter("best = 0 AND d2 IS NULL").count() == 70
