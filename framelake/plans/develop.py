@@ -22,10 +22,10 @@ def _out(*channels: str) -> str:
     return "series_id, seq, y, x, " + ", ".join(f"round({k.clip(e)}, 6) + 0.0 AS {n}" for e, n in zip(channels, "bgr"))
 
 
-def _developed(name: str, sql: str, kernel):
+def _developed(name: str, sql: str, kernel, stacked: bool = False):
     @query(name, sql)
     def run(spark, d):
-        return rounded(develop.colour_map(tables.colour_frames(spark, d), FRAME, kernel), "b", "g", "r")
+        return rounded(develop.colour_map(tables.colour_frames(spark, d), FRAME, kernel, stacked), "b", "g", "r")
 
 
 _developed(
@@ -80,4 +80,4 @@ def _capture(rounds: int = 12) -> str:
     return k.statement(*ctes, last="SELECT " + _out(*[f"{c} * v" for c in "bgr"]) + f" FROM cf JOIN f {ON}")
 
 
-_developed("capture_sharpen", _capture(), lambda f: develop.capture_sharpen(f, protect=0.5))
+_developed("capture_sharpen", _capture(), lambda f: develop.capture_sharpen(f, protect=0.5), stacked=True)
