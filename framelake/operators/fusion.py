@@ -117,28 +117,13 @@ def exposure_fusion(weighted: DataFrame, series: list[str], frame: str, levels:
 
     Rows of all exposures are added before any task sees a series.
     """
-    schema = ", ".join(f"{f} bigint" for f in series) + ", c int, band int, y int, x int, value double"
-
-    def run(key, pdf):
-        import pandas as pd
-
-        shape = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        images = {}
-        for c in ("b", "g", "r", "weight"):
-            images[c] = np.zeros(shape)
-            images[c][pdf["y"], pdf["x"]] = pdf[c]
+    def split(images):
         share = [images["weight"]]
         for _ in range(levels):
             share.append(kernels.halve(share[-1]))
-        out = []
-        for c, name in enumerate(("b", "g", "r")):
-            for k, band in enumerate(kernels.pyramid(images[name], levels)):
-                yy, xx = np.mgrid[0 : band.shape[0], 0 : band.shape[1]]
-                same = {f: np.full(band.size, int(i)) for f, i in zip(series, key)} | {"c": np.full(band.size, c, dtype="int32"), "band": np.full(band.size, k, dtype="int32")}
-                out.append(pd.DataFrame(same | {"y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32"), "value": (band * share[k]).ravel()}))
-        return pd.concat(out)
-
-    rows = weighted.groupBy(*series, frame).applyInPandas(run, schema)
+        return [{"c": c, "band": k, "value": band * share[k]} for c, name in enumerate(("b", "g", "r")) for k, band in enumerate(kernels.pyramid(images[name], levels))]
+
+    rows = kernels.stack_map(weighted, [*series, frame], ["b", "g", "r", "weight"], {"c": "int", "band": "int", "value": "double"}, split)
     merged = rows.groupBy(*series, "c", "band", "y", "x").agg(F.sum("value").alias("value"))
     return kernels.rebuild(merged, [*series, "c"], ["value"], lambda bands: np.clip(kernels.collapse([b["value"] for b in bands]), 0, 1), "value")
 
@@ -187,22 +172,23 @@ def deghost_exposures(df: DataFrame, fused: DataFrame, series: list[str], frame:
 
 
 def background_surface(x: np.ndarray, factor: int = 8) -> np.ndarray:
-    """A frame's smooth background: block means (at least 8 per axis, or the pixels of a smaller frame), blurred, and stretched again."""
-    small, places = x, []
-    for axis, n in enumerate(x.shape):
+    """The smooth background of a frame, or of each of a stack: block means (at least 8 per axis, or the pixels of a smaller frame), blurred, and stretched again."""
+    small, stretch = x, []
+    for axis in (-2, -1):
+        n = x.shape[axis]
         edge = np.linspace(0, n, min(n, max(8, n // factor)) + 1).astype(int)
         size = np.diff(edge)
-        small = np.add.reduceat(small, edge[:-1], axis=axis) / (size[:, None] if axis == 0 else size)
-        places.append(edge[:-1] + (size - 1) / 2)
-    small = kernels.blur(small, max(2.0, small.shape[1] / 10.0))
-    rows = np.stack([np.interp(np.arange(x.shape[0]), places[0], c) for c in small.T], axis=1)
-    return np.stack([np.interp(np.arange(x.shape[1]), places[1], r) for r in rows])
+        small = np.add.reduceat(small, edge[:-1], axis=axis) / (size[:, None] if axis == -2 else size)
+        places = edge[:-1] + (size - 1) / 2
+        stretch.append(np.stack([np.interp(np.arange(n), places, one) for one in np.eye(len(size))], axis=1))
+    small = kernels.blur(small, max(2.0, small.shape[-1] / 10.0))
+    return stretch[0] @ small @ stretch[1].T
 
 
 def local_normalize(df: DataFrame, series: list[str], frame: str, factor: int = 8, value: str = "v") -> DataFrame:
     """Each frame moved, place by place, to the background of its series' first frame."""
     keys = [*series, frame]
-    own = kernels.frame_map(df, keys, lambda x: background_surface(x, factor), value).withColumnRenamed("value", "__own")
+    own = kernels.frame_map(df, keys, lambda x: background_surface(x, factor), value, stacked=True).withColumnRenamed("value", "__own")
     first = df.groupBy(*series).agg(F.min(frame).alias(frame))
     ref = own.join(first, keys).select(*series, "y", "x", F.col("__own").alias("__ref"))
     out = df.join(own, [*keys, "y", "x"]).join(ref, [*series, "y", "x"])

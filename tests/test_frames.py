@@ -323,3 +323,26 @@ def test_two_nearest_in_blocks_match_all_pairs(spark, monkeypatch):
     assert "zip_with" not in plan and mutual.count() == sum(far[:, far[k].argmin()].argmin() == k for k in range(70))
     one = match.two_nearest(rows(a, "q", "qv"), rows(b[:1], "i", "iv"))
     assert one.filter("best = 0 AND d2 IS NULL").count() == 70
+
+
+def test_stacks_of_frames_give_what_each_frame_gives(spark):
+    """Frames of two sizes and with a gap, in one batch; no Python group per frame."""
+    from framelake.operators import fusion
+
+    rng = np.random.default_rng(31)
+    frames = {(s, k): rng.random((h, w)) for s, h, w in ((1, 9, 8), (2, 16, 11)) for k in range(5)}
+    rows = [(s, k, y, x, float(v)) for (s, k), f in frames.items() for (y, x), v in np.ndenumerate(f) if (s, k, y, x) != (2, 3, 4, 4)]
+    frames[2, 3][4, 4] = 0
+    px = spark.createDataFrame(rows, "series_id int, seq bigint, y int, x int, v double").repartition(3)
+    out = kernels.frame_map(px, ["series_id", "seq"], fusion.background_surface, stacked=True)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.toPandas()
+    bands = kernels.band_rows(px, ["series_id"], "seq", kernels._pyramid_bands(2)).toPandas()
+    for (s, k), f in frames.items():
+        one = got[(got["series_id"] == s) & (got["seq"] == k)]
+        image = np.full(f.shape, np.nan)
+        image[one["y"], one["x"]] = one["value"]
+        assert len(one) == f.size and np.allclose(image, fusion.background_surface(f), atol=1e-12)
+        for b, (want, energy) in enumerate(kernels._pyramid_bands(2)(f)):
+            one = bands[(bands["series_id"] == s) & (bands["seq"] == k) & (bands["band"] == b)].sort_values(["y", "x"])
+            assert np.allclose(one["v"], want.ravel(), atol=1e-12) and np.allclose(one["energy"], energy.ravel(), atol=1e-12)
