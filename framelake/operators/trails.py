@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
+
 #: Added before votes are rounded, so that distances half way between two bins fall the same way everywhere.
 NUDGE = 1e-9
 
@@ -18,23 +22,48 @@ def bright_pixels(px: DataFrame, frame: list[str], factor: float = 4.0, value: s
 def lines(bright: DataFrame, frame: list[str], least_votes: int, least_length: float, most_gap: float = 8.0, angles: int = 180) -> DataFrame:
     """Line segments of bright pixels: frame..., angle (steps of 180 / angles degrees), rho, votes, length.
 
-    Every pixel votes for the line through it at each angle; votes are counted before
-    they are shuffled.  Pixels of lines with enough votes are then put in order along
-    the line and cut where the gap is too wide; pieces long enough are returned.  A
-    group of that order holds the pixels of one line of one frame, a diagonal's at
-    most.  Unlike a sampled transform, all pixels vote and the result is fixed.
+    Every pixel votes for the line through it at each angle.  Pixels of lines with
+    enough votes are then put in order along the line and cut where the gap is too
+    wide; pieces long enough are returned.  A task holds the bright pixels of a
+    bounded batch of frames, a frame's at least, and goes through them angle by angle: votes
+    are neither stored nor shuffled.  Unlike a sampled transform, all pixels vote and the result is fixed.
     """
-    turn = F.radians(F.col("angle") * (180.0 / angles))
-    votes = bright.withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))))
-    votes = votes.withColumn("rho", F.floor(F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn) + 0.5 + NUDGE))
-    line = [*frame, "angle", "rho"]
-    strong = votes.groupBy(*line).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= least_votes)
-    on = votes.join(strong, line).withColumn("along", F.col("y") * F.cos(turn) - F.col("x") * F.sin(turn))
-    order = Window.partitionBy(*line).orderBy("along", "y", "x")
-    on = on.withColumn("cut", F.when(F.col("along") - F.lag("along").over(order) > most_gap, 1).otherwise(0))
-    on = on.withColumn("piece", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = on.groupBy(*line, "votes", "piece").agg((F.max("along") - F.min("along")).alias("length"))
-    return pieces.filter(F.col("length") >= least_length - NUDGE).drop("piece")
+    bounded_batches(bright.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in bright.schema}
+    schema = ", ".join(f"`{f}` {kinds[f]}" for f in frame) + ", angle int, rho bigint, votes bigint, length double"
+    packed = bright.groupBy(*frame).agg(F.collect_list(F.struct(F.col("y").cast("double"), F.col("x").cast("double"))).alias("__at"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, x = (a.to_numpy() for a in batch.column("__at").flatten().flatten())
+            of = np.repeat(np.arange(batch.num_rows), batch.column("__at").value_lengths().to_numpy())
+            found = []
+            for angle in range(angles):
+                turn = np.radians(angle * (180.0 / angles))
+                cos, sin = np.cos(turn), np.sin(turn)
+                rho = np.floor(x * cos + y * sin + 0.5 + NUDGE).astype(np.int64)
+                low, span = rho.min(), np.ptp(rho) + 1
+                line = of * span + (rho - low)
+                _, at, count = np.unique(line, return_inverse=True, return_counts=True)
+                votes = count[at]
+                on = np.flatnonzero(votes >= least_votes)
+                if not len(on):
+                    continue
+                along = y[on] * cos - x[on] * sin
+                order = np.lexsort((along, line[on]))
+                on, along = on[order], along[order]
+                first = np.flatnonzero(np.append(True, (np.diff(line[on]) != 0) | (np.diff(along) > most_gap)))
+                length = along[np.append(first[1:], len(on)) - 1] - along[first]
+                kept = length >= least_length - NUDGE
+                one = on[first[kept]]
+                found.append((of[one], np.full(len(one), angle, dtype=np.int32), rho[one], votes[one], length[kept]))
+            if found:
+                at, *columns = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f).take(pa.array(at)) for f in frame), *map(pa.array, columns)], names=[*frame, "angle", "rho", "votes", "length"])
+
+    return packed.mapInArrow(run, schema)
 
 
 def detect_trails(px: DataFrame, frame: list[str], factor: float = 4.0, least_votes: int = 60, share: float = 0.3, most_gap: float = 8.0, value: str = "v") -> DataFrame:

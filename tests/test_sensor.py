@@ -209,3 +209,16 @@ def test_refine_and_align_pairs(spark):
     for k in range(4):
         assert np.abs(laid[k] - ref)[8:-8, 8:-8].max() < 0.25 * np.abs(ref).max()
         assert np.abs(laid[k] - ref)[8:-8, 8:-8].mean() < 0.02 * np.ptp(ref)
+
+
+def test_lines_store_no_votes(spark):
+    """A line with a gap is two pieces, one with too few votes none; votes make no rows of the plan."""
+    from framelake.operators import trails
+
+    rows = [(1, 7, 3, x) for x in (*range(10), *range(20, 26))] + [(1, 8, y, y) for y in range(12)] + [(2, 7, 0, 0), (2, 7, 5, 9)]
+    found = trails.lines(spark.createDataFrame(rows, "series_id bigint, seq bigint, y int, x int"), ["series_id", "seq"], 8, 4.0, 3.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    got = {tuple(r) for r in found.selectExpr("series_id", "seq", "angle", "rho", "votes", "round(length, 6)").collect()}
+    assert {(1, 7, 90, 3, 16, 9.0), (1, 7, 90, 3, 16, 5.0)} <= got and (1, 8, 135, 0, 12, round(11 * 2**0.5, 6)) in got
+    assert not any(r[0] == 2 for r in got)
