@@ -149,24 +149,31 @@ def frame_points(values, shift: float = 0.0) -> np.ndarray:
     return np.stack((k * 37 % 101 + np.asarray(values, dtype=float) * 4 + shift, k * 53 % 97 - shift), axis=1)
 
 
-def similarities(pairs):
-    """Similarity from each mov's points, moved by 7.5, to those of ref (series_id, ref, mov, rv, mv): triangle votes, one-to-one pairs, sample consensus."""
+def similarities(pairs, kept: str | None = None):
+    """Similarity from each mov's points, moved by 7.5, to those of ref (series_id, ref, mov, rv, mv): triangle votes, one-to-one pairs, sample consensus.
+
+    ``kept`` (bigint) is a column that stays.
+    """
+    more = [kept] if kept else []
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                ref, mov = frame_points(r.rv), frame_points(r.mv, 7.5)
+            for r in pdf.to_dict("records"):
+                ref, mov = frame_points(r["rv"]), frame_points(r["mv"], 7.5)
                 i, j = kernels.match_triangles(ref, mov)
                 m, good = kernels.ransac(mov[j], ref[i], 1.0)
-                rows.append((r.series_id, r.ref, r.mov, *([np.nan] * 6 if m is None else m.ravel().round(6).tolist()), int(good.sum())))
-            yield pd.DataFrame(rows, columns=["series_id", "ref", "mov", "a", "b", "tx", "c", "d", "ty", "inliers"])
+                rows.append((r["series_id"], r["ref"], r["mov"], *([np.nan] * 6 if m is None else m.ravel().round(6).tolist()), int(good.sum()), *(r[c] for c in more)))
+            yield pd.DataFrame(rows, columns=["series_id", "ref", "mov", "a", "b", "tx", "c", "d", "ty", "inliers", *more])
 
     # A pair costs much more than its few bytes tell: dealt anew, so that these are not joined into one task.
-    pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "series_id", "ref", "mov")
-    return pairs.mapInPandas(run, "series_id bigint, ref bigint, mov bigint, a double, b double, tx double, c double, d double, ty double, inliers bigint")
+    # In the order of frames, so that a frame's triangles, which are kept for the next few pairs, are found once.
+    tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism
+    pairs = pairs.select("series_id", "ref", "mov", "rv", "mv", *more).repartitionByRange(tasks, "series_id", "mov").sortWithinPartitions("series_id", "mov", "ref")
+    made = "series_id bigint, ref bigint, mov bigint, a double, b double, tx double, c double, d double, ty double, inliers bigint"
+    return pairs.mapInPandas(run, made + "".join(f", {c} bigint" for c in more))
 
 
 @query("robust_registration")

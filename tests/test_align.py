@@ -192,6 +192,15 @@ def test_register_nothing(spark):
     assert registered(spark, [(1, 1, True)], []).keys() == {(1, 1)}
 
 
+def test_pairs_of_frames_are_compared_once(spark):
+    from framelake.plans import alignment
+
+    frames = spark.createDataFrame([(s, 10 * k, k, 2, [float(k)]) for s in (1, 2) for k in range(5)], "series_id bigint, seq bigint, k bigint, middle bigint, embedding array<float>")
+    got = sorted((r["ref"], r["mov"], r["least"]) for r in alignment._beside(frames).filter("series_id = 2").collect())
+    assert got == [(0, 10, 15), (10, 20, 15), (20, 0, 30), (20, 10, 30), (20, 30, 15), (20, 40, 30), (30, 40, 15)]
+    assert alignment._beside(frames).filter("rv[0] * 10 <> ref OR mv[0] * 10 <> mov").isEmpty()
+
+
 def test_best_share_keeps_the_best_of_all(spark):
     from framelake.operators import select
 

@@ -305,6 +305,28 @@ def test_nearest_among_copies_is_the_first():
     assert (kernels.nearest_within(queries, points, 0.02) == np.where(far.min(axis=1) <= 0.02, far.argmin(axis=1), -1)).all()
 
 
+def test_nearest_on_grids_far_outside_and_at_the_edge_of_reach():
+    rng = np.random.default_rng(13)
+    for kind in range(60):
+        points, queries = rng.random((rng.integers(1, 300), 2)), rng.random((rng.integers(1, 300), 2))
+        points, queries = [(points, queries * 3 - 1), (np.round(points, 2), np.round(queries, 2)), (np.round(points * 0.03, 3) + 0.5, np.round(queries * 0.06, 3) + 0.48)][kind % 3]
+        reach = (0.02, 0.05, 0.3)[kind // 3 % 3]
+        far = np.hypot(*np.moveaxis(queries[:, None] - points[None], 2, 0))
+        assert (kernels.nearest_within(queries, points, reach) == np.where(far.min(axis=1) <= reach, far.argmin(axis=1), -1)).all()
+
+
+def test_triangles_of_a_frame_are_found_once_for_its_pairs(monkeypatch):
+    rng = np.random.default_rng(14)
+    frames, found, descriptors = rng.random((5, 20, 2)) * 100, [], kernels.descriptors
+    monkeypatch.setattr(kernels, "descriptors", lambda points: found.append(1) or descriptors(points))
+    for k in range(1, 5):
+        for ref in (0, k - 1):
+            kernels.match_triangles(frames[ref], frames[k])
+    assert len(found) == 5
+    corners = descriptors(np.array([[0.0, 0.0], [3.0, 0.0], [0.0, 4.0], [7.0, 1.0]]))[2]
+    assert corners[:, 0].tolist() == [2, 1, 0]  # opposite to sides of 3, 4 and 5
+
+
 def test_two_nearest_in_blocks_match_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(21)
     a, b = rng.normal(0, 1, (70, 8)).astype("float32"), rng.normal(0, 1, (90, 8)).astype("float32")
