@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -149,29 +151,38 @@ def frame_points(values, shift: float = 0.0) -> np.ndarray:
     return np.stack((k * 37 % 101 + np.asarray(values, dtype=float) * 4 + shift, k * 53 % 97 - shift), axis=1)
 
 
-def similarities(pairs, kept: str | None = None):
+def similarities(pairs, kept: str | None = None, head: str | None = None):
     """Similarity from each mov's points, moved by 7.5, to those of ref (series_id, ref, mov, rv, mv): triangle votes, one-to-one pairs, sample consensus.
 
-    ``kept`` (bigint) is a column that stays.
+    ``kept`` (bigint) is a column that stays.  With ``head`` (boolean: ref is the frame
+    that all others seek), a pair may be left out if both its frames were found to reach
+    that one, by ``kept`` points or more: pairs with it win, so no best spanning tree has the other.
     """
     more = [kept] if kept else []
 
     def run(batches):
         import pandas as pd
 
+        reached = deque(maxlen=2)  # the last frames found so; pairs come in the order of mov
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
+                if head and not r[head] and all((r["series_id"], r[c]) in reached for c in ("ref", "mov")):
+                    continue
                 ref, mov = frame_points(r["rv"]), frame_points(r["mv"], 7.5)
                 i, j = kernels.match_triangles(ref, mov)
                 m, good = kernels.ransac(mov[j], ref[i], 1.0)
-                rows.append((r["series_id"], r["ref"], r["mov"], *([np.nan] * 6 if m is None else m.ravel().round(6).tolist()), int(good.sum()), *(r[c] for c in more)))
+                m = None if m is None else m.round(6)
+                if head and r[head] and r["mov"] != r["ref"] and m is not None and good.sum() >= r[kept] and abs(np.linalg.det(m[:, :2])) >= 1e-9:
+                    reached.append((r["series_id"], r["mov"]))
+                rows.append((r["series_id"], r["ref"], r["mov"], *([np.nan] * 6 if m is None else m.ravel().tolist()), int(good.sum()), *(r[c] for c in more)))
             yield pd.DataFrame(rows, columns=["series_id", "ref", "mov", "a", "b", "tx", "c", "d", "ty", "inliers", *more])
 
     # A pair costs much more than its few bytes tell: dealt anew, so that these are not joined into one task.
     # In the order of frames, so that a frame's triangles, which are kept for the next few pairs, are found once.
     tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism
-    pairs = pairs.select("series_id", "ref", "mov", "rv", "mv", *more).repartitionByRange(tasks, "series_id", "mov").sortWithinPartitions("series_id", "mov", "ref")
+    order = ["series_id", "mov", *([F.col(head).desc()] if head else []), "ref"]
+    pairs = pairs.select("series_id", "ref", "mov", "rv", "mv", *more, *([head] if head else [])).repartitionByRange(tasks, "series_id", "mov").sortWithinPartitions(*order)
     made = "series_id bigint, ref bigint, mov bigint, a double, b double, tx double, c double, d double, ty double, inliers bigint"
     return pairs.mapInPandas(run, made + "".join(f", {c} bigint" for c in more))
 

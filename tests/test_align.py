@@ -201,6 +201,26 @@ def test_pairs_of_frames_are_compared_once(spark):
     assert alignment._beside(frames).filter("rv[0] * 10 <> ref OR mv[0] * 10 <> mov").isEmpty()
 
 
+def test_neighbours_that_both_reach_the_middle_frame_are_not_compared(spark):
+    from framelake.plans import alignment, neighbourhoods
+
+    rng = np.random.default_rng(18)
+    base = rng.normal(0, 0.125, 64)
+    rows = [(s, 10 * k, k, 12, (base + rng.normal(0, 0.2 if k % 7 == 3 else 0.01, 64)).tolist()) for s in (1, 2) for k in range(24)]
+    frames = spark.createDataFrame(rows, "series_id bigint, seq bigint, k bigint, middle bigint, embedding array<float>")
+    plain, spared = (neighbourhoods.similarities(alignment._beside(frames), "least", *head).toPandas() for head in ([], ["head"]))
+    key = ["series_id", "ref", "mov"]
+    left = plain.merge(spared, on=list(plain.columns), how="left", indicator=True)
+    assert (left["_merge"] == "both").sum() == len(spared) and not plain.duplicated(key).any()
+    good = plain[plain["inliers"] >= plain["least"]]
+    reach = set(good[good["ref"] == 120][["series_id", "mov"]].itertuples(index=False, name=None))
+    gone = left[left["_merge"] == "left_only"]
+    assert len(gone) >= 8 and all((r.series_id, f) in reach and 120 not in (r.ref, r.mov) for r in gone.itertuples() for f in (r.ref, r.mov))
+    nodes = [(s, q, k == 12) for s, q, k, *_ in rows]
+    pairs = lambda found: [(r.series_id, r.mov, r.ref, np.array([[r.a, r.b, r.tx], [r.c, r.d, r.ty], [0, 0, 1]]), float(r.inliers)) for r in found[found["inliers"] >= found["least"]].itertuples()]
+    same(registered(spark, nodes, pairs(spared)), plain_registration(nodes, pairs(plain)))
+
+
 def test_best_share_keeps_the_best_of_all(spark):
     from framelake.operators import select
 
